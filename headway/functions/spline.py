@@ -10,11 +10,12 @@ All-zero bends make `value_at` the linear interpolation.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 LONGEST_LINEAR = 4
 
@@ -53,17 +54,18 @@ def solve_bends(values: np.ndarray) -> np.ndarray:
     return bends
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def bends(values: pd.Series) -> pd.Series:
+@arrow_udf(T.ArrayType(T.DoubleType()))
+def bends(values: pa.Array) -> pa.Array:
     """Bends of each row's points; the rows of a batch are solved together by length."""
-    result = pd.Series([None] * len(values), index=values.index, dtype=object)
-    filled = values[values.notna()]
-    for n, group in filled.groupby(filled.map(len)):
-        if n:
-            solved = solve_bends(np.stack([np.asarray(v, dtype=float) for v in group]))
-            for label, row in zip(group.index, solved):
-                result.at[label] = row
-    return result
+    lengths = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    points = values.flatten().to_numpy(zero_copy_only=False)
+    solved = np.zeros(len(points))
+    for n in np.unique(lengths[lengths > LONGEST_LINEAR]):
+        cells = offsets[:-1][lengths == n][:, None] + np.arange(n)
+        solved[cells] = solve_bends(points[cells])
+    missing = np.append(values.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing), pa.array(solved))
 
 
 def value_at(values: Column, bent: Column, percent: Column) -> Column:
