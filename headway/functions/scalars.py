@@ -22,16 +22,21 @@ def direction(mission: Column, inbound=INBOUND_MISSIONS) -> Column:
     return F.when(mission.isin(*inbound), F.lit(1)).otherwise(F.lit(-1))
 
 
+def _within_percent(share: Column) -> Column:
+    """`share` limited to [0, 100]; NULL stays NULL, which `greatest` and `least` would not do."""
+    return F.when(share < 0.0, F.lit(0.0)).when(share > 100.0, F.lit(100.0)).otherwise(share)
+
+
 def progress_percent(now: Column, departure: Column, arrival: Column) -> Column:
     """Share of a leg covered at `now`, in [0, 100]; NULL for a leg of no duration."""
     share = F.try_divide(F.lit(100.0) * F.abs(now - departure), F.abs(arrival - departure))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
+    return _within_percent(share)
 
 
 def percent_elapsed(now: Column, departure: Column, arrival: Column) -> Column:
     """`progress_percent` at any instant: 0 before the departure, 100 after the arrival."""
     share = F.try_divide(F.lit(100.0) * (now - departure), arrival - departure)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
+    return _within_percent(share)
 
 
 def between_points(start: Column, end: Column, percent: Column) -> Column:

@@ -19,13 +19,14 @@ def attach(fact: DataFrame, dim: DataFrame, on, how: str = "left", salts: int =
     over that many tasks. The result is the same.
     """
     on = [on] if isinstance(on, str) else list(on)
+    kept = fact.columns if how == "left_semi" else [*fact.columns, *[c for c in dim.columns if c not in on]]
     if salts <= 1:
-        return fact.join(dim, on, how)
+        return fact.join(dim, on, how).select(*kept)
     if how not in ("left", "inner", "left_semi"):
         raise ValueError("salted joins keep or filter fact rows only")
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.join(repeated, [*on, "_salt"], how).select(*kept)
 
 
 def with_station(df: DataFrame, stations: DataFrame, col: str, salts: int = 1) -> DataFrame:

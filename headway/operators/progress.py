@@ -23,34 +23,30 @@ def next_stop(df: DataFrame, keys=("train",), order=("departure", "station"), sp
 
     Stops are ordered by `order`, which starts with `departure`. A train's stops meet in one
     task; that is bounded when the rows are unique stops of a short time range. For whole
-    histories give `span_s`: only the stops of one train within one span of that many
-    seconds meet, and the last stop of a span takes its successor from a summary with the
-    first stop of each span.
+    histories give `span_s`: then only the stops of one train within one span of that many
+    seconds meet. The first and the last stop of each span, two rows per train and span,
+    are linked across spans in a second step that reads the same shuffle.
     """
     following = F.struct("departure", "station")
     if span_s is None:
         ahead = df.withColumn("_next", F.lead(following).over(Window.partitionBy(*keys).orderBy(*order)))
         return _with_leg(ahead)
 
-    spans = df.withColumn("_span", F.floor(F.col("departure") / span_s))
     within = Window.partitionBy(*keys, "_span").orderBy(*order)
-    ahead = spans.withColumn("_next", F.lead(following).over(within))
-
-    first = F.min(F.struct(*[F.col(c) for c in dict.fromkeys([*order, "departure", "station"])])).alias("_first")
-    heads = spans.groupBy(*keys, "_span").agg(first)
-    after = heads.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col("_span").alias("_key_span"),
-        F.lead(F.struct("_first.departure", "_first.station"))
-        .over(Window.partitionBy(*keys).orderBy("_span"))
-        .alias("_later"),
+    spans = df.withColumn("_span", F.floor(F.col("departure") / span_s))
+    ahead = spans.withColumn("_next", F.lead(following).over(within)).withColumn(
+        "_is_first", F.lag(F.lit(True), 1, False).over(within) == F.lit(False)
+    )
+    is_last = F.col("_next").isNull()
+    across = Window.partitionBy(*keys).orderBy("_span", is_last)
+    linked = (
+        ahead.filter(is_last | F.col("_is_first"))
+        .withColumn("_later", F.lead(following).over(across))
+        .filter(is_last)
+        .withColumn("_next", F.col("_later"))
+        .drop("_later")
     )
-    same = F.col("_span").eqNullSafe(F.col("_key_span"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    joined = ahead.join(after, same, "left")
-    joined = joined.withColumn("_next", F.coalesce("_next", "_later"))
-    return _with_leg(joined).drop("_span", "_key_span", "_later", *[f"_key_{k}" for k in keys])
+    return _with_leg(ahead.filter(~is_last).unionByName(linked)).drop("_span", "_is_first")
 
 
 def _with_leg(df: DataFrame) -> DataFrame:

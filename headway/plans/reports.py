@@ -35,7 +35,8 @@ def train_stops(departures: DataFrame, as_of=None, settings: Settings = Settings
     """
     near = around_instant(departures, as_of, settings.around_seconds)
     unique = dedup_departures(near, order_by=order_by)
-    return distinct_stops(with_epoch(realtime_only(unique)))
+    # By train from here on: the distinct stops and the order of a train's stops share the shuffle.
+    return distinct_stops(with_epoch(realtime_only(unique)).repartition("train"))
 
 
 def train_progress(

@@ -110,7 +110,7 @@ class DepartureTable:
     def append(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("service_day", F.to_date("timestamp")).withColumn("batch", F.lit(batch_id))
         (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            rows.hint("rebalance", "service_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("service_day", "batch").parquet(self.path)
         )
 

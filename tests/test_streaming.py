@@ -1,0 +1,225 @@
+"""Streams: sources, repeats, lateness, publication, and equality with the batch form."""
+
+import json
+import os
+from uuid import uuid4
+
+import pytest
+from pyspark.sql import functions as F
+
+from headway.model import STATION, Settings
+from headway.plans.reports import last_hour_awt, train_progress
+from headway.sources.messages import decode_departures, departures_stream, write_departures
+from headway.streaming import jobs
+
+AS_OF = "2019-02-28 09:00:00"
+COLUMNS = ("station int, train string, timestamp timestamp, mode string, mission string, terminus int, "
+           "ingest_ts timestamp")
+
+
+def message(station, train, ts, mode="R", mission="PALS"):
+    return {"station": station, "train": train, "timestamp": f"2019-02-28T{ts}.000Z", "mode": mode,
+            "mission": mission, "terminus": 1}
+
+
+class Feed:
+    """A folder of message files that a stream reads one file per batch."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.n = spark, folder, 0
+        folder.mkdir()
+
+    def add(self, *messages):
+        part = self.folder / f"{self.n:04d}.json"
+        part.write_text("\n".join(json.dumps(m) for m in messages) + "\n")
+        os.utime(part, (1551340000 + self.n, 1551340000 + self.n))  # batches follow the age of the files
+        self.n += 1
+
+    def stream(self, **options):
+        raw = departures_stream(self.spark, "files", path=str(self.folder), maxFilesPerTrigger="1", **options)
+        return decode_departures(raw, keep=("ingest_ts",))
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    return Feed(spark, tmp_path / "feed")
+
+
+def day():
+    """Departures of a morning, seen in four polls with many repeats."""
+    polls = []
+    for poll in range(4):
+        polls.append([
+            message(station, f"t{train}", f"{8 + (train * 7 + station * 3) // 60 % 3:02d}:{(train * 7 + station * 3) % 60:02d}:00")
+            for train in range(12) for station in range(1, 6) if (train + station + poll) % 4
+        ])
+    return polls
+
+
+def test_default_job_equals_batch(spark, feed, tmp_path):
+    stations = spark.createDataFrame([(s, f"S{s}", 48.0 + s, 2.0) for s in range(1, 5)], STATION)
+    for poll in day():
+        feed.add(*poll)
+    order = ["ingest_ts", "station"]
+    table = jobs.DepartureTable(spark, str(tmp_path / "table"), COLUMNS)
+    publisher = jobs.ReportPublisher(
+        spark, table, str(tmp_path / "views"), stations, as_of=lambda: AS_OF, order_by=order
+    )
+    job = jobs.default_job(spark, feed.stream(), publisher, str(tmp_path / "job")).start()
+    job.await_termination()
+    assert table.read().select("batch").distinct().count() > 1
+
+    raw = spark.read.text(str(feed.folder)).select("value", F.col("_metadata.file_modification_time").alias("ingest_ts"))
+    whole = decode_departures(raw, keep=("ingest_ts",))
+    assert table.read().count() < whole.count()
+    awt = last_hour_awt(whole, AS_OF, order_by=order).select("station", "awt")
+    assert sorted(map(tuple, spark.table("ordered_awt").collect())) == sorted(map(tuple, awt.collect()))
+    assert spark.table("min_awt").count() == spark.table("max_awt").count() == spark.table("global_awt").count() == 1
+    trains = train_progress(whole, stations, None, AS_OF, order_by=order)
+    got = spark.sql("select * from trains_progression")
+    assert got.columns == trains.columns and got.count() > 0
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, trains.collect()))
+
+
+def test_a_repeated_batch_replaces_itself(spark, make, tmp_path):
+    table = jobs.DepartureTable(spark, str(tmp_path / "table"), "station int, timestamp timestamp")
+    one = make([(1, "2019-02-28 09:00:00"), (2, "2019-02-27 09:00:00")], "station int, timestamp timestamp")
+    table.append(one, 0)
+    table.append(one.filter("station = 1"), 1)
+    table.append(one, 0)
+    assert table.read().count() == 3
+    assert table.between("2019-02-28 08:00:00", "2019-02-28 10:00:00").count() == 2
+
+
+def late_batches(feed):
+    feed.add(message(1, "A", "10:50:00"), message(1, "Z", "10:01:00"))
+    feed.add(message(1, "B", "10:05:00"))
+    feed.add(message(1, "C", "10:06:00"), message(1, "A", "10:50:00"))
+
+
+def test_watermark_on_departure_time_drops_an_early_train_seen_late(spark, feed, tmp_path):
+    late_batches(feed)
+    unique = jobs.with_watermark(feed.stream()).dropDuplicates(["train", "timestamp"])
+    seen = []
+    query = jobs.batch_sink(unique, lambda b, n: seen.extend(r.train for r in b.collect()), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert sorted(seen) == ["A", "B", "Z"]
+    assert jobs.late_metrics(query) == 1
+
+
+def test_ingest_time_keeps_it(spark, feed, tmp_path):
+    late_batches(feed)
+    seen = []
+    query = jobs.batch_sink(
+        jobs.unique_departures(feed.stream()), lambda b, n: seen.extend(r.train for r in b.collect()), str(tmp_path / "c")
+    )
+    query.awaitTermination()
+    assert sorted(seen) == ["A", "B", "C", "Z"]
+    assert jobs.late_metrics(query) == 0
+
+
+def test_compat_windows_in_complete_mode(spark, feed, tmp_path):
+    feed.add(message(1, "A", "09:00:00"), message(2, "B", "09:10:00"), message(1, "A", "09:00:00"))
+    feed.add(message(1, "C", "09:30:00"), message(2, "B", "09:10:00"))
+    windows = jobs.awt_stream(feed.stream())
+    publisher = jobs.ViewPublisher(spark, str(tmp_path / "v"), {"w": lambda b: b.select("station", "window.start", "nt", "awt")})
+    jobs.batch_sink(windows, publisher, str(tmp_path / "c"), "complete").awaitTermination()
+    got = {(r.station, str(r.start)): (r.nt, r.awt) for r in spark.table("w").collect()}
+    assert got[1, "2019-02-28 08:32:00"] == (2, 30.0) and got[2, "2019-02-28 08:32:00"] == (1, 60.0)
+    assert sum(nt for nt, _ in got.values()) == 3 * 30
+
+
+def test_second_aggregation_in_one_stream(spark, feed, tmp_path):
+    feed.add(message(1, "A", "09:00:00"), message(1, "B", "09:01:00"), message(2, "C", "09:02:00"))
+    feed.add(message(1, "Z", "20:00:00"))
+    feed.add(message(1, "Y", "20:30:00"))
+    rows = []
+    query = jobs.batch_sink(
+        jobs.global_awt_stream(jobs.awt_stream(feed.stream())), lambda b, n: rows.extend(b.collect()), str(tmp_path / "c")
+    )
+    query.awaitTermination()
+    by_end = {str(r.window_end): (r.number_of_stations, r.global_awt) for r in rows}
+    assert by_end["2019-02-28 09:30:00"] == (2, 45.0)
+
+
+def test_compat_stops_lose_what_was_seen_too_early(spark, feed, tmp_path):
+    """Repeats are removed before the time filter: a train first seen outside the range never comes in."""
+    feed.add(message(1, "early", "10:31:00"), message(1, "near", "10:10:00"))
+    feed.add(message(1, "early", "10:31:00"))
+    stops = jobs.stops_stream(feed.stream(), as_of="2019-02-28 10:00:00", settings=Settings(around_seconds=3600))
+    seen = {}
+    query = jobs.batch_sink(stops, lambda b, n: seen.update({n: [r.train for r in b.collect()]}), str(tmp_path / "c"), "complete")
+    query.awaitTermination()
+    assert seen and all(trains == ["near"] for trains in seen.values())
+
+
+def test_publisher_keeps_views_on_an_empty_batch(spark, make, tmp_path):
+    full = make([(1, 2.0), (2, 3.0)], "station int, awt double")
+    name = f"v{uuid4().hex}"
+    keep = jobs.ViewPublisher(spark, str(tmp_path / "keep"), {name: lambda b: b})
+    assert keep(full, 0) and not keep(full.limit(0), 1)
+    old = spark.table(name)
+    assert keep(full.filter("station = 1"), 2) and spark.table(name).count() == 1
+    assert old.count() == 2
+    assert jobs.ViewPublisher(spark, str(tmp_path / "r"), {name: lambda b: b}, on_empty="replace")(full.limit(0), 0)
+    assert spark.table(name).count() == 0 and spark.table(name).columns == ["station", "awt"]
+
+
+def test_errors_of_a_sink_are_raised(spark, feed, tmp_path):
+    feed.add(message(1, "A", "09:00:00"))
+
+    def fail(batch, batch_id):
+        raise RuntimeError("broken sink")
+
+    job = jobs.StreamJob({"q": lambda: jobs.batch_sink(feed.stream(), fail, str(tmp_path / "c"))}).start()
+    with pytest.raises(Exception, match="broken sink"):
+        job.await_termination()
+    job.stop()
+
+
+def test_start_stop(spark, feed, tmp_path):
+    feed.add(message(1, "A", "09:00:00"))
+    seen = []
+    job = jobs.StreamJob({
+        "q": lambda: jobs.batch_sink(feed.stream(), lambda b, n: seen.append(b.count()), str(tmp_path / "c"), trigger_seconds=1)
+    })
+    job.start()
+    job.process_all()
+    job.start()
+    assert len(job.running) == 1 and job.running["q"].isActive
+    job.stop()
+    assert job.running == {} and sum(seen) == 1
+
+
+def test_salted_stage_gives_the_same_departures(spark, feed, tmp_path):
+    feed.add(*[message(1, "A", "09:00:00")] * 50, message(1, "B", "09:00:00"))
+    feed.add(*[message(1, "A", "09:00:00")] * 50)
+    salted = feed.stream().withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    unique = jobs.unique_departures(salted, salt_on=("spread",), salts=4)
+    seen = []
+    jobs.batch_sink(unique, lambda b, n: seen.extend(r.train for r in b.collect()), str(tmp_path / "c")).awaitTermination()
+    assert sorted(seen) == ["A", "B"]
+
+
+def test_stream_of_messages_out(spark, feed, tmp_path):
+    feed.add(message(1, "A", "09:00:00"))
+    query = write_departures(feed.stream(), "files", checkpoint=str(tmp_path / "c"), path=str(tmp_path / "out"))
+    query.processAllAvailable()
+    query.stop()
+    assert json.loads(spark.read.text(str(tmp_path / "out")).first().value) == message(1, "A", "09:00:00")
+
+
+def test_console(spark, feed):
+    feed.add(message(1, "A", "09:00:00"))
+    query = jobs.console_sink(jobs.awt_stream(feed.stream()), trigger_seconds=1).start()
+    query.processAllAvailable()
+    query.stop()
+    assert "Console" in query.lastProgress["sink"]["description"]
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 1
+
+
+def test_rate_source(spark):
+    ticks = departures_stream(spark, "rate", rowsPerSecond="1")
+    assert ticks.isStreaming and ticks.columns == ["value", "ingest_ts"]
+    with pytest.raises(ValueError):
+        departures_stream(spark, "carrier pigeon")
