@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from headway.functions.clock import epoch, floor_to, seconds_of
 from headway.functions.scalars import round_half_even
 
+BLOCK_WINDOWS = 16  # windows' lengths per block of `trains_per_window`
+
 
 def trains_per_window(
     df: DataFrame,
@@ -26,7 +28,9 @@ def trains_per_window(
     `expand` is Spark's own sliding window, which copies each row into every window that
     holds it; it also runs on streams. `panes` first counts each row once, in the pane
     of the slide it falls in, and copies only the counts, so the copying no longer grows
-    with the rows.
+    with the rows. The counts are first brought together by key and block of time (those at
+    the start of a block also go to the block before, whose last windows reach into it),
+    so the copies are added up where they are made and are not shuffled.
     """
     if method == "expand" or df.isStreaming:
         window = F.window(ts, f"{window_minutes} minutes", f"{slide_minutes} minutes")
@@ -40,10 +44,19 @@ def trains_per_window(
         .groupBy(*keys, floor_to(seconds_of(ts), pane).alias("_pane"))
         .agg(F.count(counted).alias("_n"))
     )
+    slides = -(-length // slide)
+    block = BLOCK_WINDOWS * slides * slide
+    own = floor_to(F.col("_pane"), block)
+    reached = F.when(F.col("_pane") - own < length, F.array(own, own - block)).otherwise(F.array(own))
+    blocks = panes.select(*keys, "_pane", "_n", F.explode(reached).alias("_block")).repartition(*keys, "_block")
     last = floor_to(F.col("_pane"), slide)
     first = last - slide * F.floor((last + length - F.col("_pane") - pane) / slide)
-    starts = panes.select(*keys, "_n", F.explode(F.sequence(first, last, F.lit(slide).cast("long"))).alias("_start"))
-    counts = starts.groupBy(*keys, "_start").agg(F.sum("_n").alias("nt"))
+    inside = F.sequence(
+        F.greatest(first, F.col("_block")), F.least(last, F.col("_block") + (block - slide)), F.lit(slide).cast("long")
+    )
+    reaches = F.greatest(first, F.col("_block")) <= F.least(last, F.col("_block") + (block - slide))
+    starts = blocks.filter(reaches).select(*keys, "_block", "_n", F.explode(inside).alias("_start"))
+    counts = starts.groupBy(*keys, "_block", "_start").agg(F.sum("_n").alias("nt"))
     return counts.select(*keys, _window(F.col("_start"), length).alias("window"), "nt")
 
 

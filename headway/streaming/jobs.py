@@ -10,6 +10,7 @@ time and state for all windows, with complete output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,7 +170,7 @@ class ReportPublisher:
                  fitted: DataFrame | None = None, settings: Settings = Settings(), as_of: Callable | None = None,
                  on_empty: str = "keep", keys=("station",), order_by=("ingest_ts", "batch")):
         self.spark, self.table, self.stations, self.fitted, self.settings = spark, table, stations, fitted, settings
-        self.as_of = as_of or (lambda: spark.sql("select current_timestamp()").first()[0].astimezone())
+        self.as_of = as_of or (lambda: datetime.now(timezone.utc))
         self.keys, self.order_by = keys, list(order_by)
         self.awt = ViewPublisher(spark, f"{folder}/awt", AWT_VIEWS, on_empty)
         self.progress = ViewPublisher(spark, f"{folder}/progress", {"trains_progression": lambda df: df}, on_empty)
