@@ -227,9 +227,11 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if folder:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
         return folder.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if context.applicationId not in _local_folders:

@@ -64,14 +64,14 @@ def with_coordinates(stations: DataFrame, places: DataFrame, order_by: str = "se
     """Stations with the place given last in `order_by`; unknown ones keep theirs."""
     complete = places.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     latest = complete.groupBy("station").agg(
-        F.max_by(F.struct("latitude", "longitude"), order_by).alias("_place")
+        F.max_by("latitude", order_by).alias("_lat"), F.max_by("longitude", order_by).alias("_lon")
     )
     joined = stations.join(latest, "station", "left")
     return joined.select(
         "station",
         "label",
-        F.coalesce("_place.latitude", "latitude").alias("latitude"),
-        F.coalesce("_place.longitude", "longitude").alias("longitude"),
+        F.coalesce("_lat", "latitude").alias("latitude"),
+        F.coalesce("_lon", "longitude").alias("longitude"),
     )
 
 

@@ -278,7 +278,7 @@ WHERE end_lat IS NOT NULL""",
 SELECT event_id, station, terminus FROM dep WHERE terminus IN (SELECT s_suppkey FROM supplier)""",
     "line_stations": """
 SELECT CAST(s_suppkey AS INTEGER) AS station, s_name AS label, 0.0::DOUBLE AS latitude, 0.0::DOUBLE AS longitude
-FROM supplier WHERE s_nationkey % 2 = 0""",
+FROM supplier WHERE s_acctbal >= 0""",
     "coordinates_update": "WITH " + STATIONS + """,
 places AS (
   SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS station, value, user_id FROM events

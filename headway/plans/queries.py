@@ -231,7 +231,7 @@ def accurate_position(spark, folder):
 def accurate_position_spline(spark, folder):
     """Along the tree of suppliers."""
     pairs = topology.asked_pairs(_published(spark, folder))
-    return _published(spark, folder, positions.fit_paths(topology.paths_between(pairs, _ways(spark, folder))))
+    return _published(spark, folder, positions.fit_paths(topology.paths_between(pairs, _network(spark, folder))))
 
 
 @query
@@ -258,7 +258,6 @@ def ancestors_from_branches(spark, folder):
 
 @query
 def ancestors_from_parents(spark, folder):
-    shared_folder(spark)
     closure = topology.parent_ancestors(feed.parents_of_suppliers(spark, folder))
     return closure.select("station", "ancestor", (-F.col("rank.at")).alias("up"))
 
@@ -273,16 +272,17 @@ def topology_edges(spark, folder):
     return edges.select("upper", "lower", "pos", "slot", F.size("points").alias("n_points"))
 
 
-def _ways(spark, folder):
-    return topology.root_ways(
-        feed.supplier_stations(spark, folder), _edges(spark, folder),
-        topology.branch_ancestors(feed.supplier_order(spark, folder)),
-    )
+def _network(spark, folder):
+    """The network as written tables, as it is kept: made once, and planned by its true size."""
+    path = f"{shared_folder(spark)}/network-{uuid4().hex}"
+    stations, order = feed.supplier_stations(spark, folder), feed.supplier_order(spark, folder)
+    topology.line_network(stations, _edges(spark, folder), order).write(path)
+    return topology.Network.read(spark, path)
 
 
 def _line_paths(spark, folder):
     legs = _line_legs(spark, folder).filter(F.col("next_station").isNotNull())
-    return topology.paths_between(topology.asked_pairs(legs, "station", "next_station"), _ways(spark, folder))
+    return topology.paths_between(topology.asked_pairs(legs, "station", "next_station"), _network(spark, folder))
 
 
 def _micro(col):
@@ -324,11 +324,11 @@ def known_terminus(spark, folder):
 
 @query
 def line_stations(spark, folder):
-    """Suppliers as open data; those of even nations are on the line."""
+    """Suppliers as open data; those without debt are on the line."""
     raw = feed.table(spark, folder, "supplier").select(F.struct(
         F.col("s_suppkey").cast("string").alias("code_uic"),
         F.col("s_name").alias("libelle_point_arret"),
-        F.when(F.col("s_nationkey") % 2 == 0, "1").alias("l"),
+        F.when(F.col("s_acctbal") >= 0, "1").alias("l"),
     ).alias("fields"))
     return dims.line_stations(raw)
 
