@@ -17,7 +17,7 @@ def line_membership(stretches: DataFrame, span: int | None = None) -> DataFrame:
     line whose `seq` fall in one span of that width meet in a task; what lies before
     the span comes from a summary of one row per line and span.
     """
-    sized = stretches.withColumn("_n", F.size("labels"))
+    sized = stretches.filter(F.col("line").isNotNull()).withColumn("_n", F.size("labels"))
     earlier = (Window.unboundedPreceding, -1)
     if span is None:
         before = Window.partitionBy("line").orderBy("seq").rowsBetween(*earlier)

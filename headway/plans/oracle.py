@@ -276,6 +276,9 @@ FROM (SELECT *, lead(lat) OVER (PARTITION BY from_st, to_st ORDER BY idx) AS end
 WHERE end_lat IS NOT NULL""",
     "known_terminus": "WITH " + DEP + """
 SELECT event_id, station, terminus FROM dep WHERE terminus IN (SELECT s_suppkey FROM supplier)""",
+    "terminus_station": "WITH " + DEP + "," + STATIONS + """
+SELECT event_id, terminus, latitude AS terminus_lt, longitude AS terminus_lg, label AS terminus_lb
+FROM dep LEFT JOIN stations ON stations.station = terminus""",
     "line_stations": """
 SELECT CAST(s_suppkey AS INTEGER) AS station, s_name AS label, 0.0::DOUBLE AS latitude, 0.0::DOUBLE AS longitude
 FROM supplier WHERE s_acctbal >= 0""",

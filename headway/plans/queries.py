@@ -322,6 +322,13 @@ def known_terminus(spark, folder):
     return known.select("event_id", "station", "terminus")
 
 
+@query
+def terminus_station(spark, folder):
+    """Departures with place and label of their terminus, if it is a known station."""
+    departures = feed.event_departures(spark, folder).select("event_id", "terminus")
+    return dims.with_station(departures, feed.supplier_stations(spark, folder), "terminus")
+
+
 @query
 def line_stations(spark, folder):
     """Suppliers as open data; those without debt are on the line."""

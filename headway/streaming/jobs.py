@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -115,16 +116,26 @@ class DepartureTable:
             .partitionBy("service_day", "batch").parquet(self.path)
         )
 
-    def read(self) -> DataFrame:
+    def read(self, days: str = "*") -> DataFrame:
+        """Stored rows; `days` is a path pattern for the service days to list."""
         schema = f"{self.columns}, service_day date, batch bigint"
-        return self.spark.read.schema(schema).parquet(self.path)
+        try:
+            reader = self.spark.read.schema(schema).option("basePath", self.path)
+            return reader.parquet(f"{self.path}/service_day={days}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def between(self, start, end) -> DataFrame:
-        """Rows with `timestamp` in `[start, end]`; only the days of that range are read."""
+        """Rows with `timestamp` in `[start, end]`; only the folders of these days are listed.
+
+        Each batch adds a folder to its days, so trigger periods of seconds make the lists long.
+        """
         lo, hi = instant(start), instant(end)
-        return self.read().filter(
-            F.col("service_day").between(F.to_date(lo), F.to_date(hi)) & F.col("timestamp").between(lo, hi)
-        )
+        days = F.array_join(F.sequence(F.to_date(lo), F.to_date(hi)), ",")
+        listed = self.spark.range(1).select(days).first()[0]
+        return self.read("{" + listed + "}").filter(F.col("timestamp").between(lo, hi))
 
 
 class ViewPublisher:

@@ -89,6 +89,17 @@ def test_a_repeated_batch_replaces_itself(spark, make, tmp_path):
     table.append(one, 0)
     assert table.read().count() == 3
     assert table.between("2019-02-28 08:00:00", "2019-02-28 10:00:00").count() == 2
+    assert table.between("2019-02-26 08:00:00", "2019-02-28 10:00:00").count() == 3
+    assert table.between("2019-03-01 08:00:00", "2019-03-02 10:00:00").count() == 0
+    read = table.between("2019-02-28 08:00:00", "2019-02-28 10:00:00").inputFiles()
+    assert read and all("service_day=2019-02-28" in name for name in read)
+
+
+def test_reading_before_anything_is_stored(spark, make, tmp_path):
+    table = jobs.DepartureTable(spark, str(tmp_path / "table"), "station int, timestamp timestamp")
+    assert table.read().isEmpty()
+    table.append(make([], "station int, timestamp timestamp"), 0)
+    assert table.read().columns == ["station", "timestamp", "service_day", "batch"] and table.read().isEmpty()
 
 
 def late_batches(feed):
