@@ -3,8 +3,8 @@
 The points of a path are evenly spaced on a 0-100 % axis. Paths of up to four
 points are interpolated linearly, longer ones by a cubic spline with not-a-knot
 ends. A path is fitted once: `bends` gives the second derivative at each point
-(per point index), and `value_at` evaluates the curve with column expressions.
-All-zero bends make `value_at` the linear interpolation.
+(per point index), and `with_curve` evaluates the curve with column expressions.
+All-zero bends make it the linear interpolation.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -68,15 +68,32 @@ def bends(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing), pa.array(solved))
 
 
-def value_at(values: Column, bent: Column, percent: Column) -> Column:
-    """The curve at `percent` of the path; the only point for a path of one point."""
-    last = F.size(values) - 1
-    at = percent / F.lit(100.0) * last
-    left = F.greatest(F.least(F.floor(at).cast("int"), last - 1), F.lit(0))
-    right = F.least(left + 1, last)
-    t = at - left
-    s = F.lit(1.0) - t
-    return (
-        s * F.get(values, left) + t * F.get(values, right)
-        + ((s * s * s - s) * F.get(bent, left) + (t * t * t - t) * F.get(bent, right)) / F.lit(6.0)
+def with_piece(df: DataFrame, values: str, percent: Column) -> DataFrame:
+    """Adds `_left` (piece of the curve through `values`, from 0) and `_t` (place in it, 0 to 1).
+
+    Each step is a projection of its own. Written as one expression, the parts that occur
+    again and again would make the generated code too long for the JVM to compile.
+    """
+    placed = df.withColumn("_last", F.size(values) - 1)
+    placed = placed.withColumn("_u", percent / F.lit(100.0) * F.col("_last"))
+    left = F.greatest(F.least(F.floor("_u").cast("int"), F.col("_last") - 1), F.lit(0))
+    placed = placed.withColumn("_left", left)
+    return placed.withColumn("_t", F.col("_u") - F.col("_left")).drop("_last", "_u")
+
+
+def with_curve(df: DataFrame, out: str, values: str, bent: str) -> DataFrame:
+    """Adds `out`, the value of the curve at the place given by `_left` and `_t`.
+
+    A path of one point has its only value everywhere.
+    """
+    right = F.least(F.col("_left") + 1, F.size(values) - 1)
+    ends = df.withColumns({
+        "_y0": F.get(values, F.col("_left")), "_y1": F.get(values, right),
+        "_m0": F.get(bent, F.col("_left")), "_m1": F.get(bent, right),
+    }).withColumn("_s", F.lit(1.0) - F.col("_t"))
+    t, s = F.col("_t"), F.col("_s")
+    value = (
+        s * F.col("_y0") + t * F.col("_y1")
+        + ((s * s * s - s) * F.col("_m0") + (t * t * t - t) * F.col("_m1")) / F.lit(6.0)
     )
+    return ends.withColumn(out, value).drop("_y0", "_y1", "_m0", "_m1", "_s")

@@ -46,16 +46,22 @@ def trains_per_window(
     )
     slides = -(-length // slide)
     block = BLOCK_WINDOWS * slides * slide
-    own = floor_to(F.col("_pane"), block)
-    reached = F.when(F.col("_pane") - own < length, F.array(own, own - block)).otherwise(F.array(own))
-    blocks = panes.select(*keys, "_pane", "_n", F.explode(reached).alias("_block")).repartition(*keys, "_block")
-    last = floor_to(F.col("_pane"), slide)
-    first = last - slide * F.floor((last + length - F.col("_pane") - pane) / slide)
-    inside = F.sequence(
-        F.greatest(first, F.col("_block")), F.least(last, F.col("_block") + (block - slide)), F.lit(slide).cast("long")
+    reached = (
+        panes.withColumn("_last", floor_to(F.col("_pane"), slide))
+        .withColumn("_first", F.col("_last") - slide * F.floor((F.col("_last") + length - F.col("_pane") - pane) / slide))
+        .withColumn("_own", floor_to(F.col("_pane"), block))
     )
-    reaches = F.greatest(first, F.col("_block")) <= F.least(last, F.col("_block") + (block - slide))
-    starts = blocks.filter(reaches).select(*keys, "_block", "_n", F.explode(inside).alias("_start"))
+    own = F.col("_own")
+    in_blocks = F.when(F.col("_pane") - own < length, F.array(own, own - block)).otherwise(F.array(own))
+    blocks = reached.select(*keys, "_n", "_first", "_last", F.explode(in_blocks).alias("_block"))
+    limited = (
+        blocks.repartition(*keys, "_block")
+        .withColumn("_from", F.greatest("_first", "_block"))
+        .withColumn("_to", F.least(F.col("_last"), F.col("_block") + (block - slide)))
+        .filter(F.col("_from") <= F.col("_to"))
+    )
+    steps = F.sequence("_from", "_to", F.lit(slide).cast("long"))
+    starts = limited.select(*keys, "_block", "_n", F.explode(steps).alias("_start"))
     counts = starts.groupBy(*keys, "_block", "_start").agg(F.sum("_n").alias("nt"))
     return counts.select(*keys, _window(F.col("_start"), length).alias("window"), "nt")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headway.functions.clock import epoch
 from headway.functions.scalars import between_points, percent_elapsed
-from headway.functions.spline import bends, value_at
+from headway.functions.spline import bends, with_curve, with_piece
 from headway.operators.dims import attach
 
 
@@ -59,12 +59,12 @@ def accurate_position(df: DataFrame, fitted: DataFrame, salts: int = 1) -> DataF
     A train that stands (`from_st = to_st`) is at its station. Legs without a known path
     keep their coarse position.
     """
-    placed = attach(df, fitted, ["from_st", "to_st"], "left", salts)
+    placed = with_piece(attach(df, fitted, ["from_st", "to_st"], "left", salts), "lat", F.col("progress"))
     for out, coarse, axis in (("train_alt", "train_lt", "lat"), ("train_alg", "train_lg", "lon")):
-        along = value_at(F.col(axis), F.col(f"{axis}_bend"), F.col("progress"))
+        placed = with_curve(placed, "_along", axis, f"{axis}_bend")
         standing = F.when(F.col("from_st") == F.col("to_st"), F.get(axis, F.lit(0)))
-        placed = placed.withColumn(out, F.coalesce(standing, along, F.col(coarse)))
-    return placed.drop("lat", "lon", "lat_bend", "lon_bend")
+        placed = placed.withColumn(out, F.coalesce(standing, "_along", coarse)).drop("_along")
+    return placed.select(*df.columns, "train_alt", "train_alg")
 
 
 def with_position(df: DataFrame, fitted: DataFrame | None, accurate: bool = True, salts: int = 1) -> DataFrame:
@@ -76,14 +76,14 @@ def with_position(df: DataFrame, fitted: DataFrame | None, accurate: bool = True
 
 def _at(published: DataFrame, now, fitted: DataFrame, accurate: bool, salts: int) -> DataFrame:
     moving = published.withColumn("progress", percent_elapsed(now, F.col("departure_uts"), F.col("arrival_uts")))
-    placed = attach(moving, fitted, ["from_st", "to_st"], "left", salts)
+    placed = with_piece(attach(moving, fitted, ["from_st", "to_st"], "left", salts), "lat", F.col("progress"))
     for out, axis in (("lat_at", "lat"), ("lon_at", "lon")):
-        values = F.col(axis)
+        first, last = F.get(axis, F.lit(0)), F.get(axis, F.size(axis) - 1)
         if accurate:
-            along = value_at(values, F.col(f"{axis}_bend"), F.col("progress"))
-            along = F.when(F.col("from_st") == F.col("to_st"), F.get(values, F.lit(0))).otherwise(along)
+            placed = with_curve(placed, "_along", axis, f"{axis}_bend")
+            along = F.when(F.col("from_st") == F.col("to_st"), first).otherwise(F.col("_along"))
         else:
-            along = between_points(F.get(values, F.lit(0)), F.get(values, F.size(values) - 1), F.col("progress"))
+            along = between_points(first, last, F.col("progress"))
         placed = placed.withColumn(out, along)
     kept = [c for c in published.columns if c not in ("progress", "lat", "lon")]
     return placed.select(*kept, "progress", F.col("lat_at").alias("lat"), F.col("lon_at").alias("lon"))
