@@ -286,7 +286,7 @@ def _line_paths(spark, folder):
 
 
 def _micro(col):
-    return F.round(col * 1000000.0, 0).cast("bigint")
+    return F.floor(col * 1000000.0 + 0.5)
 
 
 @query
