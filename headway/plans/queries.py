@@ -13,7 +13,6 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.functions.clock import seconds_of
 from headway.model import KEYED_STATION, Settings, shared_folder
 from headway.operators import awt, dims, filters, lines, maps, positions, progress, topology
 from headway.operators.dedup import dedup_departures, distinct_stops
