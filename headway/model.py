@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -218,23 +217,19 @@ def session(app: str = "headway", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
-_local_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`.
+    """This application's folder in the place all executors see.
 
-    Only a local session without that setting gets a temporary folder.
+    The place is `spark.checkpoint.dir`; where that is unset, a folder in the warehouse, which is shared as well.
+    The folder goes when the application ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_headway"
     context = spark.sparkContext
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="headway-")
-        context.setCheckpointDir(_local_folders[context.applicationId])
-    return _local_folders[context.applicationId]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(place)
+    folder = f"{place.rstrip('/')}/{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
