@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import packing, sharding, token_files
+from headway.llm import packing, repeats, sharding, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
@@ -40,6 +40,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_simhash_near_dedup(spark, folder):
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@query
+def op2_substring_dedup(spark, folder):
+    return repeats.remove_repeats(_table(spark, folder, "documents"))
+
+
 @query
 def op3_best_fit_packing(spark, folder):
     return packing.pack_documents(_table(spark, folder, "documents"), TOKENIZER)
