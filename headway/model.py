@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
+from zipfile import ZipFile
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
@@ -214,7 +217,26 @@ def session(app: str = "headway", master: str | None = None, **conf: str) -> Spa
     }
     for key, value in wanted.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that Python functions find it there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).parent
+    target = Path(SparkFiles.getRootDirectory()) / f"{package.name}-code.zip"
+    with ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
 
 
 def shared_folder(spark: SparkSession) -> str:
