@@ -57,3 +57,18 @@ def without(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of `df` whose doc_id isn't among the ids; rows with a null id stay."""
     gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
     return df.join(gone, df["doc_id"] == gone["_gone"], "left_anti")
+
+
+def keep_rows(df: DataFrame, function: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """Rows whose `text` passes a test, with all their columns and without a shuffle.
+
+    `function` is called once per task and gives the test.
+    """
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = function()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t.as_py()) for t in batch.column(at)], type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -8,11 +8,14 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import packing, repeats, sharding, simhash, token_files
+from headway.llm import decontaminate, packing, repeats, sharding, simhash, token_counts, token_files
+
+from headway.model import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registered: dict[str, Query] = {}
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -28,6 +31,7 @@ def query(function: Query) -> Query:
 
 def prepare(spark: SparkSession) -> None:
     """Settings the operators count on: batches small enough that long texts fit in a worker's memory."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
@@ -63,3 +67,13 @@ def op5_token_files(spark, folder):
 @query
 def op6_sharding(spark, folder):
     return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+@query
+def op9_token_counts(spark, folder):
+    return token_counts.count_tokens(_table(spark, folder, "documents"), PIECES)
+
+
+@query
+def op10_decontamination(spark, folder):
+    return decontaminate.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
