@@ -3,29 +3,25 @@
 from __future__ import annotations
 
 import json
-import re
 from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words kept per worker and the longest of them: at most about 150 MB. Others are encoded each time.
-MEMO_WORDS, MEMO_CHARS = 500_000, 40
-
-# Where white space isn't single spaces and line feeds between words, pieces may reach over it.
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
+#: Words kept per worker and the longest of them: at most about 200 MB. Others are encoded each time.
+MEMO_WORDS, MEMO_CHARS = 1_000_000, 40
 
 
 class _Words(dict):
-    """Ids of a word as bytes, with a prefix that the key leaves out."""
+    """Ids, as bytes, of a word after a space, or of a word with the line feed before it."""
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(self.prefix + word)
-        if len(self) < MEMO_WORDS // 2 and len(word) <= MEMO_CHARS:
+        ids = self.encode(word if word[:1] == "\n" else " " + word)
+        if len(self) < MEMO_WORDS and len(word) <= MEMO_CHARS:
             self[word] = ids
         return ids
 
@@ -48,8 +44,7 @@ class TextEncoder:
             and before.get("use_regex", True) and not before.get("add_prefix_space")
         )
         self.special = [t["content"] for t in kind.get("added_tokens", [])]
-        self.bare, self.spaced = _Words(self.whole, ""), _Words(self.whole, " ")
-        self.line_feed = self.whole("\n")
+        self.words = _Words(self.whole)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -57,16 +52,11 @@ class TextEncoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word or _IRREGULAR.search(text) or any(s in text for s in self.special):
+        single = " ".join(text.split()) == text.replace("\n", " ")  # and no other white space
+        if not self.by_word or not single or any(s in text for s in self.special):
             return self.whole(text)
-        bare, spaced, parts = self.bare, self.spaced.__getitem__, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(bare[words[0]])
-            parts.extend(map(spaced, words[1:]))
-            parts.append(self.line_feed)
-        parts.pop()
-        return b"".join(parts)
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self.whole(first) + b"".join(map(self.words.__getitem__, words))
 
 
 @cache
