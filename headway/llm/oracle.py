@@ -1,3 +1,62 @@
 """The operators' queries in DuckDB's SQL, where SQL can express them."""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_line_quality": r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents
+),
+words AS (
+  SELECT doc_id, r, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts
+),
+windows AS (
+  SELECT r, i, list_slice(words, i, i + 2) AS shingle
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM words)
+),
+again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, shingle) AS n FROM windows) WHERE n > 1
+),
+covered AS (
+  SELECT r, count(DISTINCT i + shift) AS n_repeat_words
+  FROM again, (SELECT unnest([0, 1, 2]) AS shift) GROUP BY r
+),
+lines AS (
+  SELECT r, line, words, row_number() OVER (PARTITION BY r ORDER BY nth) AS place
+  FROM (
+    SELECT r, nth, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words
+    FROM (
+      SELECT r, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(1, len(string_split(text, chr(10))) + 1)) AS nth
+      FROM texts
+    )
+  )
+  WHERE len(words) > 0
+),
+rated AS (
+  SELECT r, line, len(words) AS n,
+    len(list_filter(words, lambda w: w IN ('|', '»', '›', '→', '/', '>'))) >= 2
+    OR regexp_matches(line, '(?i)\b(?:uses? cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|javascript is (?:disabled|required)|sign in|log in|subscribe to our|click here|licensed under|released under|lorem ipsum)\b')
+    OR len(list_filter(words, lambda w: regexp_matches(w, '[#*$%&|<>]|!!'))) > 0.3 * len(words)
+    OR place > 1 AND len(words) < 8 AND NOT regexp_matches(line, '[.!?…:;。！？]["''”’»)\]]*[ \t\v\f\r]*$') AS fails
+  FROM lines
+),
+stays AS (
+  SELECT r, sum(CASE WHEN fails THEN 0 ELSE n END)::BIGINT AS n_kept_words,
+         (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines
+  FROM rated GROUP BY r
+),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_kept_words, 0) AS n_kept_words
+  FROM words LEFT JOIN covered USING (r) LEFT JOIN stays USING (r)
+),
+failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_kept_words >= 0.5 * n_words AS kept, n_kept_words
+FROM failed
+""",
+}

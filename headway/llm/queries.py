@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import decontaminate, packing, repeats, sharding, simhash, token_counts, token_files
+from headway.llm import decontaminate, packing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity
 
 from headway.model import ship_package
 
@@ -77,3 +77,14 @@ def op9_token_counts(spark, folder):
 @query
 def op10_decontamination(spark, folder):
     return decontaminate.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@query
+def op7_toxicity(spark, folder):
+    documents = _table(spark, folder, "documents")
+    return toxicity.score(documents, toxicity.train(documents, _table(spark, folder, "labels")))
+
+
+@query
+def op8_line_quality(spark, folder):
+    return quality.rate_quality(_table(spark, folder, "documents"))
