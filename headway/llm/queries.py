@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import decontaminate, packing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity
+from headway.llm import decontaminate, language, packing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity
 
 from headway.model import ship_package
 
@@ -88,3 +88,9 @@ def op7_toxicity(spark, folder):
 @query
 def op8_line_quality(spark, folder):
     return quality.rate_quality(_table(spark, folder, "documents"))
+
+
+@query
+def op4_language_id(spark, folder):
+    documents = _table(spark, folder, "documents")
+    return language.predict(documents, language.train(documents))
