@@ -44,17 +44,20 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     size = len(ids)
     if not size:
         return np.zeros(0, dtype="<u8")
-    widths = np.zeros(size, dtype=np.uint8)
-    for bits in sorted({b for _, b in SELECTORS[:-1]}):  # the least width of the table that holds the id
-        widths[ids >> np.uint64(bits) != 0] = bits + 1
-    at = np.arange(size, dtype=np.int32)
-    choice = np.full(size, len(SELECTORS) - 1, dtype=np.int8)
+    # Bits of each id (above 2^53 perhaps one more than needed) and, by doubling, the most in a window of n ids. Past
+    # the end are zeros.
+    widths = np.zeros(size + SELECTORS[0][0], dtype=np.uint8)
+    widths[:size] = np.minimum(np.frexp(ids.astype(np.float64))[1], SELECTORS[-1][1])
+    most = {1: widths}
+    while (n := max(most)) * 2 <= SELECTORS[0][0]:
+        most[n * 2] = np.maximum(most[n][:-n], most[n][n:])
+    choice = np.full(size, len(SELECTORS) - 1, dtype=np.uint8)
     for selector in range(len(SELECTORS) - 2, -1, -1):
         n, bits = SELECTORS[selector]
-        wide = np.where(widths > bits, at, np.int32(size))
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        choice[(next_wide - at >= n) | (next_wide == size)] = selector
-    steps, starts, i = _COUNTS[choice].tolist(), [], 0
+        half = 1 << (n.bit_length() - 1)
+        widest = np.maximum(most[half][:size], most[half][n - half : n - half + size])
+        choice[widest <= bits] = selector
+    steps, starts, i = _COUNTS.astype(np.uint8)[choice].tobytes(), [], 0
     while i < size:
         starts.append(i)
         i += steps[i]
