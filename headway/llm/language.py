@@ -183,7 +183,6 @@ def train(documents: DataFrame) -> Model:
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        script_of = _letters()[1]
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS + len(SCRIPT_NAMES), dtype=np.int64))
         for batch in batches:
             texts = defaultdict(list)
@@ -194,7 +193,6 @@ def train(documents: DataFrame) -> Model:
                 counts[lang][:BUCKETS] += np.bincount(words.trigrams, minlength=BUCKETS)
                 letters = words.end - words.start
                 counts[lang][BUCKETS:] += np.bincount(words.script, letters, len(SCRIPT_NAMES)).astype(np.int64)
-        assert len(script_of)
         for lang, own in counts.items():
             used = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +204,8 @@ def train(documents: DataFrame) -> Model:
     languages = sorted(set(table.column("lang").to_pylist()))
     number = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)))
-    counts[[number[x] for x in table.column("lang").to_pylist()], table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    lang = np.array([number[x] for x in table.column("lang").to_pylist()], dtype=np.int64)
+    counts[lang, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     trigrams, scripts = counts[:, :BUCKETS], counts[:, BUCKETS:]
     logs = np.log((trigrams + SMOOTHING) / (trigrams.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
     uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)

@@ -100,46 +100,48 @@ def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     return over_rows(listed, "doc_id long, numbers array<int>", start)
 
 
-def remove_repeats(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """All columns of the documents, with repeats taken out of `text`, and two more:
+def remove_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, spans: bool = True) -> DataFrame:
+    """All columns of the documents, with repeats taken out of `text`, and with `spans` two more:
 
     removed   array of (start, length): the spans taken out, as code points of the original text, ascending
     kept      array of (start, length): the spans that stay; joined, they are the new text
 
     A null text stays null and an empty one empty. Repeats within one document count. Rows that repeat a doc_id are
-    one document: all keep the same units. Rows with a null doc_id stay as they are. Columns named like the new
-    ones are replaced. Every row of the documents is returned.
+    one document: all keep the same units. Rows with a null doc_id stay as they are. Columns named like the two
+    are replaced. Every row of the documents is returned.
     """
-    numbers = repeated_units(documents, least_words).select(F.col("doc_id").alias("_id"), F.col("numbers").alias("_numbers"))
-    rows = documents.drop("removed", "kept")
-    joined = rows.join(numbers, rows["doc_id"] == numbers["_id"], "left").drop("_id")
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+    gone = repeated_units(documents, least_words).select(
+        F.col("doc_id").alias("gone_id"), F.col("numbers").alias("gone_numbers")
+    )
+    rows = documents.drop("removed", "kept") if spans else documents
+    joined = rows.join(gone, rows["doc_id"] == gone["gone_id"], "left").drop(gone["gone_id"])
+    span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     names = rows.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, kept = [], [], []
-            for text, gone in zip(batch.column(at), batch.column(len(names)), strict=True):
-                text, gone = text.as_py(), set(gone.as_py() or ())
+            for text, numbers in zip(batch.column(at), batch.column(len(names)), strict=True):
+                text, numbers = text.as_py(), set(numbers.as_py() or ())
                 out, stay = [], []
-                for number, (start, end, _) in enumerate(units(text or "")) if gone else ():
-                    side = out if number in gone else stay
+                for number, (start, end, _) in enumerate(units(text or "")) if numbers else ():
+                    side = out if number in numbers else stay
                     if side and side[-1][1] == start:
                         side[-1] = (side[-1][0], end)
                     else:
                         side.append((start, end))
-                if not gone and text:
+                if not numbers and text:
                     stay = [(0, len(text))]
-                texts.append("".join(text[a:b] for a, b in stay) if gone else text)
+                texts.append("".join(text[a:b] for a, b in stay) if numbers else text)
                 removed.append([{"start": a, "length": b - a} for a, b in out])
                 kept.append([{"start": a, "length": b - a} for a, b in stay])
-            columns = [pa.array(texts, type=batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(removed, type=spans), pa.array(kept, type=spans)], names=[*names, "removed", "kept"]
-            )
+            columns = [batch.column(i) for i in range(len(names))]
+            columns[at] = pa.array(texts, type=columns[at].type)
+            more = [pa.array(removed, type=span), pa.array(kept, type=span)] if spans else []
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, "removed", "kept"][: len(names) + len(more)])
 
     more = StructType.fromDDL(
         "removed array<struct<start:int,length:int>>, kept array<struct<start:int,length:int>>"
     )
-    return joined.mapInArrow(run, StructType([*rows.schema.fields, *more.fields]))
+    return joined.mapInArrow(run, StructType([*rows.schema.fields, *(more.fields if spans else ())]))
