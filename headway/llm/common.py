@@ -48,6 +48,13 @@ def over_rows(df: DataFrame, schema: str, function: Callable[[], Callable[[dict]
     return df.mapInArrow(run, types)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, made longer until no column of the frame has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo `divisor`; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(0)).cast("int")
