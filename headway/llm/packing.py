@@ -104,22 +104,21 @@ def token_pieces(documents: DataFrame, tokenizer: str, limit: int, with_ids: boo
         ("ids_crc32", pa.int64()), ("part", pa.int32()), ("own_rank", pa.int64()),
     ] + ([("ids", pa.binary())] if with_ids else [])
     schema = pa.schema(fields)
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, dtype=np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                n = len(ids) // 4
-                bounds = [0, *range(n % limit or limit, n, limit), n]
-                for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    own = ids[4 * a : 4 * b]
+            ids, bounds = encode(batch.column(1), END_ID)
+            content, rows = memoryview(ids.astype("<u4")).cast("B"), []
+            for doc_id, first, last in zip(batch.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                n = last - first
+                cuts = [0, *range(n % limit or limit, n, limit), n]
+                for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    own = content[4 * (first + a) : 4 * (first + b)]
                     row = (doc_id, piece, a, b - a, zlib.crc32(own), part, int(seen[b - a]))
-                    rows.append((*row, own) if with_ids else row)
+                    rows.append((*row, own.tobytes()) if with_ids else row)
                     seen[b - a] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]

@@ -33,7 +33,8 @@ def prepare(spark: SparkSession) -> None:
     """Settings the operators count on: batches small enough that long texts fit in a worker's memory."""
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def registered() -> dict[str, Query]:

@@ -169,7 +169,6 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str) -> Data
     its own name, and only the list names the valid ones, so a task that runs twice does no harm. `folder` is a URI
     that executors can write to through pyarrow's file systems.
     """
-    end = np.array([END_ID], dtype=np.uint64)
     schema = pa.schema([
         ("file", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
     ])
@@ -189,9 +188,9 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str) -> Data
 
         writer = Writer()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py()), dtype="<u4").astype(np.uint64)
-                writer.add(doc_id, np.concatenate([ids, end]))
+            ids, bounds = encode(batch.column(1), END_ID)
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                writer.add(doc_id, ids[a:b])
                 if writer.ids >= FILE_IDS:
                     close(writer)
                     writer = Writer()

@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Words kept per worker and the longest of them: at most about 200 MB. Others are encoded each time.
-MEMO_WORDS, MEMO_CHARS = 1_000_000, 40
+#: Words kept per worker and the longest of them: at most about 150 MB. Others are encoded each time.
+MEMO_WORDS, MEMO_CHARS = 700_000, 40
+#: Bytes of text that are encoded at once; a longer text is alone.
+AT_ONCE = 8 << 20
+
+# White space other than single spaces and line feeds between words; pieces may reach over it.
+_IRREGULAR = (
+    r"[ \n][ \n]|\A[ \n]|[ \n]\z"
+    r"|[\t\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+# Punctuation that stands in a piece of its own after a letter or digit.
+_MARKS = ".,;:!?"
 
 
 class _Words(dict):
@@ -17,9 +31,17 @@ class _Words(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.marks = encode, {}
 
     def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if len(stem) < len(word) and stem[-1:].isalnum():
+            marks = word[len(stem) :]
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                self.marks[marks] = self.encode(marks)
+            return self[stem] + self.marks[marks]
         ids = self.encode(word if word[:1] == "\n" else " " + word)
         if len(self) < MEMO_WORDS and len(word) <= MEMO_CHARS:
             self[word] = ids
@@ -27,11 +49,12 @@ class _Words(dict):
 
 
 class TextEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, equal to what the library gives for it.
+    """Ids of texts, equal to what the library gives for each whole text.
 
     A byte-level BPE file cuts texts before its merges, among others before each single space and around
-    each single line feed between words, so the words of such texts are encoded one by one. Texts with other
-    white space or with a special token's string, and all texts under other kinds of files, go to the library whole.
+    each single line feed between words. So the distinct words of a batch of such texts are encoded once each, and the
+    texts' ids gathered from theirs. Texts with other white space or with a special token's string, and all
+    texts under other kinds of files, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -43,20 +66,81 @@ class TextEncoder:
             kind["model"]["type"] == "BPE" and kind.get("normalizer") is None and before.get("type") == "ByteLevel"
             and before.get("use_regex", True) and not before.get("add_prefix_space")
         )
-        self.special = [t["content"] for t in kind.get("added_tokens", [])]
+        special = [re.escape(t["content"]) for t in kind.get("added_tokens", [])]
+        self.irregular = "|".join([_IRREGULAR, *special])
         self.words = _Words(self.whole)
+        # Texts are read with a line feed before them, whose ids are left out again.
+        self.lead = len(self.whole("\n")) // 4
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        single = " ".join(text.split()) == text.replace("\n", " ")  # and no other white space
-        if not self.by_word or not single or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        return self.whole(first) + b"".join(map(self.words.__getitem__, words))
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, and where each text's begin (and the last's end).
+
+        A null text counts as empty.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        ids, bounds, a = [], [np.zeros(1, dtype=np.int64)], 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(reach, (reach[a - 1] if a else 0) + AT_ONCE, side="right")))
+            own, own_bounds = self._encode(texts.slice(a, b - a), end)
+            ids.append(own)
+            bounds.append(own_bounds[1:] + bounds[-1][-1])
+            a = b
+        return np.concatenate(ids) if ids else np.zeros(0, dtype="<u4"), np.concatenate(bounds)
+
+    def _encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        by_word = pc.invert(pc.match_substring_regex(texts, self.irregular)) if self.by_word else pa.array([False] * n)
+        by_word = pc.and_(by_word, pc.not_equal(texts, "")).to_numpy(zero_copy_only=False).astype(bool)
+        split = pc.split_pattern(
+            pc.replace_substring(pc.binary_join_element_wise("", texts.filter(pa.array(by_word)), "\n"), "\n", " \n"), " "
+        ) if by_word.any() else pa.array([], type=pa.list_(pa.string()))
+        # Every text's first part is empty, as it begins with a space: it stands for the text's end.
+        coded = pc.list_flatten(split).dictionary_encode()
+        known = [self.words[w] if w else b"" for w in coded.dictionary.to_pylist()]
+        whole = [
+            self.whole(t) if t else b"" for t in texts.filter(pa.array(~by_word)).to_pylist()
+        ]
+        entries = [*known, *whole, np.array([end], dtype="<u4").tobytes()]
+        flat = np.frombuffer(b"".join(entries), dtype="<u4")
+        sizes = np.fromiter(map(len, entries), dtype=np.int32, count=len(entries)) // 4
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32)
+        return _gather(flat, starts, sizes, self._order(split, coded, by_word, len(known), len(whole)), self.lead, n)
+
+    @staticmethod
+    def _order(split: pa.Array, coded: pa.Array, by_word: np.ndarray, known: int, whole: int) -> tuple:
+        """Entries in the order of the texts, the texts' numbers of entries, and which entries lead a text."""
+        offsets = split.offsets.to_numpy().astype(np.int64) if len(split) else np.zeros(1, dtype=np.int64)
+        counts = np.ones(len(by_word), dtype=np.int64)
+        counts[by_word] = np.diff(offsets) - 1
+        ends = np.cumsum(counts + 1)
+        order = np.full(int(ends[-1]) if len(ends) else 0, known + whole, dtype=np.int32)  # the end id, unless set below
+        firsts = ends - counts - 1
+        order[firsts[~by_word]] = known + np.arange(whole)
+        if len(split):
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            keep = np.ones(len(codes), dtype=bool)
+            keep[offsets[:-1]] = False
+            at = np.arange(int(counts[by_word].sum())) + np.repeat(
+                firsts[by_word] - np.cumsum(counts[by_word]) + counts[by_word], counts[by_word]
+            )
+            order[at] = codes[keep]
+        return order, firsts, by_word
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: tuple, lead: int, n: int) -> tuple:
+    """The ids of the entries in order, without those that lead texts, and the texts' bounds."""
+    entries, firsts, by_word = order
+    begin, length = starts[entries], sizes[entries]
+    begin[firsts[by_word]] += lead
+    length[firsts[by_word]] -= lead
+    ends = np.cumsum(length, dtype=np.int64)
+    at = np.arange(int(ends[-1]) if n else 0)
+    at += np.repeat(begin - ends + length, length)
+    return flat[at], np.concatenate([(ends - length)[firsts], ends[-1:] if n else [0]]).astype(np.int64)
 
 
 @cache
