@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from headway.llm.common import over_rows, written
+from headway.llm.common import over_rows, unused, written
 
 LEAST_WORDS = 8
 # A unit reaches to the end of its line, or to the end of a sentence and the spaces after it.
@@ -71,10 +71,11 @@ def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     found = written(_digests(documents), "units")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")
     firsts = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select(
+    # Written, so that the join below stands on two plain shuffles and Spark can split a digest that very many units have.
+    firsts = written(firsts.select(
         F.col("high").alias("h"), F.col("low").alias("l"), F.col("first.doc_id").alias("first_doc"),
         F.col("first.number").alias("first_number"),
-    )
+    ), "repeated-digests")
     again = found.join(firsts, (found["high"] == firsts["h"]) & (found["low"] == firsts["l"])).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("number") == F.col("first_number")))
     )
@@ -110,11 +111,12 @@ def remove_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, spans:
     one document: all keep the same units. Rows with a null doc_id stay as they are. Columns named like the two
     are replaced. Every row of the documents is returned.
     """
+    rows = documents.drop("removed", "kept") if spans else documents
+    gone_id, gone_numbers = unused("gone_id", rows), unused("gone_numbers", rows)
     gone = repeated_units(documents, least_words).select(
-        F.col("doc_id").alias("gone_id"), F.col("numbers").alias("gone_numbers")
+        F.col("doc_id").alias(gone_id), F.col("numbers").alias(gone_numbers)
     )
-    rows = documents.drop("removed", "kept") if spans else documents
-    joined = rows.join(gone, rows["doc_id"] == gone["gone_id"], "left").drop(gone["gone_id"])
+    joined = rows.join(gone, rows["doc_id"] == gone[gone_id], "left").drop(gone[gone_id])
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     names = rows.columns
     at = names.index("text")
