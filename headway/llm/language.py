@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,6 +252,8 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                     letters = np.bincount(key, words.end - words.start, len(texts) * k).reshape(-1, k)
                 else:
                     letters = np.zeros((len(texts), k))
+                written_in = pc.match_substring_regex(pa.array(texts, type=pa.string()), r"\p{L}")  # not marks alone
+                letters[~pc.fill_null(written_in, False).to_numpy(zero_copy_only=False).astype(bool)] = 0
                 most, total = letters.argmax(axis=1), letters.sum(axis=1)
                 names += [of.languages[m] if t else UNKNOWN for m, t in zip(most.tolist(), total.tolist(), strict=True)]
                 scores += (letters.max(axis=1) / np.maximum(total, 1)).tolist()

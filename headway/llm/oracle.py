@@ -1,6 +1,59 @@
 """The operators' queries in DuckDB's SQL, where SQL can express them."""
 
 ORACLE: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i AS line_no, line, i < n AS more
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i, len(lines) AS n
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
+),
+pieces AS (
+  SELECT doc_id, line_no, k, CASE WHEN k = n AND more THEN piece || chr(10) ELSE piece END AS piece,
+         trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS words
+  FROM (
+    SELECT doc_id, line_no, more, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS k, len(p) AS n
+    FROM (
+      SELECT *, CASE WHEN line = '' THEN [''] ELSE
+        regexp_extract_all(line, '.*?[.!?…。！？]["''”’)\]]*(?:[ \t]+|$)|.+') END AS p
+      FROM lines
+    )
+  )
+),
+numbered AS (
+  SELECT *, sum(CASE WHEN words <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no, k) AS unit FROM pieces
+),
+units AS (
+  SELECT doc_id, unit, string_agg(piece, '' ORDER BY line_no, k) AS piece, max(words) AS words FROM numbered GROUP BY doc_id, unit
+),
+marked AS (
+  SELECT *, words <> '' AND row_number() OVER (PARTITION BY words ORDER BY doc_id, unit) > 1 AS again FROM units
+),
+runs AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, again ORDER BY unit) AS run,
+         sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY unit) - length(piece) AS start
+  FROM marked
+),
+judged AS (
+  SELECT *, again AND sum(len(string_split(words, ' '))) OVER (PARTITION BY doc_id, again, run) >= 8 AS gone FROM runs
+),
+texts AS (
+  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE piece END, '' ORDER BY unit) AS text FROM judged GROUP BY doc_id
+),
+spans AS (
+  SELECT doc_id, gone, min(start) AS start, sum(length(piece)) AS length
+  FROM (SELECT *, unit - row_number() OVER (PARTITION BY doc_id, gone ORDER BY unit) AS stretch FROM judged WHERE piece <> '')
+  GROUP BY doc_id, gone, stretch
+),
+listed AS (
+  SELECT doc_id,
+         string_agg(start || '+' || length, ' ' ORDER BY start) FILTER (WHERE gone) AS removed,
+         string_agg(start || '+' || length, ' ' ORDER BY start) FILTER (WHERE NOT gone) AS kept
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, d.lang, d.source, d.n_chars,
+       coalesce(removed, '') AS removed, coalesce(kept, '') AS kept
+FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN listed USING (doc_id)
+""",
     "op8_line_quality": r"""
 WITH texts AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents

@@ -7,9 +7,11 @@ from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from headway.llm import decontaminate, language, packing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity
-
+from headway.llm import (
+    decontaminate, language, packing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity,
+)
 from headway.model import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +54,14 @@ def op1_simhash_near_dedup(spark, folder):
 
 @query
 def op2_substring_dedup(spark, folder):
-    return repeats.remove_repeats(_table(spark, folder, "documents"))
+    """The documents without repeats; the spans taken out and kept as `start+length` of the original text."""
+    found = repeats.remove_repeats(_table(spark, folder, "documents"))
+
+    def listed(spans):
+        texts = F.transform(spans, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string")))
+        return F.array_join(texts, " ")
+
+    return found.withColumns({name: listed(name) for name in ("removed", "kept")})
 
 
 @query

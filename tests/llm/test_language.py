@@ -61,6 +61,7 @@ def test_messy_rows_and_no_rows(messy, documents):
     by_id = {r["doc_id"]: r for r in rows}
     assert {by_id[i]["lang_pred"] for i in (2, 3, 4)} == {"und"} and by_id[2]["score"] == 0
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert predict(documents([(1, "\u0301 \u0302")]), model).first()["lang_pred"] == "und"  # marks, but no letter
     nothing = train(documents([]))
     assert nothing.languages == [] and {r["lang_pred"] for r in predict(messy, nothing).collect()} == {"und"}
     assert predict(documents([]), model).count() == 0
