@@ -29,7 +29,7 @@ from headway.llm.tokenizing import encoder
 MAGIC = b"HWTOK001"
 BLOCK = 1 << 16
 #: Ids after which a task begins another file; a file is read as one row.
-FILE_IDS = 1 << 24
+FILE_IDS = 1 << 23
 
 # Fixed values of the format: how many ids a word holds and in how many bits each, by selector.
 SELECTORS = (
