@@ -1,7 +1,8 @@
 """Times the headline queries; prints one JSON line.
 
 Each query runs once to warm up and is then timed over whole results, written to the
-`noop` sink so that nothing is collected. BENCH_SF_DIR and BENCH_CPUS choose tables and cores.
+`noop` sink so that nothing is collected. BENCH_SF_DIR and BENCH_CPUS choose tables and cores; with
+BENCH_MICRO_BATCHES the slowest of ten micro-batches of the streaming job is timed as well.
 """
 
 from __future__ import annotations
@@ -14,14 +15,47 @@ from headway.model import session
 from headway.plans.queries import registered
 
 HEADLINE = (
-    "decode_json", "parse_board_xml", "dedup_first", "awt_windows", "awt_panes", "awt_panes_by_station",
+    "decode_json", "parse_board_xml", "dedup_first", "awt_panes", "awt_panes_by_station",
     "awt_last_window_latest", "awt_ordered", "awt_global", "next_stop_events", "next_stop_lineitem",
     "train_progress_coarse", "accurate_position", "accurate_position_spline", "positions_track", "station_paths",
-    "spline_knots", "ancestors_from_parents", "line_membership", "map_layers_with_rail", "distinct_track_points",
+    "spline_knots", "cubic_position", "station_paths_mid_branch", "ancestors_from_parents", "line_membership", "map_layers_with_rail", "distinct_track_points",
     "stream_awt", "stream_awt_windows",
 )
 
 
+def slowest_micro_batch(spark, folder: str, batches: int = 10) -> float:
+    """Seconds of the slowest of ten successive batches of the default streaming job, after two to warm up."""
+    from uuid import uuid4
+
+    from pyspark.sql import functions as F
+
+    from headway.model import shared_folder
+    from headway.plans import table_feed as feed
+    from headway.plans.queries import AS_OF, SETTINGS
+    from headway.streaming import jobs
+
+    run = f"{shared_folder(spark)}/micro-{uuid4().hex}"
+    parts = batches + 2
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    for n in range(parts):
+        events.filter(F.pmod("event_id", F.lit(parts)) == n).coalesce(1).write.mode("append").parquet(f"{run}/feed")
+    raw = spark.readStream.schema(feed.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{run}/feed")
+    departures = feed.as_departures(raw.withColumn("ingest_ts", F.col("_metadata.file_modification_time")), "ingest_ts")
+    columns = (
+        "station int, train string, timestamp timestamp, mode string, mission string, terminus int, event_id bigint, "
+        "ingest_ts timestamp"
+    )
+    publisher = jobs.ReportPublisher(
+        spark, jobs.DepartureTable(spark, f"{run}/departures", columns), run, feed.supplier_stations(spark, folder),
+        settings=SETTINGS, as_of=lambda: AS_OF, order_by=["event_id"],
+    )
+    job = jobs.default_job(spark, departures, publisher, run, SETTINGS).start()
+    job.await_termination()
+    took = [p["durationMs"]["triggerExecution"] / 1000 for q in job.running.values() for p in q.recentProgress if p["numInputRows"]]
+    job.stop()
+    return round(max(took[2:]), 3)
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -41,6 +75,8 @@ def main() -> None:
             begin = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - begin, 3)
+    if os.environ.get("BENCH_MICRO_BATCHES"):
+        times["slowest_micro_batch"] = slowest_micro_batch(spark, folder)
     print(json.dumps({
         "metric": "total time of the headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),

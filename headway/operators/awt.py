@@ -124,8 +124,8 @@ def last_window_counts(
 
 
 def ordered_awt(batch: DataFrame) -> DataFrame:
-    """Stations by waiting time, shortest first."""
-    return batch.select("station", "awt").orderBy("awt", "station")
+    """Stations by waiting time, shortest first; those without one come last."""
+    return batch.select("station", "awt").orderBy(F.asc_nulls_last("awt"), "station")
 
 
 def global_awt(batch: DataFrame) -> DataFrame:
@@ -134,8 +134,8 @@ def global_awt(batch: DataFrame) -> DataFrame:
 
 
 def min_awt(batch: DataFrame) -> DataFrame:
-    """Station with the shortest waiting time; the lowest code among equals."""
-    return batch.orderBy("awt", "station").limit(1).select("station", F.col("awt").alias("min_awt"))
+    """Station with the shortest waiting time, if any has one; the lowest code among equals."""
+    return batch.orderBy(F.asc_nulls_last("awt"), "station").limit(1).select("station", F.col("awt").alias("min_awt"))
 
 
 def max_awt(batch: DataFrame) -> DataFrame:

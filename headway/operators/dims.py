@@ -63,8 +63,9 @@ def open_data_places(raw: DataFrame) -> DataFrame:
 def with_coordinates(stations: DataFrame, places: DataFrame, order_by: str = "seq") -> DataFrame:
     """Stations with the place given last in `order_by`; unknown ones keep theirs."""
     complete = places.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    latest = complete.groupBy("station").agg(
-        F.max_by("latitude", order_by).alias("_lat"), F.max_by("longitude", order_by).alias("_lon")
+    last = F.max(F.struct(order_by, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))).alias("_last")
+    latest = complete.groupBy("station").agg(last).select(
+        "station", F.col("_last.lat").alias("_lat"), F.col("_last.lon").alias("_lon")
     )
     joined = stations.join(latest, "station", "left")
     return joined.select(

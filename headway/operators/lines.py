@@ -31,7 +31,7 @@ def line_membership(stretches: DataFrame, span: int | None = None) -> DataFrame:
         local = spans.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0)))
         placed = local.join(base, ["line", "_span"]).withColumn("_first", F.col("_base") + F.col("_in"))
     return placed.select("line", "_first", F.posexplode("labels").alias("_i", "label")).select(
-        "line", (F.col("_first") + F.col("_i")).cast("int").alias("pos"), "label"
+        "line", (F.col("_first") + F.col("_i")).cast("long").alias("pos"), "label"
     )
 
 

@@ -84,7 +84,8 @@ def _at(published: DataFrame, now, fitted: DataFrame, accurate: bool, salts: int
             along = F.when(F.col("from_st") == F.col("to_st"), first).otherwise(F.col("_along"))
         else:
             along = between_points(first, last, F.col("progress"))
-        placed = placed.withColumn(out, along)
+        coarse = "train_lt" if axis == "lat" else "train_lg"
+        placed = placed.withColumn(out, F.coalesce(along, coarse) if coarse in published.columns else along)
     kept = [c for c in published.columns if c not in ("progress", "lat", "lon")]
     return placed.select(*kept, "progress", F.col("lat_at").alias("lat"), F.col("lon_at").alias("lon"))
 
@@ -93,14 +94,25 @@ def positions_at(published: DataFrame, as_of, fitted: DataFrame, accurate: bool
     """Published trains with `progress, lat, lon` at another instant.
 
     Progress is not rounded. Before its departure a train is at the first point of its path
-    and after its arrival at the last; the coarse line runs between these two points.
+    and after its arrival at the last; the coarse line runs between these two points. A leg without a known path
+    keeps its published coarse position, if `published` has it.
     """
     return _at(published, epoch(as_of), fitted, accurate, salts)
 
 
 def positions_track(
-    published: DataFrame, start, end, step_s: int, fitted: DataFrame, accurate: bool = True, salts: int = 1
+    published: DataFrame, start, end, step_s: int, fitted: DataFrame, accurate: bool = True, salts: int = 1,
+    under_way: bool = True,
 ) -> DataFrame:
-    """`positions_at` for every `step_s` seconds from `start` to `end`, as column `at_uts`."""
-    ticks = F.explode(F.sequence(epoch(start), epoch(end), F.lit(step_s).cast("long")))
+    """`positions_at` for every `step_s` seconds from `start` to `end`, as column `at_uts`.
+
+    A leg has rows for the instants between its departure and arrival; with `under_way=False` for all instants,
+    also those at which it stands at either end.
+    """
+    first, last, step = epoch(start), epoch(end), F.lit(step_s).cast("long")
+    if under_way:
+        late = F.greatest(F.lit(0).cast("long"), F.col("departure_uts") - first)
+        first = first + F.ceil(late / step).cast("long") * step
+        last = F.least(last, F.col("arrival_uts"))
+    ticks = F.explode(F.when(first <= last, F.sequence(first, F.greatest(first, last), step)))
     return _at(published.withColumn("at_uts", ticks), F.col("at_uts"), fitted, accurate, salts)

@@ -192,13 +192,43 @@ def _along(axis: str, share: str) -> str:
     return f"(1.0::DOUBLE - {t}) * a_{axis} + {t} * b_{axis}"
 
 
+def _cubic(axis: str, x: str) -> str:
+    """The cubic that the paths of `cubic_position` follow; NULL without a destination."""
+    if axis == "lat":
+        return f"""(48.01::DOUBLE + from_st / 97.0::DOUBLE + 0.0021371::DOUBLE * ({x}) + (to_st - 50) * 1.0373171e-6::DOUBLE * ({x}) * ({x})
+         + (from_st + 1) * 1.0117193e-8::DOUBLE * ({x}) * ({x}) * ({x}))"""
+    return f"""(2.003::DOUBLE + to_st / 89.0::DOUBLE - 0.0013177::DOUBLE * ({x}) + (from_st - 40) * 2.0719317e-6::DOUBLE * ({x}) * ({x})
+         - (to_st + 2) * 1.0117193e-8::DOUBLE * ({x}) * ({x}) * ({x}))"""
+
+
+# Every event a train of its own.
+EVERY_WINDOW = windows("station").replace("FROM uniq", "FROM dep")
+
 ORACLE: dict[str, str] = {
     "decode_json": "WITH " + DEP + " SELECT station, train, departure, mode, mission, terminus, event_id FROM dep",
     "decode_quarantine": "WITH " + DEP + """
-SELECT event_id, CASE WHEN mode = 'R' THEN train END AS train,
-       CASE WHEN mode = 'T' THEN substr('{"station":' || station || ',"train":"' || train || '","timestamp"', 1, 20) END
-         AS bad_value
+SELECT event_id, CASE WHEN mission NOT IN ('error', 'view') THEN train END AS train,
+       CASE WHEN mission = 'error' THEN substr('{"station":' || station || ',"train":"' || train || '","timestamp"', 1, 20)
+            WHEN mission = 'view' THEN '{"station":"abc","train":"' || train || '","timestamp":"'
+              || strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') || '","mode":"' || mode || '","mission":"' || mission
+              || '","terminus":' || terminus || '}' END AS bad_value
 FROM dep""",
+    "boards_quarantine": "WITH " + DEP + """,
+boards AS (
+  SELECT event_id, station, train, mission,
+         '<passages><train><date mode="R">' || strftime(ts, '%d/%m/%Y %H:%M') || '</date><num>' || train || '</num><miss>'
+         || upper(mission) || '</miss><term>' || terminus || '</term></train><train><date mode="R">'
+         || strftime(ts + INTERVAL 5 MINUTE, '%d/%m/%Y %H:%M') || '</date><num>' || (CAST(train AS BIGINT) + 1)
+         || '</num><miss>' || upper(mission) || '</miss><term>' || terminus || '</term></train></passages>' AS xml
+  FROM dep
+)
+SELECT event_id, station, NULL AS train, substr(xml, 1, length(xml) - 20) AS bad_value FROM boards WHERE mission = 'error'
+UNION ALL SELECT event_id, station, train, NULL FROM boards WHERE mission <> 'error'
+UNION ALL SELECT event_id, station, CAST(CAST(train AS BIGINT) + 1 AS VARCHAR), NULL FROM boards
+WHERE mission NOT IN ('error', 'view')""",
+    "local_times": "WITH " + DEP + " SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS local_time FROM dep",
+    "volume_metric": "SELECT count(*) AS rows FROM events",
+    "files_round_trip": "WITH " + DEP + " SELECT station, train, departure, mode, mission, terminus FROM dep",
     "parse_board_xml": "WITH " + DEP + """
 SELECT station, train, departure, 'R' AS mode, upper(mission) AS mission, terminus, event_id FROM dep
 UNION ALL
@@ -246,11 +276,56 @@ SELECT train, from_st, to_st, departure_uts, arrival_uts, share AS progress,
        CASE WHEN from_st = to_st THEN a_lt ELSE {_along("lt", "share")} END AS lat,
        CASE WHEN from_st = to_st THEN a_lg ELSE {_along("lg", "share")} END AS lon
 FROM moved""",
+    "positions_without_path": PUBLISHED + f""",
+moved AS (
+  SELECT *, CASE WHEN {LATER} < departure_uts THEN 0.0::DOUBLE ELSE {_share(LATER)} END AS share FROM published
+)
+SELECT train, from_st, to_st,
+       coalesce(CASE WHEN from_st % 2 = 0 THEN CASE WHEN from_st = to_st THEN a_lt ELSE {_along("lt", "share")} END END, train_lt) AS lat,
+       coalesce(CASE WHEN from_st % 2 = 0 THEN CASE WHEN from_st = to_st THEN a_lg ELSE {_along("lg", "share")} END END, train_lg) AS lon
+FROM moved""",
+    "cubic_position": PUBLISHED + f"""
+SELECT train, from_st, to_st, progress,
+       CAST(floor(coalesce({_cubic("lat", "CASE WHEN from_st = to_st THEN 0.0::DOUBLE ELSE progress END")}, train_lt)
+                  * 1000000 + 0.5) AS BIGINT) AS lat,
+       CAST(floor(coalesce({_cubic("lon", "CASE WHEN from_st = to_st THEN 0.0::DOUBLE ELSE progress END")}, train_lg)
+                  * 1000000 + 0.5) AS BIGINT) AS lon
+FROM published""",
+    "cubic_track": PUBLISHED + f""",
+moved AS (
+  SELECT train, from_st, to_st, at_uts,
+         CASE WHEN from_st = to_st THEN 0.0::DOUBLE ELSE {_share("at_uts")} END AS share
+  FROM (
+    SELECT *, unnest(generate_series({AS_OF} - 3600 + 60 * CAST(ceil(greatest(0, departure_uts - {AS_OF} + 3600) / 60) AS BIGINT),
+                                     least({AS_OF} + 3600, arrival_uts), 60)) AS at_uts
+    FROM published
+  )
+)
+SELECT train, from_st, to_st, at_uts, CAST(floor({_cubic("lat", "share")} * 1000000 + 0.5) AS BIGINT) AS lat,
+       CAST(floor({_cubic("lon", "share")} * 1000000 + 0.5) AS BIGINT) AS lon
+FROM moved""",
+    "spline_coefficients": PUBLISHED + """,
+pieces AS (
+  SELECT from_st, to_st, CAST(unnest(generate_series(0, (from_st * 7 + to_st) % 21 + 3)) AS INTEGER) AS seg,
+         (from_st * 7 + to_st) % 21 + 4 AS n,
+         0.0021371::DOUBLE AS p1, (to_st - 50) * 1.0373171e-6::DOUBLE AS p2, (from_st + 1) * 1.0117193e-8::DOUBLE AS p3,
+         -0.0013177::DOUBLE AS q1, (from_st - 40) * 2.0719317e-6::DOUBLE AS q2, -(to_st + 2) * 1.0117193e-8::DOUBLE AS q3
+  FROM (SELECT DISTINCT from_st, to_st FROM published WHERE to_st IS NOT NULL)
+),
+at_piece AS (SELECT *, 100.0::DOUBLE * seg / n AS x FROM pieces)
+SELECT from_st, to_st, seg,
+       CAST(floor((48.01::DOUBLE + from_st / 97.0::DOUBLE + p1 * x + p2 * x * x + p3 * x * x * x) * 1e6 + 0.5) AS BIGINT) AS a0,
+       CAST(floor((p1 + 2 * p2 * x + 3 * p3 * x * x) * 1e7 + 0.5) AS BIGINT) AS a1,
+       CAST(floor((p2 + 3 * p3 * x) * 1e9 + 0.5) AS BIGINT) AS a2, CAST(floor(p3 * 1e11 + 0.5) AS BIGINT) AS a3,
+       CAST(floor((2.003::DOUBLE + to_st / 89.0::DOUBLE + q1 * x + q2 * x * x + q3 * x * x * x) * 1e6 + 0.5) AS BIGINT) AS b0,
+       CAST(floor((q1 + 2 * q2 * x + 3 * q3 * x * x) * 1e7 + 0.5) AS BIGINT) AS b1,
+       CAST(floor((q2 + 3 * q3 * x) * 1e9 + 0.5) AS BIGINT) AS b2, CAST(floor(q3 * 1e11 + 0.5) AS BIGINT) AS b3
+FROM at_piece""",
     "positions_track": PUBLISHED + f""",
 ticks AS (SELECT unnest(generate_series({AS_OF} - 3600, {AS_OF} + 3600, 60)) AS at_uts),
 moved AS (
-  SELECT *, CASE WHEN at_uts < departure_uts THEN 0.0::DOUBLE ELSE {_share("at_uts")} END AS share
-  FROM published, ticks
+  SELECT *, {_share("at_uts")} AS share
+  FROM published JOIN ticks ON at_uts BETWEEN departure_uts AND arrival_uts
 )
 SELECT train, from_st, to_st, departure_uts, arrival_uts, at_uts, share AS progress,
        a_lt + (share / 100.0::DOUBLE) * (b_lt - a_lt) AS lat,
@@ -262,8 +337,44 @@ SELECT CAST(station AS INTEGER) AS station, CAST(ancestor AS INTEGER) AS ancesto
 SELECT CAST(station AS INTEGER) AS station, CAST(ancestor AS INTEGER) AS ancestor, CAST(up AS INTEGER) AS up FROM anc""",
     "topology_edges": """
 SELECT CAST(s_suppkey // 2 AS INTEGER) AS upper, CAST(s_suppkey AS INTEGER) AS lower,
-       '0' || bin(s_suppkey) AS pos, CAST(s_suppkey % 2 AS INTEGER) AS slot, 2 AS n_points
+       '0' || bin(s_suppkey) AS pos, CAST(s_suppkey % 2 AS INTEGER) AS slot,
+       (SELECT string_agg(CAST(floor((48.8::DOUBLE + km / 1000) * 1000000 + 0.5) AS BIGINT) || ','
+                          || CAST(floor((2.2::DOUBLE + km / 500) * 1000000 + 0.5) AS BIGINT), ' ' ORDER BY km)
+        FROM (SELECT (s_suppkey // 2) + (o + 1) / 3.0::DOUBLE * (s_suppkey - s_suppkey // 2) AS km
+              FROM generate_series(0, 1) g(o))) AS places
 FROM supplier WHERE s_suppkey > 0""",
+    "station_paths_mid_branch": "WITH RECURSIVE " + LINE_LEGS + """,
+parents AS (
+  SELECT s_suppkey AS k, CASE WHEN s_suppkey = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN s_suppkey - 2
+                              WHEN s_suppkey < 10 THEN s_suppkey - 1 ELSE s_suppkey - 10 END AS parent
+  FROM supplier
+),
+anc AS (
+  SELECT k AS station, k AS ancestor, 0 AS up FROM parents
+  UNION ALL
+  SELECT station, parent, up + 1 FROM anc JOIN parents ON k = ancestor WHERE parent IS NOT NULL
+),
+pairs AS (
+  SELECT DISTINCT station AS from_st, next_station AS to_st FROM line_legs WHERE next_station IS NOT NULL
+),
+turn AS (
+  SELECT from_st, to_st, min(a.up) AS a_up, min(b.up) AS b_up
+  FROM pairs JOIN anc a ON a.station = from_st JOIN anc b ON b.station = to_st AND b.ancestor = a.ancestor
+  GROUP BY from_st, to_st
+),
+nodes AS (
+  SELECT from_st, to_st, ancestor AS k, up < a_up AS below FROM turn JOIN anc ON station = from_st WHERE up <= a_up
+  UNION ALL
+  SELECT from_st, to_st, ancestor, true FROM turn JOIN anc ON station = to_st WHERE up < b_up
+),
+points AS (
+  SELECT from_st, to_st, CAST(k AS DOUBLE) AS km FROM nodes
+  UNION ALL
+  SELECT from_st, to_st, (nodes.k + parent) / 2.0::DOUBLE FROM nodes JOIN parents ON parents.k = nodes.k WHERE below
+)
+SELECT from_st, to_st, CAST(count(*) AS INTEGER) AS number_step,
+       CAST(sum(CAST(floor((48.8::DOUBLE + km / 1000) * 1000000 + 0.5) AS BIGINT)) AS BIGINT) AS lat_sum
+FROM points GROUP BY from_st, to_st""",
     "station_paths": PATH_POINTS + """
 SELECT from_st, to_st, string_agg(CAST(lat AS VARCHAR), ' ' ORDER BY idx) AS lats,
        string_agg(CAST(lon AS VARCHAR), ' ' ORDER BY idx) AS lons
@@ -291,13 +402,38 @@ SELECT stations.station, label, coalesce(value, latitude) AS latitude,
        coalesce(CAST(user_id AS DOUBLE), longitude) AS longitude
 FROM stations LEFT JOIN places ON places.station = stations.station""",
     "upsert_dim": "WITH " + STATIONS + """
-SELECT station, label, latitude, longitude FROM stations WHERE station NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT CAST(c_custkey AS INTEGER), c_name, 0.0::DOUBLE, 0.0::DOUBLE FROM customer""",
+SELECT CAST(station AS BIGINT) AS station, label, latitude, longitude FROM stations
+WHERE station NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT c_custkey, c_name, 0.0::DOUBLE, 0.0::DOUBLE FROM customer""",
     "keyed_stations": "WITH " + STATIONS + """
 SELECT CAST(station AS VARCHAR) AS key, label, latitude, longitude FROM stations""",
+    "keyed_bad_lines": """
+SELECT CASE WHEN s_suppkey % 7 <> 3 THEN CAST(s_suppkey AS VARCHAR) END AS key,
+       CASE WHEN s_suppkey % 7 <> 3 THEN s_name END AS label,
+       CASE WHEN s_suppkey % 7 = 3 THEN substr('{"' || s_suppkey || '":{"label":"' || s_name || '"}}', 1, 12) END AS bad_value
+FROM supplier""",
+    "keyed_paths": PUBLISHED + """
+SELECT DISTINCT from_st, to_st, 2 AS number_step, a_lt AS lat, b_lg AS lon FROM published
+WHERE a_lt IS NOT NULL AND b_lt IS NOT NULL""",
+    "csv_station_order": """
+SELECT CAST(s_suppkey AS INTEGER) AS station, CASE WHEN s_suppkey = 0 THEN '0' ELSE '0' || bin(s_suppkey) END AS pos,
+       0 AS order FROM supplier""".replace("AS order", 'AS "order"'),
+    "csv_track_points": """
+SELECT CAST(s_suppkey // 2 AS INTEGER) AS depart, CAST(s_suppkey AS INTEGER) AS arrivee, '0' AS path,
+       CAST(o AS INTEGER) AS order_point, s_suppkey * 2 + o AS idreseau,
+       CAST(floor((48.8::DOUBLE + km / 1000) * 1000000 + 0.5) AS BIGINT) AS lat,
+       CAST(floor((2.2::DOUBLE + km / 500) * 1000000 + 0.5) AS BIGINT) AS lon
+FROM (SELECT s_suppkey, o, (s_suppkey // 2) + (o + 1) / 3.0::DOUBLE * (s_suppkey - s_suppkey // 2) AS km
+      FROM supplier, generate_series(0, 1) g(o) WHERE s_suppkey > 0)""",
+    "json_open_data": """
+SELECT CAST(s_suppkey AS INTEGER) AS station, s_name AS label, CASE WHEN s_acctbal >= 0 THEN '1' END AS on_line,
+       CAST(row_number() OVER (PARTITION BY s_suppkey // 100 ORDER BY CAST(s_suppkey AS VARCHAR)) AS INTEGER) AS place
+FROM supplier""",
+    "locale_csv": "WITH " + STATIONS + """
+SELECT station, label, round(latitude, 3) AS latitude, round(longitude, 3) AS longitude FROM stations""",
     "csv_stations": "WITH " + STATIONS + " SELECT station, label, latitude, longitude FROM stations",
     "line_membership": """
-SELECT user_id AS line, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id, i) - 1 AS INTEGER) AS pos, label
+SELECT user_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY event_id, i) - 1 AS pos, label
 FROM (
   SELECT user_id, event_id, 0 AS i, event_type AS label FROM events
   UNION ALL SELECT user_id, event_id, 1, props FROM events
@@ -339,7 +475,11 @@ track AS (SELECT * FROM rail WHERE code_ligne IN ('A', 'N') AND nom_voie = 'V1')
 SELECT lat1 AS lat, lon1 AS lon FROM track UNION SELECT lat2, lon2 FROM track""",
     "stream_awt": LAST + ORDERED,
     "stream_progress": PROGRESS,
-    "stream_awt_windows": "WITH " + UNIQ + "," + windows("'all' AS station").replace(
-        "GROUP BY 'all' AS station, window_start", "GROUP BY window_start").replace(
-        "SELECT 'all' AS station, window_start,", "SELECT 'all' AS station, window_start,", 1) + " SELECT * FROM win",
+    "stream_awt_windows": "WITH " + DEP + "," + EVERY_WINDOW + " SELECT * FROM win",
+    "stream_global_awt": "WITH " + DEP + "," + EVERY_WINDOW + """
+SELECT window_end, count(station) AS number_of_stations, round(avg(awt), 9) AS global_awt FROM win
+WHERE window_end <= (SELECT max(departure) - 60 FROM dep) GROUP BY window_end""",
+    "stream_stops": "WITH " + DEP + f"""
+SELECT CAST(event_id AS VARCHAR) AS train, station, departure, mode, mission, terminus FROM dep
+WHERE mode = 'R' AND departure BETWEEN {AS_OF} - 86400 AND {AS_OF} + 86400""",
 }

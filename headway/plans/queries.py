@@ -10,17 +10,23 @@ from collections.abc import Callable
 from functools import wraps
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headway.model import KEYED_STATION, Settings, shared_folder
+from headway.functions.clock import local_text
+from headway.model import KEYED_STATION, STATION, TRACK_POINT, Settings, shared_folder, ship_package
 from headway.operators import awt, dims, filters, lines, maps, positions, progress, topology
 from headway.operators.dedup import dedup_departures, distinct_stops
 from headway.plans import table_feed as feed
-from headway.plans.reports import last_hour_awt, train_progress, train_stops
+from headway.plans.reports import awt_range, last_hour_awt, progress_range, train_progress, train_stops
 from headway.sources.boards import parse_boards
-from headway.sources.messages import decode_departures, encode_departures
-from headway.sources.tables import read_keyed_json, read_stations, write_reference
+from headway.sources.messages import (
+    decode_departures, departures_stream, encode_departures, with_volume_metric, write_departures,
+)
+from headway.sources.tables import (
+    read_keyed_json, read_keyed_paths, read_locale_csv, read_open_data, read_station_order, read_stations,
+    read_track_points, write_reference,
+)
 from headway.streaming import jobs
 
 AS_OF = "2024-01-15 12:00:00"
@@ -36,6 +42,7 @@ _registered: dict[str, Query] = {}
 def query(function: Query) -> Query:
     @wraps(function)
     def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return function(spark, folder)
 
@@ -47,8 +54,8 @@ def registered() -> dict[str, Query]:
     return dict(_registered)
 
 
-def _unique(spark, folder, start=None, end=None) -> DataFrame:
-    return dedup_departures(feed.event_departures(spark, folder, start, end), order_by=["event_id"])
+def _unique(spark, folder) -> DataFrame:
+    return dedup_departures(feed.event_departures(spark, folder), order_by=["event_id"])
 
 
 def _flat_windows(df: DataFrame) -> DataFrame:
@@ -71,11 +78,50 @@ def decode_json(spark, folder):
 
 @query
 def decode_quarantine(spark, folder):
-    """Messages of error events are cut off in the middle."""
-    sent = encode_departures(feed.event_departures(spark, folder), keep=("event_id", "mode"))
-    cut = F.when(F.col("mode") == "T", F.substring("value", 1, 20)).otherwise(F.col("value"))
-    got = decode_departures(sent.withColumn("value", cut), bad="quarantine", keep=("event_id",))
-    return got.select("event_id", "train", "bad_value")
+    """Messages of error events are cut off in the middle; those of views have no number as station."""
+    sent = encode_departures(feed.event_departures(spark, folder), keep=("event_id", "mission"))
+    broken = (
+        F.when(F.col("mission") == "error", F.substring("value", 1, 20))
+        .when(F.col("mission") == "view", F.regexp_replace("value", '"station":[0-9]+', '"station":"abc"'))
+        .otherwise(F.col("value"))
+    )
+    got = decode_departures(sent.withColumn("value", broken), bad="quarantine", keep=("event_id",))
+    return got.select("event_id", F.when(F.col("bad_value").isNull(), F.col("train")).alias("train"), "bad_value")
+
+
+@query
+def boards_quarantine(spark, folder):
+    """Boards of error events are cut off in the middle."""
+    boards = feed.event_boards(spark, folder).join(feed.table(spark, folder, "events").select("event_id", "event_type"), "event_id")
+    cut = F.when(F.col("event_type") == "error", F.expr("substring(xml, 1, length(xml) - 20)")).otherwise(F.col("xml"))
+    got = parse_boards(boards.withColumn("xml", cut), bad="quarantine", keep=("event_id",))
+    return got.select("event_id", "station", "train", "bad_value")
+
+
+@query
+def local_times(spark, folder):
+    departures = filters.with_epoch(feed.event_departures(spark, folder))
+    return departures.select("event_id", local_text(F.col("departure")).alias("local_time"))
+
+
+@query
+def volume_metric(spark, folder):
+    """The rows that a plan has passed, as its observation tells."""
+    seen = Observation("departures")
+    with_volume_metric(feed.event_departures(spark, folder), seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"],)], "rows long")
+
+
+@query
+def files_round_trip(spark, folder):
+    """Departures written as messages to files, read as a stream of files, decoded and stored."""
+    run = f"{shared_folder(spark)}/files-{uuid4().hex}"
+    write_departures(feed.event_departures(spark, folder), "files", path=f"{run}/messages")
+    decoded = decode_departures(departures_stream(spark, "files", path=f"{run}/messages"))
+    jobs.batch_sink(
+        filters.with_epoch(decoded), lambda batch, n: batch.write.parquet(f"{run}/stored/{n}"), f"{run}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{run}/stored/*")
 
 
 @query
@@ -107,6 +153,7 @@ def inject_synthetic(spark, folder):
 
 @query
 def awt_windows(spark, folder):
+    """By Spark's own sliding windows, as streams use them."""
     windows = awt.trains_per_window(_unique(spark, folder), ("mission",), method="expand")
     return _flat_windows(awt.with_awt(windows))
 
@@ -124,7 +171,7 @@ def awt_panes_by_station(spark, folder):
 
 
 def _last_hour(spark, folder, as_of=AS_OF, policy="latest"):
-    departures = feed.event_departures(spark, folder, "2024-01-15 10:55:00", "2024-01-15 12:05:00")
+    departures = feed.event_departures(spark, folder, awt_range(as_of, SETTINGS))
     return last_hour_awt(departures, as_of, SETTINGS, order_by=["event_id"], policy=policy)
 
 
@@ -184,7 +231,7 @@ def next_stop_lineitem(spark, folder):
 
 
 def _near(spark, folder):
-    return feed.event_departures(spark, folder, "2024-01-14 12:00:00", "2024-01-16 12:01:00")
+    return feed.event_departures(spark, folder, progress_range(AS_OF, SETTINGS))
 
 
 @query
@@ -226,6 +273,69 @@ def accurate_position(spark, folder):
     return _published(spark, folder, _straight(spark, folder))
 
 
+def _cubic(pairs):
+    """Paths of 5 to 25 points, each pair's on a cubic of its own: a not-a-knot spline must give the cubic back."""
+    a, b = F.col("from_st"), F.col("to_st")
+    last = F.pmod(a * 7 + b, F.lit(21)) + 4
+
+    def point(i):
+        x = F.lit(100.0) * i / last
+        lat = 48.01 + a / F.lit(97.0) + x * 0.0021371 + x * x * ((b - 50) * F.lit(1.0373171e-6)) + x * x * x * ((a + 1) * F.lit(1.0117193e-8))
+        lon = 2.003 + b / F.lit(89.0) - x * 0.0013177 + x * x * ((a - 40) * F.lit(2.0719317e-6)) - x * x * x * ((b + 2) * F.lit(1.0117193e-8))
+        return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    points = F.transform(F.sequence(F.lit(0), last.cast("int")), point)
+    return topology.asked_pairs(pairs).filter("to_st IS NOT NULL").select("from_st", "to_st", points.alias("points"))
+
+
+def _fitted_cubic(spark, folder):
+    return positions.fit_paths(_cubic(_published(spark, folder)))
+
+
+@query
+def cubic_position(spark, folder):
+    """Positions on paths along cubics; legs to unknown stations keep the coarse position."""
+    placed = _published(spark, folder, _fitted_cubic(spark, folder))
+    return placed.select(
+        "train", "from_st", "to_st", "progress", _micro(F.col("train_alt")).alias("lat"), _micro(F.col("train_alg")).alias("lon")
+    )
+
+
+@query
+def cubic_track(spark, folder):
+    """The same every minute while the train is under way."""
+    published = _published(spark, folder).select("train", "from_st", "to_st", "departure_uts", "arrival_uts")
+    track = positions.positions_track(
+        published, "2024-01-15 11:00:00", "2024-01-15 13:00:00", 60, _fitted_cubic(spark, folder)
+    )
+    return track.select("train", "from_st", "to_st", "at_uts", _micro(F.col("lat")).alias("lat"), _micro(F.col("lon")).alias("lon"))
+
+
+@query
+def spline_coefficients(spark, folder):
+    """Coefficients of every piece; those of a cubic follow from its derivatives."""
+    pieces = positions.fit_segments(_fitted_cubic(spark, folder))
+
+    def scaled(name, factor):
+        return F.floor(F.col(name) * F.lit(factor) + 0.5).alias(name)
+
+    return pieces.select(
+        "from_st", "to_st", "seg", *(
+            scaled(f"{axis}{i}", factor) for axis in "ab" for i, factor in enumerate((1e6, 1e7, 1e9, 1e11))
+        )
+    )
+
+
+@query
+def positions_without_path(spark, folder):
+    """Half of the paths are unknown: those legs keep their published coarse position."""
+    published = _published(spark, folder).select(
+        "train", "from_st", "to_st", "departure_uts", "arrival_uts", "train_lt", "train_lg"
+    )
+    known = _straight(spark, folder).filter("from_st % 2 = 0")
+    return positions.positions_at(published, "2024-01-15 12:34:56", known).select("train", "from_st", "to_st", "lat", "lon")
+
+
 @query
 def accurate_position_spline(spark, folder):
     """Along the tree of suppliers."""
@@ -268,15 +378,32 @@ def _edges(spark, folder):
 @query
 def topology_edges(spark, folder):
     edges = _edges(spark, folder)
-    return edges.select("upper", "lower", "pos", "slot", F.size("points").alias("n_points"))
+    places = F.transform("points", lambda p: F.concat_ws(",", _micro(p["lat"]).cast("string"), _micro(p["lon"]).cast("string")))
+    return edges.select("upper", "lower", "pos", "slot", F.array_join(places, " ").alias("places"))
+
+
+_networks: dict[tuple[str, str, str], str] = {}
+
+
+def _network(spark, folder, points=feed.supplier_track, order=feed.supplier_order):
+    """The network as written tables, as it is kept: made once per application and input, and planned by its true size."""
+    key = (spark.sparkContext.applicationId, folder, points.__name__)
+    if key not in _networks:
+        path = f"{shared_folder(spark)}/network-{uuid4().hex}"
+        edges = topology.topology_edges(points(spark, folder), order(spark, folder))
+        topology.line_network(feed.supplier_stations(spark, folder), edges, order(spark, folder)).write(path)
+        _networks[key] = path
+    return topology.Network.read(spark, _networks[key])
 
 
-def _network(spark, folder):
-    """The network as written tables, as it is kept: made once, and planned by its true size."""
-    path = f"{shared_folder(spark)}/network-{uuid4().hex}"
-    stations, order = feed.supplier_stations(spark, folder), feed.supplier_order(spark, folder)
-    topology.line_network(stations, _edges(spark, folder), order).write(path)
-    return topology.Network.read(spark, path)
+@query
+def station_paths_mid_branch(spark, folder):
+    """Paths on a line whose branches hold several stations and fork off in the middle of another."""
+    legs = _line_legs(spark, folder).filter(F.col("next_station").isNotNull())
+    pairs = topology.asked_pairs(legs, "station", "next_station")
+    paths = topology.paths_between(pairs, _network(spark, folder, feed.comb_track, feed.comb_order))
+    total = F.aggregate("points", F.lit(0).cast("long"), lambda n, p: n + _micro(p["lat"]))
+    return paths.select("from_st", "to_st", "number_step", total.alias("lat_sum"))
 
 
 def _line_paths(spark, folder):
@@ -353,10 +480,11 @@ def coordinates_update(spark, folder):
 def upsert_dim(spark, folder):
     """Customers added to the suppliers; a customer takes the place of the supplier with its key."""
     patch = feed.table(spark, folder, "customer").select(
-        F.col("c_custkey").cast("int").alias("station"), F.col("c_name").alias("label"),
+        F.col("c_custkey").alias("station"), F.col("c_name").alias("label"),
         F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"),
     )
-    return dims.upsert(feed.supplier_stations(spark, folder), patch, "station")
+    stations = feed.supplier_stations(spark, folder).withColumn("station", F.col("station").cast("long"))
+    return dims.upsert(stations, patch, "station")
 
 
 @query
@@ -364,7 +492,90 @@ def keyed_stations(spark, folder):
     """Suppliers written as keyed JSON and read back."""
     path = f"{shared_folder(spark)}/keyed-{uuid4().hex}"
     write_reference(feed.supplier_stations(spark, folder), path, "keyed_json", key="station")
-    return read_keyed_json(spark, path, KEYED_STATION, lines=True)
+    return read_keyed_json(spark, path, KEYED_STATION)
+
+
+@query
+def keyed_bad_lines(spark, folder):
+    """Keyed stations of which every seventh is cut off in the middle."""
+    path = f"{shared_folder(spark)}/keyed-{uuid4().hex}"
+    stations = feed.supplier_stations(spark, folder)
+    whole = F.to_json(F.create_map(F.col("station").cast("string"), F.struct("label")))
+    cut = F.when(F.col("station") % 7 == 3, F.substring(whole, 1, 12)).otherwise(whole)
+    stations.select(cut.alias("value")).write.text(path)
+    return read_keyed_json(spark, path, KEYED_STATION, bad="quarantine").select("key", "label", "bad_value")
+
+
+@query
+def keyed_paths(spark, folder):
+    """Straight paths written as keyed JSON and read back."""
+    path = f"{shared_folder(spark)}/keyed-{uuid4().hex}"
+    straight = feed.straight_paths(_published(spark, folder), feed.supplier_stations(spark, folder))
+    geo = F.transform("points", lambda p: F.struct(
+        p["lat"].cast("string").alias("latitude"), p["lon"].cast("string").alias("longitude")
+    ))
+    keyed = straight.select(
+        F.concat_ws("-", "from_st", "to_st").alias("pair"), F.col("from_st").cast("string").alias("departure"),
+        F.col("to_st").cast("string").alias("arrival"), geo.alias("geoPoints"), "number_step",
+    )
+    write_reference(keyed, path, "keyed_json", key="pair")
+    points = F.col("points")
+    return read_keyed_paths(spark, path).select(
+        "from_st", "to_st", "number_step", points[0]["lat"].alias("lat"), points[1]["lon"].alias("lon")
+    )
+
+
+@query
+def csv_station_order(spark, folder):
+    path = f"{shared_folder(spark)}/csv-{uuid4().hex}"
+    write_reference(feed.supplier_order(spark, folder), path, "csv")
+    return read_station_order(spark, path)
+
+
+@query
+def csv_track_points(spark, folder):
+    """Track points of the suppliers written as CSV and read by position."""
+    path = f"{shared_folder(spark)}/csv-{uuid4().hex}"
+    track = feed.supplier_track(spark, folder)
+    columns = [F.col(f.name) if f.name in track.columns else F.lit("0").alias(f.name) for f in TRACK_POINT]
+    write_reference(track.select(*columns), path, "csv")
+    return read_track_points(spark, path).select(
+        "depart", "arrivee", "path", "order_point", "idreseau", _micro(F.col("latitude")).alias("lat"),
+        _micro(F.col("longitude")).alias("lon"),
+    )
+
+
+@query
+def json_open_data(spark, folder):
+    """Open-data arrays, a file per hundred suppliers, read back; those without debt are on the line."""
+    path = f"{shared_folder(spark)}/open-{uuid4().hex}"
+    record = F.struct(F.struct(
+        F.col("s_suppkey").cast("string").alias("code_uic"), F.col("s_name").alias("libelle_point_arret"),
+        F.when(F.col("s_acctbal") >= 0, "1").alias("l"),
+    ).alias("fields"))
+    arrays = feed.table(spark, folder, "supplier").groupBy(F.floor(F.col("s_suppkey") / 100).alias("part")).agg(
+        F.to_json(F.sort_array(F.collect_list(record))).alias("value")
+    )
+    arrays.write.partitionBy("part").text(path)
+    ranked = Window.partitionBy("file").orderBy("seq")
+    found = read_open_data(spark, path).withColumn("place", F.row_number().over(ranked))
+    return found.select(F.col("fields.code_uic").cast("int").alias("station"), F.col("fields.libelle_point_arret").alias("label"),
+                        F.col("fields.l").alias("on_line"), "place")
+
+
+@query
+def locale_csv(spark, folder):
+    """Stations as text with padded fields and decimal commas, read back."""
+    path = f"{shared_folder(spark)}/locale-{uuid4().hex}"
+
+    def comma(col):
+        return F.replace(F.format_string("%.3f", col), F.lit("."), F.lit(","))
+
+    rows = feed.supplier_stations(spark, folder).select(F.concat_ws(
+        " ; ", F.col("station").cast("string"), F.col("label"), comma("latitude"), comma("longitude")
+    ).alias("station ; label ; latitude ; longitude"))
+    rows.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return read_locale_csv(spark, path, STATION, ";", ("latitude", "longitude"))
 
 
 @query
@@ -463,6 +674,7 @@ def _run_reports(spark, folder) -> str:
     )
     job = jobs.default_job(spark, departures, publisher, run, SETTINGS, salt_on=("copy",)).start()
     job.await_termination()
+    job.stop()
     return run
 
 
@@ -478,12 +690,38 @@ def stream_progress(spark, folder):
     return spark.table("trains_progression")
 
 
+def _own_trains(spark, folder):
+    """The stream with a train per event, so that both copies of a record are repeats and no other rows."""
+    return _event_stream(spark, folder).withColumn("train", F.col("event_id").cast("string")).drop("copy")
+
+
 @query
 def stream_awt_windows(spark, folder):
-    """All windows per mission as a stateful stream with complete output."""
+    """All windows per station as a stateful stream with complete output."""
     run = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    departures = _event_stream(spark, folder).drop("copy")
-    windows = jobs.awt_stream(departures.withColumn("station", F.lit("all")), SETTINGS)
-    publisher = jobs.ViewPublisher(spark, run, {"awt_windows": _flat_windows})
+    windows = jobs.awt_stream(_own_trains(spark, folder), SETTINGS)
+    publisher = jobs.ViewPublisher(spark, f"{run}/views", {"awt_windows": _flat_windows})
     jobs.batch_sink(windows, publisher, f"{run}/checkpoint", "complete").awaitTermination()
     return spark.table("awt_windows")
+
+
+@query
+def stream_global_awt(spark, folder):
+    """Mean over the stations of every window that the watermark has closed."""
+    run = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    means = jobs.global_awt_stream(jobs.awt_stream(_own_trains(spark, folder), SETTINGS))
+    jobs.batch_sink(means, lambda batch, n: batch.write.parquet(f"{run}/means/{n}"), f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/means/*").select(
+        F.unix_seconds("window_end").alias("window_end"), "number_of_stations", F.round("global_awt", 9).alias("global_awt")
+    )
+
+
+@query
+def stream_stops(spark, folder):
+    """Stops around an instant as an ordered stream with complete output; an empty batch leaves the view alone."""
+    run = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    stops = jobs.stops_stream(_own_trains(spark, folder), AS_OF, SETTINGS)
+    publisher = jobs.ViewPublisher(spark, f"{run}/views", {"stops_around": lambda df: df})
+    jobs.batch_sink(stops, publisher, f"{run}/checkpoint", "complete").awaitTermination()
+    publisher(spark.table("stops_around").limit(0), 1)
+    return spark.table("stops_around")

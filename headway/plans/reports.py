@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from headway.functions.clock import instant
 from headway.model import Settings
 from headway.operators.awt import last_window_counts, with_awt
 from headway.operators.dedup import dedup_departures, distinct_stops
@@ -12,6 +14,18 @@ from headway.operators.positions import with_position
 from headway.operators.progress import PROGRESS_COLUMNS, trains_under_way
 
 
+def awt_range(as_of, settings: Settings = Settings()) -> tuple[Column, Column]:
+    """Instants between which `last_hour_awt` needs the departures."""
+    now = instant(as_of)
+    return now - F.expr(f"interval {settings.window_minutes + 2 * settings.slide_minutes} minutes"), now
+
+
+def progress_range(as_of, settings: Settings = Settings()) -> tuple[Column, Column]:
+    """Instants between which `train_progress` needs the departures."""
+    now, half = instant(as_of), F.expr(f"interval {settings.around_seconds // 2 + 1} seconds")
+    return now - half, now + half
+
+
 def last_hour_awt(
     departures: DataFrame, as_of=None, settings: Settings = Settings(), keys=("station",), order_by=None,
     policy: str = "latest", decimals: int = 1,

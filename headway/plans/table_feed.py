@@ -36,13 +36,18 @@ def as_departures(events: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def event_departures(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Departures from `events`; the bounds on their minute reach the scan as bounds on `ts`."""
+def event_departures(spark: SparkSession, folder: str, between: tuple[Column, Column] | None = None) -> DataFrame:
+    """Departures from `events`, or those whose minute can be `between` two instants.
+
+    A departure is at its minute's begin, so bounds on the minute become bounds on `ts`, which reach the scan.
+    """
     events = table(spark, folder, "events")
-    if start:
-        events = events.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
-    if end:
-        events = events.filter(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
+    if between:
+        start, end = between
+        events = events.filter(
+            (F.col("ts") >= start.cast("timestamp_ntz"))
+            & (F.col("ts") < (end + F.expr("interval 1 minute")).cast("timestamp_ntz"))
+        )
     return as_departures(events)
 
 
@@ -54,7 +59,7 @@ def line_departures(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
         F.lit("R").alias("mode"),
         F.col("l_linestatus").alias("mission"),
-        F.col("l_partkey").cast("int").alias("terminus"),
+        F.col("l_partkey").alias("terminus"),
         "l_linenumber",
     )
 
@@ -96,6 +101,33 @@ def supplier_track(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def comb_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as a comb: even keys on the main branch in order, odd ones on five branches that fork off in its middle.
+
+    The parent of an even key is the one before it; odd keys below 10 hang on the even key before them, others on
+    the key ten lower.
+    """
+    key, half = F.col("s_suppkey"), F.floor(F.col("s_suppkey") / 2)
+    tooth = F.substring(F.lit("abcde"), (half % 5 + 1).cast("int"), F.lit(1))
+    return table(spark, folder, "supplier").select(
+        key.cast("int").alias("station"),
+        F.when(key % 2 == 0, "0").otherwise(F.concat(F.lit("0"), tooth)).alias("pos"),
+        F.when(key % 2 == 0, half).otherwise(F.floor(half / 5)).cast("int").alias("order"),
+    )
+
+
+def comb_track(spark: SparkSession, folder: str) -> DataFrame:
+    """A track point half way between each supplier of the comb and its parent, without a number of its own."""
+    key = F.col("s_suppkey")
+    parent = F.when(key % 2 == 0, key - 2).when(key < 10, key - 1).otherwise(key - 10)
+    middle = (key + parent) / F.lit(2.0)
+    return table(spark, folder, "supplier").filter(key > 0).select(
+        parent.cast("int").alias("depart"), key.cast("int").alias("arrivee"), F.lit(0).alias("order_point"),
+        F.lit(None).cast("bigint").alias("idreseau"),
+        (F.lit(2.2) + middle / F.lit(500.0)).alias("longitude"), (F.lit(48.8) + middle / F.lit(1000.0)).alias("latitude"),
+    )
+
+
 def straight_paths(pairs: DataFrame, stations: DataFrame) -> DataFrame:
     """Paths of two points, the stations themselves, for the distinct `(from_st, to_st)`."""
     def end(col: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headway.functions.clock import board_timestamp
 from headway.model import BOARD
@@ -13,14 +14,26 @@ def parse_boards(df: DataFrame, xml_col: str = "xml", station_col: str = "statio
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """One departure per `<train>` of each board.
 
-    Boards with one train work like any other. bad: a board that cannot be read gives no
-    row with `drop`, and one row of NULLs beside its station with `keep`.
+    Boards with one train work like any other, and those without trains give no row. bad: a board that cannot be
+    read gives no row with `drop`, one row of NULLs beside its station with `keep`, and with `quarantine` such a row
+    with its text as `bad_value` (NULL on the others).
     """
-    explode = {"drop": F.explode, "keep": F.explode_outer}[bad]
-    board = F.from_xml(F.col(xml_col), BOARD)
-    trains = df.select(
-        F.col(station_col).cast("int").alias("station"), *keep, explode(board["train"]).alias("_t")
-    )
+    if bad not in ("drop", "keep", "quarantine"):
+        raise ValueError(f"unknown bad-record policy {bad!r}")
+    whole = T.StructType([*BOARD.fields, T.StructField("_bad", T.StringType())])
+    parsed = df.select(
+        F.col(station_col).cast("int").alias("station"), *keep, F.col(xml_col).alias("_xml"),
+        F.from_xml(F.col(xml_col), whole, {"columnNameOfCorruptRecord": "_bad"}).alias("_board"),
+    ).withColumn("_broken", F.col("_board").isNull() | F.col("_board._bad").isNotNull())
+    if bad == "drop":
+        trains = parsed.filter(~F.col("_broken")).withColumn("_t", F.explode("_board.train"))
+    else:
+        none = F.lit(None).cast(BOARD["train"].dataType)
+        listed = F.when(F.col("_broken"), none).otherwise(F.coalesce("_board.train", F.array().cast(BOARD["train"].dataType)))
+        trains = parsed.withColumn("_trains", listed).filter("_broken OR size(_trains) > 0").withColumn(
+            "_t", F.explode_outer("_trains")
+        )
+    more = [F.when(F.col("_broken"), F.coalesce("_xml", F.lit(""))).alias("bad_value")] if bad == "quarantine" else []
     return trains.select(
         "station",
         F.col("_t.num").alias("train"),
@@ -28,5 +41,5 @@ def parse_boards(df: DataFrame, xml_col: str = "xml", station_col: str = "statio
         F.col("_t.date._mode").alias("mode"),
         F.col("_t.miss").alias("mission"),
         F.col("_t.term").try_cast("int").alias("terminus"),
-        *keep,
+        *keep, *more,
     )

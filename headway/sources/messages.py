@@ -45,15 +45,18 @@ def decode_departures(
     bad: str = "null",
     value: str = "value",
     keep: tuple[str, ...] = (),
+    required: tuple[str, ...] = ("station", "train", "timestamp"),
 ) -> DataFrame:
     """JSON messages to departures, with the `keep` columns of the envelope.
 
-    bad: what happens to messages without a readable instant: `null` keeps them as they
-    are decoded, `drop` removes them, `quarantine` adds their text as `bad_value`
-    (NULL on good rows), so that one pass can be split in two.
+    bad: what happens to messages that can't be read, have a field of another type, or lack one of
+    `required`: `null` keeps them as they are decoded, `drop` removes them, `quarantine` adds their text as
+    `bad_value` (NULL on good rows; empty for a message that is NULL), so that one pass can be split in two.
     """
     text = F.col(value).cast("string")
-    flat = df.select(text.alias("_text"), F.from_json(text, schema).alias("_d"), *keep)
+    whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json(text, whole, {"columnNameOfCorruptRecord": "_bad"})
+    flat = df.select(text.alias("_text"), parsed.alias("_d"), *keep)
     fields = [
         (message_timestamp(F.col("_d.timestamp"), formats) if f.name == "timestamp" else F.col(f"_d.{f.name}"))
         .alias(f.name)
@@ -61,11 +64,14 @@ def decode_departures(
     ]
     if bad == "null":
         return flat.select(*fields, *keep)
+    rows = flat.select(*fields, *keep, "_text", F.col("_d._bad").alias("_bad"))
+    broken = F.col("_bad").isNotNull()
+    for name in required:
+        broken = broken | F.col(name).isNull()
     if bad == "drop":
-        return flat.select(*fields, *keep).filter(F.col("timestamp").isNotNull())
+        return rows.filter(~broken).drop("_text", "_bad")
     if bad == "quarantine":
-        rows = flat.select(*fields, *keep, "_text")
-        return rows.withColumn("bad_value", F.when(F.col("timestamp").isNull(), F.col("_text"))).drop("_text")
+        return rows.withColumn("bad_value", F.when(broken, F.coalesce("_text", F.lit("")))).drop("_text", "_bad")
     raise ValueError(f"unknown bad-record policy {bad!r}")
 
 

@@ -29,24 +29,39 @@ def read_track_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_open_data(spark: SparkSession, path: str) -> DataFrame:
-    """Open-data JSON array; `seq` keeps the order of the file."""
+    """Open-data JSON arrays; `file` and `seq` keep the order of each file.
+
+    An array is read by one task, as it can't be split; large data should come as several files.
+    """
     raw = spark.read.schema(OPEN_DATA).json(path, multiLine=True)
-    return raw.withColumn("seq", F.monotonically_increasing_id())
+    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_schema: T.StructType, lines: bool = False) -> DataFrame:
+def read_keyed_json(
+    spark: SparkSession, path: str, value_schema: T.StructType, lines: bool = True, bad: str = "fail"
+) -> DataFrame:
     """JSON objects `{key: {...}}` as rows `(key, fields...)`.
 
-    A file holds one object, or one object per line with `lines`, which Spark can split.
+    A file holds one object per line, which Spark can split, or with `lines=False` one object, read by one task.
+    bad: an object that can't be read ends the query with `fail`, is left out with `drop`, and gives a row of NULLs
+    with its text as `bad_value` with `quarantine` (NULL on good rows). Blank lines are skipped.
     """
-    text = spark.read.text(path, wholetext=not lines)
-    entries = text.select(
-        F.explode(F.from_json("value", T.MapType(T.StringType(), value_schema))).alias("key", "entry")
-    )
-    return entries.select("key", "entry.*")
-
-
-def read_keyed_paths(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    text = spark.read.text(path, wholetext=not lines).filter(F.trim("value") != "")
+    objects = text.select("value", F.from_json("value", T.MapType(T.StringType(), value_schema)).alias("entries"))
+    if bad == "fail":
+        told = F.raise_error(F.concat(F.lit("unreadable keyed JSON: "), F.substring("value", 1, 200)))
+        entries = F.coalesce("entries", told.cast(objects.schema["entries"].dataType))
+        return objects.select(F.explode(entries).alias("key", "entry")).select("key", "entry.*")
+    if bad == "drop":
+        return objects.select(F.explode("entries").alias("key", "entry")).select("key", "entry.*")
+    if bad == "quarantine":
+        text = F.when(F.col("entries").isNull(), F.col("value")).alias("bad_value")
+        kept = objects.filter("entries IS NULL OR size(entries) > 0")
+        return kept.select(text, F.explode_outer("entries").alias("key", "entry")).select("key", "entry.*", "bad_value")
+    raise ValueError(f"unknown bad-record policy {bad!r}")
+
+
+def read_keyed_paths(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """A path file keyed by `from-to` as a path table."""
     raw = read_keyed_json(spark, path, KEYED_PATH, lines)
     ends = F.split("key", "-")

@@ -9,20 +9,23 @@ time and state for all windows, with complete output.
 
 from __future__ import annotations
 
+import time
+from collections import Counter
 from collections.abc import Callable
 from datetime import datetime, timezone
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from headway.functions.clock import instant
 from headway.model import Settings
 from headway.operators.awt import global_awt, max_awt, min_awt, ordered_awt, trains_per_window, with_awt
-from headway.operators.dedup import REPEAT_KEYS, distinct_stops
+from headway.operators.dedup import REPEAT_KEYS, complete_order, dedup_departures
 from headway.operators.filters import around, realtime_only, with_epoch
-from headway.plans.reports import last_hour_awt, train_progress
+from headway.plans.reports import awt_range, last_hour_awt, progress_range, train_progress
 
 AWT_VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "ordered_awt": ordered_awt,
@@ -47,6 +50,8 @@ def unique_departures(
     None. A departure that is announced again with a change is then kept, and the report
     takes the first record of it.
 
+    Rows more than `horizon` behind the newest ingest time are refused; `StreamJob` counts and reports them.
+
     A record that is repeated very often would send all its repeats to one task. With
     `salt_on` (columns that differ between repeats, such as partition and offset) a first
     stage removes repeats within `salts` groups, so the second stage sees at most that
@@ -85,7 +90,10 @@ def stops_stream(departures: DataFrame, as_of=None, settings: Settings = Setting
     """
     unique = departures.dropDuplicates(list(REPEAT_KEYS))
     near = around(with_epoch(realtime_only(unique)), as_of, settings.around_seconds)
-    return distinct_stops(near).orderBy("train", "departure", "station")
+    stop = ("train", "station", "departure", "mode", "mission", "terminus")
+    # An aggregate, as complete output needs one; repeats are gone, so `records` is 1 but for stops of equal times.
+    counted = near.groupBy(*stop).agg(F.count(F.lit(1)).alias("records"))
+    return counted.select(*stop).orderBy("train", "departure", "station")
 
 
 def console_sink(df: DataFrame, order_by: str = "awt", trigger_seconds: int = 2, output_mode: str = "complete"):
@@ -98,11 +106,14 @@ def console_sink(df: DataFrame, order_by: str = "awt", trigger_seconds: int = 2,
 
 # --- tables and views ----------------------------------------------------------
 
+HOUR_FORMAT = "yyyy-MM-dd-HH"
+
 class DepartureTable:
-    """Unique departures on shared storage, by service day.
+    """Unique departures on shared storage, by service hour.
 
-    A batch owns the partitions `(service_day, batch)` it writes, so a repeated batch
-    replaces its own rows and nothing else.
+    A batch owns the partitions `(service_hour, batch)` it writes, so a repeated batch
+    replaces its own rows and nothing else. Reading lists the folders of the hours it needs. `compact` puts the
+    batches of past hours together, `expire` removes hours that no report needs any more.
     """
 
     def __init__(self, spark: SparkSession, path: str, columns: str):
@@ -110,65 +121,105 @@ class DepartureTable:
         self.columns = columns
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("service_day", F.to_date("timestamp")).withColumn("batch", F.lit(batch_id))
+        hour = F.date_format("timestamp", HOUR_FORMAT)
+        self._write(batch.withColumn("service_hour", hour).withColumn("batch", F.lit(batch_id)))
+
+    def _write(self, rows: DataFrame) -> None:
         (
-            rows.hint("rebalance", "service_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("service_day", "batch").parquet(self.path)
+            rows.hint("rebalance", "service_hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("service_hour", "batch").parquet(self.path)
         )
 
-    def read(self, days: str = "*") -> DataFrame:
-        """Stored rows; `days` is a path pattern for the service days to list."""
-        schema = f"{self.columns}, service_day date, batch bigint"
+    def read(self, hours: str = "*") -> DataFrame:
+        """Stored rows; `hours` is a path pattern for the service hours to list."""
+        schema = f"{self.columns}, service_hour string, batch bigint"
         try:
             reader = self.spark.read.schema(schema).option("basePath", self.path)
-            return reader.parquet(f"{self.path}/service_day={days}")
+            return reader.parquet(f"{self.path}/service_hour={hours}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
     def between(self, start, end) -> DataFrame:
-        """Rows with `timestamp` in `[start, end]`; only the folders of these days are listed.
-
-        Each batch adds a folder to its days, so trigger periods of seconds make the lists long.
-        """
+        """Rows with `timestamp` in `[start, end]`; only the folders of these hours are listed."""
         lo, hi = instant(start), instant(end)
-        days = F.array_join(F.sequence(F.to_date(lo), F.to_date(hi)), ",")
-        listed = self.spark.range(1).select(days).first()[0]
+        hours = F.sequence(F.date_trunc("hour", lo), F.date_trunc("hour", hi), F.expr("interval 1 hour"))
+        listed = self.spark.range(1).select(
+            F.array_join(F.transform(hours, lambda h: F.date_format(h, HOUR_FORMAT)), ",")
+        ).first()[0]
         return self.read("{" + listed + "}").filter(F.col("timestamp").between(lo, hi))
 
+    def _folders(self) -> dict[str, list[int]]:
+        """The batches of each stored hour."""
+        found: dict[str, list[int]] = {}
+        for folder in _list(self.spark, f"{self.path}/service_hour=*/batch=*"):
+            hour, batch = folder.split("/")[-2:]
+            found.setdefault(hour.partition("=")[2], []).append(int(batch.partition("=")[2]))
+        return found
+
+    def compact(self, before, keys=REPEAT_KEYS, order_by=("ingest_ts", "batch")) -> None:
+        """Puts the batches of each hour before `before` into one folder, without repeats.
+
+        The new folder is written before the old ones go, so a reader in between sees repeats, which reports
+        remove, but never too little. Run it from one place at a time.
+        """
+        last = self._hour(before)
+        for hour, batches in self._folders().items():
+            if hour < last and len(batches) > 1:
+                unique = dedup_departures(self.read(hour), keys, complete_order(self.read(hour), order_by))
+                self._write(unique.withColumn("batch", F.lit(min(0, *batches) - 1)))
+                for batch in batches:
+                    _delete(self.spark, f"{self.path}/service_hour={hour}/batch={batch}")
+
+    def expire(self, before) -> None:
+        """Removes the hours before `before`."""
+        last = self._hour(before)
+        for hour in self._folders():
+            if hour < last:
+                _delete(self.spark, f"{self.path}/service_hour={hour}")
+
+    def _hour(self, at) -> str:
+        return self.spark.range(1).select(F.date_format(instant(at), HOUR_FORMAT)).first()[0]
+
+
+def _list(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 class ViewPublisher:
     """`foreachBatch` function that replaces named views with results of the batch.
 
-    Results are written to shared storage and the views read them back, so they stay
-    readable after the batch is gone. Two places per view are used in turn: readers of
-    the former result are not disturbed. on_empty: `keep` leaves the old views in place
+    The batch is written to shared storage once, to a place of its own, and the views are the results over what is
+    read back, so they stay readable after the batch is gone. The last `keep` places stay: readers of former
+    results are not disturbed for so many batches. on_empty: `keep` leaves the old views in place
     for an empty batch, `replace` publishes the empty result.
     """
 
     def __init__(self, spark: SparkSession, folder: str, views: dict[str, Callable[[DataFrame], DataFrame]],
-                 on_empty: str = "keep"):
-        self.spark, self.folder, self.views, self.on_empty = spark, folder.rstrip("/"), views, on_empty
-        self.turn = 0
+                 on_empty: str = "keep", keep: int = 30):
+        self.spark, self.folder, self.views, self.on_empty, self.keep = spark, folder.rstrip("/"), views, on_empty, keep
+        self.places: list[str] = []
 
     def __call__(self, batch: DataFrame, batch_id: int = 0) -> bool:
-        batch = batch.persist()
-        try:
-            if self.on_empty == "keep" and batch.isEmpty():
-                return False
-            written = {}
-            for name, result in self.views.items():
-                place = f"{self.folder}/{name}/{self.turn}"
-                table = result(batch)
-                table.write.mode("overwrite").parquet(place)
-                written[name] = (place, table.schema)
-            for name, (place, schema) in written.items():
-                self.spark.read.schema(schema).parquet(place).createOrReplaceTempView(name)
-            self.turn = 1 - self.turn
-            return True
-        finally:
-            batch.unpersist()
+        place = f"{self.folder}/{batch_id}-{uuid4().hex}"
+        batch.write.parquet(place)
+        self.places.append(place)
+        table = self.spark.read.schema(batch.schema).parquet(place)
+        if self.on_empty == "keep" and table.isEmpty():
+            return False
+        for name, result in self.views.items():
+            result(table).createOrReplaceTempView(name)
+        while len(self.places) > self.keep:
+            _delete(self.spark, self.places.pop(0))
+        return True
 
 
 class ReportPublisher:
@@ -189,14 +240,9 @@ class ReportPublisher:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self.table.append(batch, batch_id)
         now, s = self.as_of(), self.settings
-        hour = self.table.between(
-            instant(now) - F.expr(f"interval {s.window_minutes + 2 * s.slide_minutes} minutes"), now
-        )
+        hour = self.table.between(*awt_range(now, s))
         self.awt(last_hour_awt(hour, now, s, self.keys, self.order_by), batch_id)
-        half = s.around_seconds // 2 + 1
-        near = self.table.between(
-            instant(now) - F.expr(f"interval {half} seconds"), instant(now) + F.expr(f"interval {half} seconds")
-        )
+        near = self.table.between(*progress_range(now, s))
         trains = train_progress(
             near, self.stations, self.fitted, now, s, self.order_by, accurate=self.fitted is not None
         )
@@ -205,15 +251,42 @@ class ReportPublisher:
 
 # --- running -------------------------------------------------------------------
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that stateful steps refuse as late, over all batches, by the id of the query."""
+
+    def __init__(self):
+        self.dropped: Counter = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for operator in event.progress.stateOperators:
+            self.dropped[str(event.progress.id)] += operator.numRowsDroppedByWatermark
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class StreamJob:
-    """A set of named streaming queries that start and stop together."""
+    """A set of named streaming queries that start and stop together.
+
+    on_late: what happens when a query refuses rows as late. `fail` ends the job with an error, `report` only counts
+    them in `late_rows`.
+    """
 
-    def __init__(self, starters: dict[str, Callable[[], StreamingQuery]]):
-        self.starters = starters
+    def __init__(self, starters: dict[str, Callable[[], StreamingQuery]], on_late: str = "fail"):
+        if on_late not in ("fail", "report"):
+            raise ValueError(f"unknown policy for late rows {on_late!r}")
+        self.starters, self.on_late, self.listener = starters, on_late, LateRows()
         self.running: dict[str, StreamingQuery] = {}
 
     def start(self) -> "StreamJob":
         self.stop()
+        SparkSession.active().streams.addListener(self.listener)
         for name, starter in self.starters.items():
             self.running[name] = starter()
         return self
@@ -221,12 +294,28 @@ class StreamJob:
     def stop(self) -> None:
         for query in self.running.values():
             query.stop()
+        if self.running:
+            SparkSession.active().streams.removeListener(self.listener)
         self.running = {}
 
+    def late_rows(self) -> int:
+        """Rows refused as late since the start."""
+        return sum(max(self.listener.dropped[str(q.id)], late_metrics(q)) for q in self.running.values())
+
     def await_termination(self, timeout: float | None = None) -> None:
-        """Waits for all queries; the error of a failed query is raised."""
-        for query in list(self.running.values()):
-            query.awaitTermination(timeout) if timeout else query.awaitTermination()
+        """Waits until all queries have ended. When one fails, the others are stopped and its error is raised at once."""
+        end = None if timeout is None else time.monotonic() + timeout
+        while True:
+            active = [q for q in self.running.values() if q.isActive]
+            failed = next((q for q in self.running.values() if not q.isActive and q.exception()), None)
+            late = self.late_rows() if self.on_late == "fail" else 0
+            if failed or late:
+                for query in active:
+                    query.stop()
+                raise failed.exception() if failed else RuntimeError(f"{late} rows were refused as late")
+            if not active or end is not None and time.monotonic() > end:
+                return
+            active[0].awaitTermination(0.2)
 
     def process_all(self) -> None:
         for query in self.running.values():
@@ -245,16 +334,19 @@ def batch_sink(df: DataFrame, function: Callable[[DataFrame, int], object], chec
 
 def default_job(spark: SparkSession, departures: DataFrame, publisher: ReportPublisher, folder: str,
                 settings: Settings = Settings(), trigger_seconds: int | None = None,
-                salt_on: tuple[str, ...] = ()) -> StreamJob:
-    """The default mode as one query: one source, one decoding, both reports."""
+                salt_on: tuple[str, ...] = ("ingest_ts",), on_late: str = "fail") -> StreamJob:
+    """The default mode as one query: one source, one decoding, both reports.
+
+    Polls of one departure come at different ingest times, so these spread its repeats over tasks.
+    """
     unique = unique_departures(departures, settings.repeat_horizon, salt_on=salt_on)
     return StreamJob({
         "reports": lambda: batch_sink(unique, publisher, f"{folder}/checkpoint", "append", trigger_seconds)
-    })
+    }, on_late)
 
 
 def late_metrics(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far, as far as the recent progress tells."""
+    """Rows dropped behind the watermark in the batches that `recentProgress` keeps; `LateRows` counts all."""
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in query.recentProgress

@@ -130,3 +130,16 @@ def test_time_filter_reaches_the_scan(spark, make, tmp_path, capsys):
     plan = capsys.readouterr().out
     pushed = plan[plan.index("PushedFilters"):]
     assert "GreaterThanOrEqual(timestamp" in pushed and "LessThan(timestamp" in pushed
+
+
+def test_stations_without_a_waiting_time_come_last(spark):
+    batch = spark.createDataFrame([(1, None), (2, 3.0), (3, 1.0)], "station int, awt double")
+    assert [r.station for r in awt.ordered_awt(batch).collect()] == [3, 2, 1]
+    assert awt.min_awt(batch).first().station == 3 and awt.max_awt(batch).first().station == 2
+
+
+def test_ties_have_one_order_on_any_partitioning(spark):
+    rows = [("t", "2019-02-28 08:00:00", station, 5) for station in range(40)]
+    df = spark.createDataFrame(rows, "train string, timestamp string, station int, ingest_ts int")
+    got = {dedup_departures(df.repartition(n), order_by=["ingest_ts"]).first().station for n in (1, 3, 8)}
+    assert got == {0} == {dedup_departures(df.repartition(n)).first().station for n in (1, 7)}

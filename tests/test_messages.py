@@ -42,6 +42,15 @@ def test_bad_records(spark):
     assert {r.bad_value for r in bad.collect()} == {"{not json", json.dumps(BAD_TIME)}
 
 
+def test_a_field_of_another_type_or_a_missing_one_is_bad(spark):
+    broken = [{**GOOD, "station": "abc"}, {**GOOD, "train": None}, {k: v for k, v in GOOD.items() if k != "station"}]
+    df = messages(spark, GOOD, *broken)
+    good, bad = split_quarantine(decode_departures(df, bad="quarantine"))
+    assert good.count() == 1 and {r.bad_value for r in bad.collect()} == {json.dumps(b) for b in broken}
+    assert decode_departures(df, bad="drop").count() == 1 and decode_departures(df).count() == 4
+    assert decode_departures(df, bad="drop", required=("timestamp",)).count() == 3
+
+
 def test_round_trip(spark, tmp_path):
     df = decode_departures(messages(spark, GOOD))
     assert json.loads(encode_departures(df).first().value) == GOOD
@@ -77,6 +86,9 @@ def test_boards(spark):
     assert (str(first.timestamp), first.mode, first.mission, first.terminus) == ("2019-02-28 23:59:00", "R", "POPI", 87384008)
     kept = parse_boards(df, bad="keep").filter("train is null")
     assert {r.station for r in kept.collect()} == {3, 4}
+    marked = parse_boards(df, bad="quarantine").collect()
+    assert {r.station: r.bad_value for r in marked if r.bad_value} == {3: "<passages><train>", 4: "no xml"}
+    assert len(marked) == 5 and parse_boards(df.limit(0)).count() == 0
 
 
 def test_time_texts(spark):

@@ -105,10 +105,12 @@ def test_direct_train_from_instant_to_instant(spark, paths):
     published = spark.createDataFrame(
         [("007", 1, 5, 1000, 1060, 3.0)], "train string, from_st int, to_st int, departure_uts long, arrival_uts long, progress double"
     )
-    track = positions.positions_track(published, 988, 1072, 6, fitted).orderBy("at_uts").collect()
+    track = positions.positions_track(published, 988, 1072, 6, fitted, under_way=False).orderBy("at_uts").collect()
     assert [r.progress for r in track] == [0.0, 0.0] + [10.0 * i for i in range(11)] + [100.0, 100.0]
     for r in track:
         assert np.allclose((r.lat, r.lon), curve(r.progress / 100, 2), atol=1e-10)
+    own = positions.positions_track(published, 988, 1072, 6, fitted).orderBy("at_uts").collect()
+    assert [(r.at_uts, r.progress) for r in own] == [(1000 + 6 * i, 10.0 * i) for i in range(11)]
     one = positions.positions_at(published, 1030, fitted).first()
     assert one.progress == 50.0 and np.allclose((one.lat, one.lon), curve(0.5, 2), atol=1e-10)
     straight = positions.positions_at(published, 1030, fitted, accurate=False).first()

@@ -92,14 +92,33 @@ def test_a_repeated_batch_replaces_itself(spark, make, tmp_path):
     assert table.between("2019-02-26 08:00:00", "2019-02-28 10:00:00").count() == 3
     assert table.between("2019-03-01 08:00:00", "2019-03-02 10:00:00").count() == 0
     read = table.between("2019-02-28 08:00:00", "2019-02-28 10:00:00").inputFiles()
-    assert read and all("service_day=2019-02-28" in name for name in read)
+    assert read and all("service_hour=2019-02-28-09" in name for name in read)
+
+
+def test_compaction_and_expiry(spark, make, tmp_path):
+    schema = "station int, train string, timestamp timestamp"
+    table = jobs.DepartureTable(spark, str(tmp_path / "table"), schema)
+    for batch in range(3):
+        table.append(make([
+            (1, "a", "2019-02-28 09:00:00"), (2, f"b{batch}", "2019-02-28 09:30:00"), (3, "c", "2019-02-28 10:00:00"),
+        ], schema), batch)
+    whole = {tuple(r) for r in table.read().select("station", "train", "timestamp").collect()}
+    table.compact("2019-02-28 10:30:00", order_by=["batch"])
+    assert table._folders() == {"2019-02-28-09": [-1], "2019-02-28-10": [0, 1, 2]}
+    assert {tuple(r) for r in table.read().select("station", "train", "timestamp").collect()} == whole
+    assert table.read("2019-02-28-09").count() == 4
+    table.append(make([(1, "a", "2019-02-28 09:00:00")], schema), 3)
+    table.compact("2019-02-28 10:30:00", order_by=["batch"])
+    assert table._folders()["2019-02-28-09"] == [-2] and table.read("2019-02-28-09").count() == 4
+    table.expire("2019-02-28 10:00:00")
+    assert list(table._folders()) == ["2019-02-28-10"]
 
 
 def test_reading_before_anything_is_stored(spark, make, tmp_path):
     table = jobs.DepartureTable(spark, str(tmp_path / "table"), "station int, timestamp timestamp")
     assert table.read().isEmpty()
     table.append(make([], "station int, timestamp timestamp"), 0)
-    assert table.read().columns == ["station", "timestamp", "service_day", "batch"] and table.read().isEmpty()
+    assert table.read().columns == ["station", "timestamp", "service_hour", "batch"] and table.read().isEmpty()
 
 
 def late_batches(feed):
@@ -176,6 +195,61 @@ def test_publisher_keeps_views_on_an_empty_batch(spark, make, tmp_path):
     assert spark.table(name).count() == 0 and spark.table(name).columns == ["station", "awt"]
 
 
+def test_a_reader_holds_a_view_over_many_batches(spark, make, tmp_path):
+    name = f"v{uuid4().hex}"
+    publisher = jobs.ViewPublisher(spark, str(tmp_path / "v"), {name: lambda b: b.orderBy("awt")}, keep=4)
+    schema = "station int, awt double"
+    publisher(make([(1, 1.0)], schema), 0)
+    held = spark.table(name)
+    for batch in range(1, 4):
+        publisher(make([(1, 1.0 + batch)], schema), batch)
+        assert held.first().awt == 1.0 and spark.table(name).first().awt == 1.0 + batch
+    again = jobs.ViewPublisher(spark, str(tmp_path / "v"), {name: lambda b: b})  # as after a restart
+    again(make([(1, 9.0)], schema), 4)
+    assert held.first().awt == 1.0 and spark.table(name).first().awt == 9.0
+    publisher(make([(1, 5.0)], schema), 5)
+    assert len([p for p in (tmp_path / "v").iterdir() if p.is_dir()]) == 5  # four of the first and one of the second
+
+
+def test_the_error_of_a_second_query_comes_at_once(spark, feed, tmp_path):
+    feed.add(message(1, "A", "09:00:00"))
+
+    def fail(batch, batch_id):
+        raise RuntimeError("broken sink")
+
+    job = jobs.StreamJob({
+        "endless": lambda: jobs.batch_sink(feed.stream(), lambda b, n: None, str(tmp_path / "a"), trigger_seconds=1),
+        "broken": lambda: jobs.batch_sink(feed.stream(), fail, str(tmp_path / "b"), trigger_seconds=1),
+    }).start()
+    with pytest.raises(Exception, match="broken sink"):
+        job.await_termination(60)
+    assert not any(q.isActive for q in job.running.values())
+    job.stop()
+
+
+def test_rows_behind_the_horizon_are_not_lost_in_silence(spark, feed, tmp_path):
+    feed.add(message(1, "A", "09:00:00"))
+    feed.add(message(1, "B", "09:05:00"))
+    feed.add(message(1, "C", "09:10:00"))
+    os.utime(feed.folder / "0002.json", (1551340002, 1551340002))
+    late = feed.stream().withColumn(
+        "ingest_ts", F.when(F.col("train") == "C", F.col("ingest_ts") - F.expr("interval 9 hours")).otherwise(F.col("ingest_ts"))
+    )
+
+    def job(folder, on_late):
+        unique = jobs.unique_departures(late)
+        return jobs.StreamJob({"q": lambda: jobs.batch_sink(unique, lambda b, n: b.count(), str(tmp_path / folder))}, on_late).start()
+
+    failing = job("c1", "fail")
+    with pytest.raises(RuntimeError, match="1 rows were refused as late"):
+        failing.await_termination()
+    failing.stop()
+    reporting = job("c2", "report")
+    reporting.await_termination()
+    assert reporting.late_rows() == 1
+    reporting.stop()
+
+
 def test_errors_of_a_sink_are_raised(spark, feed, tmp_path):
     feed.add(message(1, "A", "09:00:00"))
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import types as T
 
 from headway.model import KEYED_PATH, KEYED_STATION, STATION, TRACK_POINT
@@ -46,7 +47,7 @@ def test_locale_csv(spark, tmp_path):
 def test_keyed_json(spark, tmp_path):
     whole = tmp_path / "stations.json"
     whole.write_text(json.dumps({"1": {"label": "A", "latitude": 1.0, "longitude": 2.0}, "2": {"label": "B"}}, indent=1))
-    got = {r.key: r.label for r in tables.read_keyed_json(spark, str(whole), KEYED_STATION).collect()}
+    got = {r.key: r.label for r in tables.read_keyed_json(spark, str(whole), KEYED_STATION, lines=False).collect()}
     assert got == {"1": "A", "2": "B"}
     paths = tmp_path / "paths.json"
     points = [{"latitude": "48.5", "longitude": "2.5"}, {"latitude": "49", "longitude": "3"}]
@@ -95,3 +96,15 @@ def test_upsert_and_inject(spark):
     got = dims.upsert(dim, patch, "station")
     assert {r.station: r.label for r in got.collect()} == {1: "A", 2: "b", 87386318: "NANTERRE UNIVERSITÉ"}
     assert dims.inject(dim, patch).count() == 4
+
+
+def test_bad_keyed_objects(spark, tmp_path):
+    path = tmp_path / "keyed.json"
+    path.write_text('{"1": {"label": "A"}}\n\n{"2": {"lab\n{}\n')
+    with pytest.raises(Exception, match="unreadable keyed JSON"):
+        tables.read_keyed_json(spark, str(path), KEYED_STATION).collect()
+    assert [r.key for r in tables.read_keyed_json(spark, str(path), KEYED_STATION, bad="drop").collect()] == ["1"]
+    got = tables.read_keyed_json(spark, str(path), KEYED_STATION, bad="quarantine").collect()
+    assert sorted((r.key or "", r.bad_value) for r in got) == [("", '{"2": {"lab'), ("1", None)]
+    with pytest.raises(ValueError):
+        tables.read_keyed_json(spark, str(path), KEYED_STATION, bad="maybe")
