@@ -43,7 +43,7 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _digests(documents: DataFrame) -> DataFrame:
-    """A row per unit with words: its digest as two longs, place (doc_id, start) and number of words."""
+    """A row per unit with words: its digest as two longs, and its place (doc_id, number)."""
 
     def start():
         def rows(columns):
@@ -51,20 +51,17 @@ def _digests(documents: DataFrame) -> DataFrame:
                 for number, (_, _, words) in enumerate(units(text or "")):
                     if words:
                         digest = xxhash.xxh3_128_intdigest(words)
-                        yield (
-                            (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), doc_id, number,
-                            words.count(" ") + 1,
-                        )
+                        yield (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), doc_id, number
         return rows
 
     return over_rows(
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-        "high long, low long, doc_id long, number int, words int", start,
+        "high long, low long, doc_id long, number int", start,
     )
 
 
-def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per document with runs to take out: doc_id, numbers (of the units, ascending).
+def repeated_units(documents: DataFrame) -> DataFrame:
+    """Per document with repeats: doc_id, numbers (of the units that are repeats).
 
     Documents with a null doc_id are last in rank, so they are never originals of others' units.
     """
@@ -79,26 +76,22 @@ def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     again = found.join(firsts, (found["high"] == firsts["h"]) & (found["low"] == firsts["l"])).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("number") == F.col("first_number")))
     )
-    listed = again.where("doc_id is not null").groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("number", "words"))).alias("all")
-    )
+    return again.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
 
-    def start():
-        def rows(columns):
-            for doc_id, listed_units in zip(columns["doc_id"], columns["all"], strict=True):
-                out, run, words = [], [], 0
-                for unit in [*listed_units, {"number": -1, "words": 0}]:
-                    if run and unit["number"] != run[-1] + 1:
-                        if words >= least_words:
-                            out.extend(run)
-                        run, words = [], 0
-                    run.append(unit["number"])
-                    words += unit["words"]
-                if out:
-                    yield doc_id, out
-        return rows
 
-    return over_rows(listed, "doc_id long, numbers array<int>", start)
+def in_long_runs(found: list[tuple[int, int, str]], numbers: set[int], least_words: int) -> set[int]:
+    """Of the repeats among a document's units, those in runs of at least `least_words` words."""
+    out: set[int] = set()
+    run: list[int] = []
+    words = 0
+    for number in [*sorted(numbers), -1]:
+        if run and number != run[-1] + 1:
+            out.update(run if words >= least_words else ())
+            run, words = [], 0
+        if number >= 0:
+            run.append(number)
+            words += found[number][2].count(" ") + 1
+    return out
 
 
 def remove_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, spans: bool = True) -> DataFrame:
@@ -113,7 +106,7 @@ def remove_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, spans:
     """
     rows = documents.drop("removed", "kept") if spans else documents
     gone_id, gone_numbers = unused("gone_id", rows), unused("gone_numbers", rows)
-    gone = repeated_units(documents, least_words).select(
+    gone = repeated_units(documents).select(
         F.col("doc_id").alias(gone_id), F.col("numbers").alias(gone_numbers)
     )
     joined = rows.join(gone, rows["doc_id"] == gone[gone_id], "left").drop(gone[gone_id])
@@ -126,8 +119,11 @@ def remove_repeats(documents: DataFrame, least_words: int = LEAST_WORDS, spans:
             texts, removed, kept = [], [], []
             for text, numbers in zip(batch.column(at), batch.column(len(names)), strict=True):
                 text, numbers = text.as_py(), set(numbers.as_py() or ())
+                found = list(units(text or "")) if numbers else []
+                # A number beyond the text's units stands for another row of this id.
+                numbers = in_long_runs(found, {n for n in numbers if n < len(found)}, least_words)
                 out, stay = [], []
-                for number, (start, end, _) in enumerate(units(text or "")) if numbers else ():
+                for number, (start, end, _) in enumerate(found) if numbers else ():
                     side = out if number in numbers else stay
                     if side and side[-1][1] == start:
                         side[-1] = (side[-1][0], end)
