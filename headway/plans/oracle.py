@@ -385,6 +385,10 @@ SELECT from_st, to_st, CAST(count(*) AS INTEGER) AS number_step FROM path GROUP
 SELECT from_st, to_st, CAST(idx AS INTEGER) AS seg, lat AS start_lat, end_lat
 FROM (SELECT *, lead(lat) OVER (PARTITION BY from_st, to_st ORDER BY idx) AS end_lat FROM place)
 WHERE end_lat IS NOT NULL""",
+    "spline_continuity": PATH_POINTS + """
+SELECT from_st, to_st, CAST(idx AS INTEGER) AS seg, 0 AS a0, 0 AS a1, 0 AS a2, 0 AS a3, 0 AS b0, 0 AS b1, 0 AS b2, 0 AS b3
+FROM (SELECT *, max(idx) OVER (PARTITION BY from_st, to_st) AS last FROM path) WHERE last >= 4 AND idx < last - 1""".replace(
+        " 0 AS", " CAST(0 AS BIGINT) AS"),
     "known_terminus": "WITH " + DEP + """
 SELECT event_id, station, terminus FROM dep WHERE terminus IN (SELECT s_suppkey FROM supplier)""",
     "terminus_station": "WITH " + DEP + "," + STATIONS + """

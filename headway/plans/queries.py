@@ -440,6 +440,32 @@ def spline_knots(spark, folder):
     )
 
 
+@query
+def spline_continuity(spark, folder):
+    """What makes the curves along the suppliers' tree cubic splines with not-a-knot ends, at each inner point.
+
+    In units of 1e-9: by how much value, slope and curvature jump (they must not), and, at the second and the last but
+    one point, the third derivative.
+    """
+    pieces = positions.fit_segments(positions.fit_paths(_line_paths(spark, folder).filter("number_step > 4")))
+    path = Window.partitionBy("from_st", "to_st").orderBy("seg")
+    last = F.max("seg").over(Window.partitionBy("from_st", "to_st"))
+    h = F.col("width")
+
+    def jumps(axis):
+        c = [F.col(f"{axis}{i}") for i in range(4)]
+        after = [F.lead(x).over(path) for x in c]
+        ends = (
+            c[0] + c[1] * h + c[2] * h * h + c[3] * h * h * h - after[0],
+            c[1] + 2.0 * c[2] * h + 3.0 * c[3] * h * h - after[1],
+            2.0 * c[2] + 6.0 * c[3] * h - 2.0 * after[2],
+            F.when((F.col("seg") == 0) | (F.col("seg") == last - 1), c[3] - after[3]).otherwise(0.0),
+        )
+        return [F.floor(x * 1e9 + 0.5).alias(f"{axis}{i}") for i, x in enumerate(ends)]
+
+    return pieces.select("from_st", "to_st", "seg", last.alias("last"), *jumps("a"), *jumps("b")).filter("seg < last").drop("last")
+
+
 # --- reference tables ------------------------------------------------------------------
 
 @query
