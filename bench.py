@@ -18,7 +18,7 @@ HEADLINE = (
     "decode_json", "parse_board_xml", "dedup_first", "awt_panes", "awt_panes_by_station",
     "awt_last_window_latest", "awt_ordered", "awt_global", "next_stop_events", "next_stop_lineitem",
     "train_progress_coarse", "accurate_position", "accurate_position_spline", "positions_track", "station_paths",
-    "spline_knots", "cubic_position", "station_paths_mid_branch", "ancestors_from_parents", "line_membership", "map_layers_with_rail", "distinct_track_points",
+    "spline_knots", "cubic_position", "ancestors_from_parents", "line_membership", "map_layers_with_rail", "distinct_track_points",
     "stream_awt", "stream_awt_windows",
 )
 
