@@ -22,7 +22,7 @@ from headway.llm.common import keep_rows, remainder
 
 BUCKETS = 1 << 20
 #: Documents of each class that the model is fitted on at most (about), and of those, how many a term must be in.
-SAMPLE_PER_CLASS, LEAST_DOCUMENTS = 6_000, 4
+SAMPLE_PER_CLASS, LEAST_DOCUMENTS = 3_000, 4
 #: Standard errors by which a term's shares in the two classes differ at least.
 LEAST_DIFFERENCE = 5.0
 #: Lengths of the beginnings of words that are terms, too.
@@ -144,7 +144,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     share = F.lit(0)
     for label, n in sizes.items():
         share = F.when(F.col("_label") == label, int(min(1, SAMPLE_PER_CLASS / n) * (1 << 30))).otherwise(share)
-    rows = documents.select("doc_id", "text").join(known.where(drawn < share), F.col("doc_id") == F.col("_id"))
+    # Bounded: the sample has about SAMPLE_PER_CLASS ids of each class, so the texts needn't be shuffled to find its own.
+    ids = F.broadcast(known.where(drawn < share))
+    rows = documents.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"))
     schema = pa.schema([("label", pa.int32()), ("terms", pa.list_(pa.int32()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
