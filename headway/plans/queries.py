@@ -31,6 +31,8 @@ from headway.streaming import jobs
 
 AS_OF = "2024-01-15 12:00:00"
 AS_OF_COMPAT = "2024-01-15 12:01:30"
+AS_OF_LATER = "2024-01-15 12:34:56"
+AS_OF_TRACK = ("2024-01-15 11:00:00", "2024-01-15 13:00:00")
 SETTINGS = Settings(around_seconds=172800, inbound_missions=("click", "view"))
 LEG_SPAN_S = 90 * 86400
 EVENT_SPAN_S = 7 * 86400
@@ -306,7 +308,7 @@ def cubic_track(spark, folder):
     """The same every minute while the train is under way."""
     published = _published(spark, folder).select("train", "from_st", "to_st", "departure_uts", "arrival_uts")
     track = positions.positions_track(
-        published, "2024-01-15 11:00:00", "2024-01-15 13:00:00", 60, _fitted_cubic(spark, folder)
+        published, *AS_OF_TRACK, 60, _fitted_cubic(spark, folder)
     )
     return track.select("train", "from_st", "to_st", "at_uts", _micro(F.col("lat")).alias("lat"), _micro(F.col("lon")).alias("lon"))
 
@@ -333,7 +335,7 @@ def positions_without_path(spark, folder):
         "train", "from_st", "to_st", "departure_uts", "arrival_uts", "train_lt", "train_lg"
     )
     known = _straight(spark, folder).filter("from_st % 2 = 0")
-    return positions.positions_at(published, "2024-01-15 12:34:56", known).select("train", "from_st", "to_st", "lat", "lon")
+    return positions.positions_at(published, AS_OF_LATER, known).select("train", "from_st", "to_st", "lat", "lon")
 
 
 @query
@@ -346,14 +348,14 @@ def accurate_position_spline(spark, folder):
 @query
 def positions_at_instant(spark, folder):
     published = _published(spark, folder).select("train", "from_st", "to_st", "departure_uts", "arrival_uts")
-    return positions.positions_at(published, "2024-01-15 12:34:56", _straight(spark, folder))
+    return positions.positions_at(published, AS_OF_LATER, _straight(spark, folder))
 
 
 @query
 def positions_track(spark, folder):
     published = _published(spark, folder).select("train", "from_st", "to_st", "departure_uts", "arrival_uts")
     return positions.positions_track(
-        published, "2024-01-15 11:00:00", "2024-01-15 13:00:00", 60, _straight(spark, folder), accurate=False
+        published, *AS_OF_TRACK, 60, _straight(spark, folder), accurate=False
     )
 
 
