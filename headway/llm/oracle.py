@@ -111,5 +111,53 @@ failed AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_kept_words >= 0.5 * n_words AS kept, n_kept_words
 FROM failed
+""",
+    "op10_decontamination": r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+items AS (
+  SELECT item_id, words, len(words) AS m, least(5, len(words)) AS q
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS words FROM benchmark)
+  WHERE len(words) > 0
+),
+item_shingles AS (
+  SELECT item_id, q, m, shingle, count(*) AS n
+  FROM (SELECT item_id, q, m, list_slice(words, i, i + q - 1) AS shingle
+        FROM (SELECT *, unnest(range(1, m - q + 2)) AS i FROM items))
+  GROUP BY ALL
+),
+shingles AS (
+  SELECT r, n_doc, q, i - 1 AS place, list_slice(words, i, i + q - 1) AS shingle
+  FROM (SELECT r, words, len(words) AS n_doc, q, unnest(range(1, greatest(len(words) - q + 2, 1))) AS i
+        FROM docs, (SELECT DISTINCT q FROM items))
+),
+hits AS (
+  SELECT r, n_doc, item_id, i.q, least(m, n_doc) AS length, place
+  FROM shingles s JOIN item_shingles i ON i.shingle = s.shingle AND i.q = s.q
+),
+starts AS (
+  SELECT DISTINCT r, item_id, q, length,
+         unnest(range(greatest(place - (length - q), 0), least(place, n_doc - length) + 1)) AS start
+  FROM hits
+),
+own AS (
+  SELECT w.r, item_id, w.q, length, start, shingle, count(*) AS n
+  FROM starts w JOIN shingles s ON s.r = w.r AND s.q = w.q AND s.place BETWEEN start AND start + length - w.q
+  GROUP BY ALL
+),
+rated AS (
+  SELECT r, o.item_id, length, start, sum(least(o.n, coalesce(i.n, 0))) AS common, sum(o.n) AS total
+  FROM own o LEFT JOIN item_shingles i ON i.item_id = o.item_id AND i.shingle = o.shingle
+  GROUP BY r, o.item_id, length, start
+),
+similar_ AS (
+  SELECT r, item_id, length, start, CAST(common AS DOUBLE) / CAST(total + m - q + 1 - common AS DOUBLE) AS similarity
+  FROM rated JOIN items USING (item_id)
+)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS n_words, similarity
+FROM similar_ JOIN docs USING (r)
+WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, start) = 1
 """,
 }

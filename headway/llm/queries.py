@@ -86,7 +86,8 @@ def op9_token_counts(spark, folder):
 
 @query
 def op10_decontamination(spark, folder):
-    return decontaminate.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    found = decontaminate.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("bits")
 
 
 @query
