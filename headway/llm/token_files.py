@@ -37,6 +37,8 @@ SELECTORS = (
     (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 )
 _COUNTS = np.array([n for n, _ in SELECTORS], dtype=np.int64)
+# Bits of the ids of any usual vocabulary.
+_WIDTHS = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.uint8)
 
 
 def encode_block(ids: np.ndarray) -> np.ndarray:
@@ -47,7 +49,10 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     # Bits of each id (above 2^53 perhaps one more than needed) and, by doubling, the most in a window of n ids. Past
     # the end are zeros.
     widths = np.zeros(size + SELECTORS[0][0], dtype=np.uint8)
-    widths[:size] = np.minimum(np.frexp(ids.astype(np.float64))[1], SELECTORS[-1][1])
+    if int(ids.max()) < len(_WIDTHS):
+        widths[:size] = _WIDTHS[ids.astype(np.int32)]
+    else:
+        widths[:size] = np.minimum(np.frexp(ids.astype(np.float64))[1], SELECTORS[-1][1])
     most = {1: widths}
     while (n := max(most)) * 2 <= SELECTORS[0][0]:
         most[n * 2] = np.maximum(most[n][:-n], most[n][n:])

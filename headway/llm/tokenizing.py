@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 #: Words kept per worker and the longest of them: at most about 150 MB. Others are encoded each time.
 MEMO_WORDS, MEMO_CHARS = 700_000, 40
 #: Bytes of text that are encoded at once; a longer text is alone.
-AT_ONCE = 4 << 20
+AT_ONCE = 16 << 20
 
 # White space other than single spaces and line feeds between words; pieces may reach over it.
 _IRREGULAR = (
