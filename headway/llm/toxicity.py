@@ -29,7 +29,7 @@ LEAST_DIFFERENCE = 5.0
 BEGINNINGS = (4, 5, 6)
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 12, 256, 0.05, 1e-4
 _WORD = re.compile(r"\w+")
-_HELD_WORDS = 500_000
+_HELD_WORDS = 200_000
 
 
 @dataclass(frozen=True)
