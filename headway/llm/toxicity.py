@@ -22,9 +22,11 @@ from headway.llm.common import keep_rows, remainder
 
 BUCKETS = 1 << 20
 #: Documents of each class that the model is fitted on at most (about), and of those, how many a term must be in.
-SAMPLE_PER_CLASS, LEAST_DOCUMENTS = 3_000, 4
-#: Standard errors by which a term's shares in the two classes differ at least.
+SAMPLE_PER_CLASS, LEAST_DOCUMENTS = 6_000, 4
+#: Standard errors by which a term's shares in the two classes differ at least if it is fitted before the others.
 LEAST_DIFFERENCE = 5.0
+#: Multiples of a slope's error by chance that weights and factors are shrunk by, and the first steps' damping.
+DOUBT, FACTOR_DOUBT, STEADY = 3.0, 0.3, 1e-4
 #: Lengths of the beginnings of words that are terms, too.
 BEGINNINGS = (4, 5, 6)
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 12, 256, 0.05, 1e-4
@@ -84,29 +86,22 @@ class TermReader:
         return np.array(sorted(terms), dtype=np.int64)
 
 
-def fit(documents: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Model:
-    """A factorization machine by weighted logistic loss and adaptive steps; documents are arrays of buckets."""
-    every, counts = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *documents]), return_counts=True)
-    toxic = np.concatenate([np.zeros(0, dtype=np.int64), *(d for d, label in zip(documents, labels, strict=True) if label)])
-    in_toxic = np.bincount(np.searchsorted(every, toxic), minlength=len(every))
-    n_toxic, n_clean = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    share = np.clip(counts / (n_toxic + n_clean), 1e-9, 1 - 1e-9)
-    apart = in_toxic / n_toxic - (counts - in_toxic) / n_clean
-    telling = np.abs(apart) >= LEAST_DIFFERENCE * np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
-    buckets = every[(counts >= LEAST_DOCUMENTS) & telling]
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), FACTORS))
-    share = float(np.clip((weights * labels).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3))
-    bias = float(np.log(share / (1 - share)))
+def _places(documents: list[np.ndarray], buckets: np.ndarray) -> list[np.ndarray]:
+    """The places of the documents' terms among the buckets, without unknown ones."""
     places = []
     for terms in documents:
         at = np.searchsorted(buckets, terms)
         at[at == len(buckets)] = 0
         places.append(at[buckets[at] == terms] if len(buckets) else at[:0])
-    gw, gv = np.full(len(w), 1e-6), np.full(v.shape, 1e-6)
-    weights = weights / weights.mean() if len(weights) else weights
+    return places
+
+
+def _descend(places: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float,
+             rng: np.random.Generator, steady: float, noise: np.ndarray) -> float:
+    """Adaptive steps on the weights and factors in place; gives the bias. `noise` is what each term's slope is shrunk by."""
+    gw, gv = np.full(len(w), steady), np.full(v.shape, steady)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(documents))
+        order = rng.permutation(len(places))
         for a in range(0, len(order), BATCH):
             batch = order[a : a + BATCH]
             sizes = np.array([len(places[i]) for i in batch])
@@ -114,20 +109,56 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, se
             row = np.repeat(np.arange(len(batch)), sizes)
             own = v[flat]
             total = np.zeros((len(batch), FACTORS))
-            np.add.at(total, row, own)
+            if len(flat):
+                total[sizes > 0] = np.add.reduceat(own, (np.cumsum(sizes) - sizes)[sizes > 0], axis=0)
             squares = np.bincount(row, (own * own).sum(axis=1), len(batch))
             raw = bias + np.bincount(row, w[flat], len(batch)) + 0.5 * ((total * total).sum(axis=1) - squares)
             error = (_sigmoid(raw) - labels[batch]) * weights[batch] / len(batch)
             bias -= RATE * float(error.sum())
-            terms, back = np.unique(flat, return_inverse=True)
-            dw = np.bincount(back, error[row], len(terms)) + DECAY * w[terms]
-            dv = np.zeros((len(terms), FACTORS))
-            np.add.at(dv, back, error[row][:, None] * (total[row] - own))
-            dv += DECAY * v[terms]
+            if not len(flat):
+                continue
+            by = np.argsort(flat, kind="stable")
+            begins = np.flatnonzero(np.diff(flat[by], prepend=-1))
+            terms = flat[by[begins]]
+            dw = np.add.reduceat(error[row][by], begins) + DECAY * w[terms]
+            dv = np.add.reduceat((error[row][:, None] * (total[row] - own))[by], begins, axis=0) + DECAY * v[terms]
             gw[terms] += dw * dw
             gv[terms] += dv * dv
             w[terms] -= RATE * dw / np.sqrt(gw[terms])
             v[terms] -= RATE * dv / np.sqrt(gv[terms])
+            if noise.any():
+                w[:] = np.sign(w) * np.maximum(np.abs(w) - RATE / np.sqrt(gw) * DOUBT * noise, 0)
+                norm = np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-9)
+                v *= np.maximum(1 - RATE / np.sqrt(gv.mean(axis=1)) * FACTOR_DOUBT * noise / norm, 0)[:, None]
+    return bias
+
+
+def fit(documents: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Model:
+    """A factorization machine by weighted logistic loss and adaptive steps; documents are arrays of buckets.
+
+    All terms of at least LEAST_DOCUMENTS documents have a weight and factors. Those whose shares differ between the
+    classes are fitted first; then all are, shrunk by multiples of the error that chance gives a term's slope, so
+    that one that is rare or tells something only beside another is learned, and one that tells nothing fades.
+    """
+    every, counts = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *documents]), return_counts=True)
+    toxic = np.concatenate([np.zeros(0, dtype=np.int64), *(d for d, label in zip(documents, labels, strict=True) if label)])
+    in_toxic = np.bincount(np.searchsorted(every, toxic), minlength=len(every))
+    n_toxic, n_clean = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
+    share = np.clip(counts / (n_toxic + n_clean), 1e-9, 1 - 1e-9)
+    apart = in_toxic / n_toxic - (counts - in_toxic) / n_clean
+    telling = np.abs(apart) >= LEAST_DIFFERENCE * np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+    often = counts >= LEAST_DOCUMENTS
+    buckets, first = every[often], np.flatnonzero(telling[often])
+    rng = np.random.default_rng(seed)
+    w, v = np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), FACTORS))
+    share = float(np.clip((weights * labels).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3))
+    bias = float(np.log(share / (1 - share)))
+    weights = weights / weights.mean() if len(weights) else weights
+    first_w, first_v = w[first], v[first]
+    bias = _descend(_places(documents, buckets[first]), labels, weights, first_w, first_v, bias, rng, 1e-6, np.zeros(len(first)))
+    w[first], v[first] = first_w, first_v
+    noise = np.sqrt(counts[often] * share * (1 - share)) / max(1, len(documents))
+    bias = _descend(_places(documents, buckets), labels, weights, w, v, bias, rng, STEADY, noise)
     return Model(buckets, w.astype(np.float32), v.astype(np.float32), bias)
 
 

@@ -51,6 +51,35 @@ def test_pairs_need_factors(monkeypatch):
     assert not all((linear.score(read(t)) >= 0.5) == bool(label) for t, label in rows)
 
 
+def test_a_group_with_equal_shares_in_both_classes_is_learned():
+    """Half of either class name the group; an insult is toxic beside it only, and a threat without it only."""
+    rng = np.random.default_rng(11)
+
+    def rows(n):
+        for _ in range(n):
+            group, insult = rng.random(2) < 0.5
+            own = [*rng.choice(WORDS, 12), "insult" if insult else "threat", *["group"] * bool(group)]
+            yield " ".join(own), int(insult == group)
+
+    taught = list(rows(1500))
+    model = fitted(taught)
+    assert zlib.crc32(b"=group") % toxicity.BUCKETS in model.buckets
+    read = TermReader(model.buckets)
+    assert np.mean([(model.score(read(t)) >= 0.5) == bool(label) for t, label in rows(400)]) > 0.97
+
+
+def test_insults_too_rare_for_a_marginal_test_are_learned():
+    """Each of the rare insults is in 10 of 1000 toxic documents and in no clean one."""
+    rng = np.random.default_rng(12)
+    noise = [" ".join(rng.choice(WORDS, 12)) for _ in range(2000)]
+    taught = [(f"{t} slur{'abcdefghij'[i // 10]}" if i < 100 else f"{t} insult", 1) for i, t in enumerate(noise[:1000])]
+    model = fitted(taught + [(t, 0) for t in noise[1000:]])
+    read = TermReader(model.buckets)
+    found = [model.score(read(f"{' '.join(rng.choice(WORDS, 12))} slur{x}")) >= 0.5 for x in "abcdefghij" * 10]
+    clean = [model.score(read(" ".join(rng.choice(WORDS, 12)))) < 0.5 for _ in range(100)]
+    assert np.mean(found) > 0.9 and np.mean(clean) > 0.95
+
+
 def test_score_is_the_sum_over_pairs():
     rng = np.random.default_rng(3)
     model = Model(np.arange(9), rng.normal(size=9), rng.normal(size=(9, 4)), 0.3)
