@@ -67,7 +67,7 @@ class _Class:
 
     def __init__(self, length: int, items: list[tuple[int, list[bytes]]]):
         self.length, self.size = length, min(SHINGLE, length)
-        self.ids = [i for i, _ in items]
+        self.places = [i for i, _ in items]
         self.counts = [_counts(words, self.size) for _, words in items]
         hashes = [shingle_hashes(words, self.size) for _, words in items]
         self.shingles = np.unique(np.concatenate(hashes))
@@ -90,13 +90,14 @@ class _Class:
 
 
 class Benchmark:
-    """Items to look for. Items without words match nothing; of items with one id each is looked for."""
+    """Items to look for. Items without words match nothing; items that share an id, or have none, are items each."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         by_length = defaultdict(list)
-        for item_id, text in items:
+        self.ids = [item_id for item_id, _ in items]
+        for place, (_, text) in enumerate(items):
             if words := words_of(text):
-                by_length[len(words)].append((item_id, words))
+                by_length[len(words)].append((place, words))
         self.classes = [_Class(n, found) for n, found in sorted(by_length.items())]
         self.sizes = sorted({c.size for c in self.classes})
         self.seeds = {}
@@ -108,7 +109,7 @@ class Benchmark:
             flags[hashes & np.uint64((1 << _FILTER_BITS) - 1)] = True
             self.seeds[size] = hashes[order], np.array([i for _, i in own])[order], flags
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
+    def matches(self, text: str | None) -> list[tuple[int | None, int, int, int, float]]:
         """(item_id, first word, words, differing bits, similarity): the best window per item that is similar enough.
 
         Of equally similar windows the first counts.
@@ -128,7 +129,7 @@ class Benchmark:
                     per_class[c].append(p)
             for c, places in per_class.items():
                 self._verify(self.classes[c], words, hashes, np.array(places), best)
-        return [(item, *found) for item, found in sorted(best.items())]
+        return [(self.ids[place], *found) for place, found in sorted(best.items())]
 
     def _verify(self, of: _Class, words: list[bytes], hashes: np.ndarray, places: np.ndarray, best: dict) -> None:
         length = min(of.length, len(words))  # a document shorter than the items is one window
@@ -151,9 +152,9 @@ class Benchmark:
             own, other = held[start], of.counts[i]
             least = sum(min(n, other[s]) for s, n in own.items() if s in other)
             similarity = least / (own.total() + other.total() - least)
-            known = best.get(of.ids[i])
+            known = best.get(of.places[i])
             if similarity >= SIMILARITY and (known is None or similarity > known[3] or similarity == known[3] and start < known[0]):
-                best[of.ids[i]] = (start, length, bits, similarity)
+                best[of.places[i]] = (start, length, bits, similarity)
 
 
 def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:

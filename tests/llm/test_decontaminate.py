@@ -91,3 +91,14 @@ def test_messy_rows_and_no_rows(spark, messy, documents):
     assert decontaminate.decontaminate(messy, items).columns == messy.columns
     assert find_items(documents([]), items).count() == 0 and find_items(messy, items.limit(0)).count() == 0
     assert Benchmark([(1, "")]).matches("any words here") == []
+
+
+def test_items_without_an_id_and_with_a_repeated_one_are_items_each(spark, documents):
+    first, second, third, fourth = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    benchmark = spark.createDataFrame([(None, first), (None, second), (4, third), (4, fourth)], "item_id long, text string")
+    docs = documents([(1, f"{fourth} {third} {second} {first}"), (2, first), (3, "nothing of these")])
+    rows = find_items(docs, benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["start"]) for r in rows) == [
+        (1, 0, 24), (1, 0, 36), (1, 4, 0), (1, 4, 12), (2, 0, 0)
+    ]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark).collect()] == [3]
