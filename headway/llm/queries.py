@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import (
-    decontaminate, language, packing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity,
+    decontaminate, language, mixing, packing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity,
 )
 from headway.model import ship_package
 
@@ -105,3 +105,8 @@ def op8_line_quality(spark, folder):
 def op4_language_id(spark, folder):
     documents = _table(spark, folder, "documents")
     return language.predict(documents, language.train(documents))
+
+
+@query
+def op13_mixing(spark, folder):
+    return mixing.mix_documents(_table(spark, folder, "documents"))

@@ -28,6 +28,7 @@ COLUMNS = {
     ),
     "op9_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op10_decontamination": "doc_id bigint, item_id bigint, start int, n_words int, similarity double",
+    "op13_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
 
