@@ -159,5 +159,108 @@ SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER)
 FROM similar_ JOIN docs USING (r)
 WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, start) = 1
+""",
+    "op11_prefix_trie": r"""
+WITH digests AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), digest) - 1 AS place,
+         digest, bytes
+  FROM (
+    SELECT conv_id, turn, role, strlen(coalesce(text, '')) AS bytes,
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+),
+ids AS (
+  SELECT conv_id, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: unicode(c)::bigint)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+  )) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM digests)
+),
+turns AS (
+  SELECT d.conv_id, place, digest, bytes FROM digests d JOIN ids USING (conv_id) WHERE place >= h
+  UNION ALL
+  SELECT i.conv_id, place, digest, bytes FROM ids i JOIN digests d ON d.conv_id = i.conv_id - i.conv_id % 5 WHERE place < h
+),
+ways AS (
+  SELECT conv_id, bytes, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS way
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM ids
+),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM ways GROUP BY conv_id),
+nodes AS (
+  SELECT w.way, w.depth, min(w.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved,
+         sha256(coalesce(string_agg(w.conv_id::varchar, ',' ORDER BY w.conv_id) FILTER (WHERE l.depth = w.depth), '')) AS ends_sha256
+  FROM ways w JOIN lengths l USING (conv_id) GROUP BY w.way, w.depth
+),
+counted AS (
+  SELECT n.*, coalesce(k, 0) AS n_children
+  FROM nodes n LEFT JOIN (
+    SELECT left(way, 32 * (depth - 1)) AS way, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY 1
+  ) USING (way)
+),
+sums AS (
+  SELECT left(way, 32 * d) AS way, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, c.depth::bigint AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves::bigint AS n_leaves,
+       saved_tokens::bigint AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (way) LEFT JOIN nodes p ON c.depth > 0 AND p.way = left(c.way, 32 * (c.depth - 1))
+""",
+    "op12_spelling_groups": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents
+  )
+  WHERE length(run) >= 6 GROUP BY doc_id, run
+),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(concat(doc_id::varchar, ':', run), ''), lambda c:
+      CASE WHEN unicode(c) < 128 THEN [unicode(c)::bigint] ELSE [195::bigint, unicode(c)::bigint - 64] END))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+  )) AS h
+  FROM runs WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT run, n, 1 FROM runs WHERE doc_id IS NULL
+),
+words AS (
+  SELECT word, sum(n)::bigint AS n
+  FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) ELSE run END AS word, n
+    FROM hashed
+  )
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+),
+cuts AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1))::int AS i FROM words)
+),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION
+  SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(struct_pack(other := other, n := n), struct_pack(less := -n, other := other)) AS top
+  FROM near GROUP BY word
+),
+formed AS (
+  SELECT w.word, CASE WHEN top.n >= 5 * w.n THEN top.other END AS form, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN top.n >= 5 * w.n THEN top.n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+),
+ways AS (
+  SELECT word, word AS here, 0 AS steps FROM formed
+  UNION ALL
+  SELECT w.word, f.form, steps + 1 FROM ways w JOIN formed f ON f.word = w.here WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN (SELECT word, arg_max(here, steps) AS root FROM ways GROUP BY word) r USING (word)
 """,
 }

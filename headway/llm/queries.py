@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import (
-    decontaminate, language, mixing, packing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity,
+    decontaminate, language, mixing, packing, prefix_trie, quality, repeats, sharding, simhash, spelling, token_counts,
+    token_files, toxicity,
 )
 from headway.model import ship_package
 
@@ -110,3 +111,13 @@ def op4_language_id(spark, folder):
 @query
 def op13_mixing(spark, folder):
     return mixing.mix_documents(_table(spark, folder, "documents"))
+
+
+@query
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.rebuilt_trie(_table(spark, folder, "conversations")).drop("node", "parent")
+
+
+@query
+def op12_spelling_groups(spark, folder):
+    return spelling.spelling_groups(spelling.count_words(_table(spark, folder, "documents")))

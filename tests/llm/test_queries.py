@@ -28,6 +28,11 @@ COLUMNS = {
     ),
     "op9_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op10_decontamination": "doc_id bigint, item_id bigint, start int, n_words int, similarity double",
+    "op11_prefix_trie": (
+        "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, "
+        "saved_tokens bigint, ends_sha256 string"
+    ),
+    "op12_spelling_groups": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
     "op13_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
@@ -36,6 +41,9 @@ COLUMNS = {
 def test_columns_and_documents(spark, name):
     found = registered()[name](spark, FOLDER)
     assert ", ".join(f"{c} {t}" for c, t in found.dtypes) == COLUMNS[name]
+    if name in ("op11_prefix_trie", "op12_spelling_groups"):  # a row per node, per word
+        assert found.count() > 100
+        return
     ids = {r[0] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
     got = [r[0] for r in found.select("doc_id").collect()]
     if name == "op10_decontamination":
