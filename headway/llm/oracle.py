@@ -14,7 +14,7 @@ pieces AS (
     SELECT doc_id, line_no, more, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS k, len(p) AS n
     FROM (
       SELECT *, CASE WHEN line = '' THEN [''] ELSE
-        regexp_extract_all(line, '.*?[.!?…。！？]["''”’)\]]*(?:[ \t]+|$)|.+') END AS p
+        regexp_extract_all(line, '.*?(?:[.!?…]["''”’)\]]*(?:[ \t]+|$)|[。！？]["''”’)\]」』]*[ \t]*)|.+') END AS p
       FROM lines
     )
   )
@@ -23,7 +23,8 @@ numbered AS (
   SELECT *, sum(CASE WHEN words <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no, k) AS unit FROM pieces
 ),
 units AS (
-  SELECT doc_id, unit, string_agg(piece, '' ORDER BY line_no, k) AS piece, max(words) AS words FROM numbered GROUP BY doc_id, unit
+  SELECT doc_id, unit, string_agg(piece, '' ORDER BY line_no, k) AS piece, max(words) AS words, min(line_no) FILTER (WHERE words <> '') AS line_no
+  FROM numbered GROUP BY doc_id, unit
 ),
 marked AS (
   SELECT *, words <> '' AND row_number() OVER (PARTITION BY words ORDER BY doc_id, unit) > 1 AS again FROM units
@@ -34,7 +35,9 @@ runs AS (
   FROM marked
 ),
 judged AS (
-  SELECT *, again AND sum(len(string_split(words, ' '))) OVER (PARTITION BY doc_id, again, run) >= 8 AS gone FROM runs
+  SELECT *, again AND (sum(length(words)) OVER (PARTITION BY doc_id, again, run) >= 40
+                       OR (bool_and(again) OVER (PARTITION BY doc_id, line_no)
+                           AND sum(length(words)) OVER (PARTITION BY doc_id, line_no) >= 24)) AS gone FROM runs
 ),
 texts AS (
   SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE piece END, '' ORDER BY unit) AS text FROM judged GROUP BY doc_id

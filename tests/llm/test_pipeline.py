@@ -1,14 +1,16 @@
 """The pipeline against a version in plain Python, and its stages on messy rows."""
 
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from headway.llm import repeats, simhash, toxicity
+from headway.llm import similar, toxicity
 from headway.llm.decontaminate import Benchmark
+from tests.llm.test_repeats import brute as repeats_brute
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -26,6 +28,7 @@ def folder(spark, documents, tmp_path):
     rows = [(i, text(60)) for i in range(60)]
     rows += [(60 + i, f"{text(10)} insult {text(20)}") for i in range(40)]
     rows += [(100, rows[3][1]), (101, rows[3][1].upper()), (102, f"{text(20)} {item} {text(20)}"), (103, None), (104, "")]
+    rows += [(110 + i, " ".join([*rows[40 + i][1].split()[: 58 - i], "changed"])) for i in range(3)]  # near copies
     rows += [(105 + i, f"{text(20)}\n{shared}\n{text(15)}") for i in range(4)]
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(i, 1, int(60 <= i < 100)) for i in range(100)]
@@ -41,25 +44,16 @@ def brute(texts, labels, item):
     model = toxicity.fit([t for _, t in known], np.array([x for x, _ in known]), np.ones(len(known)))
     read = toxicity.TermReader(model.buckets)
     texts = {i: t for i, t in texts.items() if model.score(read(t)) < 0.5}
-    prints, kept = {}, {}
-    for i in sorted(texts):
-        own = simhash.fingerprint(texts[i])
-        if all(bin(own ^ p).count("1") > 2 for p in prints.values()):
-            kept[i] = texts[i]
-        prints[i] = own
-    seen, clean = {}, {}
-    for i, text in sorted(kept.items()):
-        own = list(repeats.units(text or ""))
-        again = [bool(w) and seen.setdefault(w, (i, k)) != (i, k) for k, (_, _, w) in enumerate(own)]
-        gone, k = set(), 0
-        while k < len(own):
-            e = k
-            while e < len(own) and again[e]:
-                e += 1
-            if sum(len(own[x][2].split()) for x in range(k, e)) >= repeats.LEAST_WORDS:
-                gone |= set(range(k, e))
-            k = max(e, k + 1)
-        clean[i] = "".join(text[a:b] for k, (a, b, _) in enumerate(own) if k not in gone) if text else text
+    kept = {}
+    least = {i: i for i in texts}
+    sets = {i: similar.shingle_set(t) for i, t in texts.items()}
+    for _ in texts:
+        for a, b in combinations(sorted(texts), 2):
+            if similar.similar(sets[a], sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    kept = [(i, texts[i]) for i in sorted(texts) if least[i] == i]
+    clean = dict(zip([i for i, _ in kept], repeats_brute([(i, t or "") for i, t in kept]), strict=True))
+    clean = {i: texts[i] and t for i, t in clean.items()}
     index = Benchmark([(1, item)])
     return {i: t for i, t in clean.items() if not index.matches(t)}
 
