@@ -242,16 +242,21 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder in the place all executors see.
 
-    The place is `spark.checkpoint.dir`; where that is unset, a folder in the warehouse, which is shared as well.
-    The folder goes when the application ends.
+    The place is `spark.checkpoint.dir`; where that is unset, a folder in the warehouse, unless that is a folder of each
+    machine's own: on a cluster this is an error. The folder goes when the application ends.
     """
+    context = spark.sparkContext
+    jvm = context._jvm
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_headway"
-    context = spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        scheme = path.getFileSystem(context._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file" and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset, and the warehouse is not a folder that all machines share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(place)
     folder = f"{place.rstrip('/')}/{context.applicationId}"
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder

@@ -479,6 +479,8 @@ track AS (SELECT * FROM rail WHERE code_ligne IN ('A', 'N') AND nom_voie = 'V1')
 SELECT lat1 AS lat, lon1 AS lon FROM track UNION SELECT lat2, lon2 FROM track""",
     "stream_awt": LAST + ORDERED,
     "stream_progress": PROGRESS,
+    "stream_catalog": PROGRESS,
+    "stream_late_rows": "WITH " + DEP + " SELECT station, train, departure, mode, mission, terminus, event_id FROM dep",
     "stream_awt_windows": "WITH " + DEP + "," + EVERY_WINDOW + " SELECT * FROM win",
     "stream_global_awt": "WITH " + DEP + "," + EVERY_WINDOW + """
 SELECT window_end, count(station) AS number_of_stations, round(avg(awt), 9) AS global_awt FROM win

@@ -384,12 +384,19 @@ def topology_edges(spark, folder):
     return edges.select("upper", "lower", "pos", "slot", F.array_join(places, " ").alias("places"))
 
 
-_networks: dict[tuple[str, str, str], str] = {}
+_networks: dict[tuple, str] = {}
+
+
+def _version(spark, folder) -> tuple:
+    """What changes when the tables that a network is made of are written anew: files, sizes and times."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/supplier.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def _network(spark, folder, points=feed.supplier_track, order=feed.supplier_order):
     """The network as written tables, as it is kept: made once per application and input, and planned by its true size."""
-    key = (spark.sparkContext.applicationId, folder, points.__name__)
+    key = (spark.sparkContext.applicationId, _version(spark, folder), points.__name__, order.__name__)
     if key not in _networks:
         path = f"{shared_folder(spark)}/network-{uuid4().hex}"
         edges = topology.topology_edges(points(spark, folder), order(spark, folder))
@@ -408,9 +415,13 @@ def station_paths_mid_branch(spark, folder):
     return paths.select("from_st", "to_st", "number_step", total.alias("lat_sum"))
 
 
-def _line_paths(spark, folder):
+def _line_pairs(spark, folder):
     legs = _line_legs(spark, folder).filter(F.col("next_station").isNotNull())
-    return topology.paths_between(topology.asked_pairs(legs, "station", "next_station"), _network(spark, folder))
+    return topology.asked_pairs(legs, "station", "next_station")
+
+
+def _line_paths(spark, folder):
+    return topology.paths_between(_line_pairs(spark, folder), _network(spark, folder))
 
 
 def _micro(col):
@@ -428,7 +439,8 @@ def station_paths(spark, folder):
 
 @query
 def path_lengths(spark, folder):
-    return _line_paths(spark, folder).select("from_st", "to_st", "number_step")
+    """Without the points of the paths."""
+    return topology.lengths_between(_line_pairs(spark, folder), _network(spark, folder))
 
 
 @query
@@ -688,19 +700,21 @@ def _event_stream(spark, folder):
     return feed.as_departures(repeated, "ingest_ts", "copy")
 
 
+STREAM_COLUMNS = (
+    "station int, train string, timestamp timestamp, mode string, mission string, terminus int, event_id bigint, "
+    "ingest_ts timestamp"
+)
+
+
 def _run_reports(spark, folder) -> str:
     """Runs the default mode over all events and returns the folder of the run."""
     run = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     departures = _event_stream(spark, folder)
-    columns = (
-        "station int, train string, timestamp timestamp, mode string, mission string, terminus int, "
-        "event_id bigint, ingest_ts timestamp, copy int"
-    )
+    table = jobs.DepartureTable(spark, f"{run}/departures", STREAM_COLUMNS, order_by=["event_id"])
     publisher = jobs.ReportPublisher(
-        spark, jobs.DepartureTable(spark, f"{run}/departures", columns), run, feed.supplier_stations(spark, folder),
-        settings=SETTINGS, as_of=lambda: AS_OF, order_by=["event_id", "copy"],
+        spark, table, run, feed.supplier_stations(spark, folder), settings=SETTINGS, as_of=lambda: AS_OF, order_by=["event_id"],
     )
-    job = jobs.default_job(spark, departures, publisher, run, SETTINGS, salt_on=("copy",)).start()
+    job = jobs.default_job(spark, departures, publisher, run).start()
     job.await_termination()
     job.stop()
     return run
@@ -718,6 +732,57 @@ def stream_progress(spark, folder):
     return spark.table("trains_progression")
 
 
+def _fed_in_parts(spark, folder, place: str, parts: list[int], of: int = 3) -> None:
+    """Adds parts of the events, dealt by their number, to a folder, a file each."""
+    events = feed.table(spark, folder, "events")
+    for part in parts:
+        events.filter(F.pmod("event_id", F.lit(of)) == part).coalesce(1).write.mode("append").parquet(place)
+
+
+def _part_stream(spark, place: str):
+    """Such a folder as a stream, a file per batch; the times at which records came are those of the events."""
+    raw = spark.readStream.schema(feed.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(place)
+    return feed.as_departures(raw.withColumn("ingest_ts", F.col("ts").cast("timestamp")), "ingest_ts")
+
+
+@query
+def stream_late_rows(spark, folder):
+    """Departures stored by a stream whose later batches hold records older, by days, than those before.
+
+    After two batches the job ends and another goes on, with a third part and with the first one again; then the batch
+    of the third part is run once more. Every departure is stored once.
+    """
+    run = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    _fed_in_parts(spark, folder, f"{run}/feed", [0, 1])
+    for more in ([2, 0], []):
+        table = jobs.DepartureTable(spark, f"{run}/departures", STREAM_COLUMNS)
+        jobs.batch_sink(_part_stream(spark, f"{run}/feed"), table.append, f"{run}/checkpoint").awaitTermination()
+        _fed_in_parts(spark, folder, f"{run}/feed", more)
+    part = feed.table(spark, folder, "events").filter(F.pmod("event_id", F.lit(3)) == 2)
+    table.append(feed.as_departures(part.withColumn("ingest_ts", F.col("ts").cast("timestamp")), "ingest_ts"), 2)
+    return filters.with_epoch(table.read()).drop("ingest_ts", "service_day", "batch")
+
+
+@query
+def stream_catalog(spark, folder):
+    """Trains under way as another session reads them from the catalog, after three batches and a restart."""
+    run, database = f"{shared_folder(spark)}/stream-{uuid4().hex}", f"headway_{uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{run}/database'")
+    _fed_in_parts(spark, folder, f"{run}/feed", [0, 1])
+    for more in ([2], []):
+        publisher = jobs.ReportPublisher(
+            spark, jobs.DepartureTable(spark, f"{run}/departures", STREAM_COLUMNS, order_by=["event_id"]), run,
+            feed.supplier_stations(spark, folder), settings=SETTINGS, as_of=lambda: AS_OF, order_by=["event_id"], database=database,
+        )
+        job = jobs.default_job(spark, _part_stream(spark, f"{run}/feed"), publisher, run).start()
+        job.await_termination()
+        job.stop()
+        _fed_in_parts(spark, folder, f"{run}/feed", more)
+    reader = spark.newSession()
+    reader.conf.set("spark.sql.session.timeZone", "UTC")
+    return reader.table(f"{database}.trains_progression")
+
+
 def _own_trains(spark, folder):
     """The stream with a train per event, so that both copies of a record are repeats and no other rows."""
     return _event_stream(spark, folder).withColumn("train", F.col("event_id").cast("string")).drop("copy")

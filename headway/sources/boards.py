@@ -10,36 +10,39 @@ from headway.functions.clock import board_timestamp
 from headway.model import BOARD
 
 
-def parse_boards(df: DataFrame, xml_col: str = "xml", station_col: str = "station", bad: str = "drop",
+def parse_boards(df: DataFrame, xml_col: str = "xml", station_col: str = "station", bad: str = "fail",
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """One departure per `<train>` of each board.
 
     Boards with one train work like any other, and those without trains give no row. bad: a board that cannot be
-    read gives no row with `drop`, one row of NULLs beside its station with `keep`, and with `quarantine` such a row
-    with its text as `bad_value` (NULL on the others).
+    read ends the query with `fail`, gives no row with `drop`, one row of NULLs beside its station with `keep`, and with
+    `quarantine` such a row with its text as `bad_value` (NULL on the others).
     """
-    if bad not in ("drop", "keep", "quarantine"):
+    if bad not in ("fail", "drop", "keep", "quarantine"):
         raise ValueError(f"unknown bad-record policy {bad!r}")
     whole = T.StructType([*BOARD.fields, T.StructField("_bad", T.StringType())])
+    # As a generator's output, so that the board is read once for all that is taken from it.
     parsed = df.select(
         F.col(station_col).cast("int").alias("station"), *keep, F.col(xml_col).alias("_xml"),
-        F.from_xml(F.col(xml_col), whole, {"columnNameOfCorruptRecord": "_bad"}).alias("_board"),
-    ).withColumn("_broken", F.col("_board").isNull() | F.col("_board._bad").isNotNull())
-    if bad == "drop":
-        trains = parsed.filter(~F.col("_broken")).withColumn("_t", F.explode("_board.train"))
+        F.explode(F.array(F.from_xml(F.col(xml_col), whole, {"columnNameOfCorruptRecord": "_bad"}))).alias("_board"),
+    )
+    broken, trains_type = F.col("_board").isNull() | F.col("_board._bad").isNotNull(), BOARD["train"].dataType
+    trains = F.coalesce("_board.train", F.array().cast(trains_type))
+    if bad == "fail":
+        told = F.raise_error(F.concat(F.lit("unreadable board: "), F.coalesce(F.substring("_xml", 1, 200), F.lit("no text"))))
+        listed = F.explode(F.when(broken, told.cast(trains_type)).otherwise(trains))
+    elif bad == "drop":
+        listed = F.explode(F.when(~broken, trains))
     else:
-        none = F.lit(None).cast(BOARD["train"].dataType)
-        listed = F.when(F.col("_broken"), none).otherwise(F.coalesce("_board.train", F.array().cast(BOARD["train"].dataType)))
-        trains = parsed.withColumn("_trains", listed).filter("_broken OR size(_trains) > 0").withColumn(
-            "_t", F.explode_outer("_trains")
-        )
-    more = [F.when(F.col("_broken"), F.coalesce("_xml", F.lit(""))).alias("bad_value")] if bad == "quarantine" else []
-    return trains.select(
+        nothing = F.array(F.lit(None).cast(trains_type.elementType))
+        listed = F.explode(F.when(broken, nothing).otherwise(trains))
+    more = [F.when(broken, F.coalesce("_xml", F.lit(""))).alias("bad_value")] if bad == "quarantine" else []
+    return parsed.select("station", *keep, *more, listed.alias("_t")).select(
         "station",
         F.col("_t.num").alias("train"),
         board_timestamp(F.col("_t.date._VALUE")).alias("timestamp"),
         F.col("_t.date._mode").alias("mode"),
         F.col("_t.miss").alias("mission"),
         F.col("_t.term").try_cast("int").alias("terminus"),
-        *keep, *more,
+        *keep, *(["bad_value"] if more else []),
     )

@@ -1,10 +1,11 @@
 """Continuous publication of the reports.
 
 Departures are scheduled ahead, so their own times say little about how late a record
-is. By default repeats are therefore removed on ingest time, the unique departures are
-appended to a table, and each report is computed by the batch functions over the part
-of that table its `as_of` needs. `mode="compat"` streams keep a watermark on the departure
-time and state for all windows, with complete output.
+is. By default each batch is therefore compared with the stored departures of the days it is about, what is new is
+appended to that table, and each report is computed by the batch functions over the part
+of it its `as_of` needs: no record comes too late. `unique_departures` removes repeats in a stream's state, for a
+horizon of ingest time. The compat streams keep a watermark on the departure time and state for all windows, with
+complete output.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ import time
 from collections import Counter
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StructType
 
 from headway.functions.clock import instant
 from headway.model import Settings
@@ -106,87 +108,118 @@ def console_sink(df: DataFrame, order_by: str = "awt", trigger_seconds: int = 2,
 
 # --- tables and views ----------------------------------------------------------
 
-HOUR_FORMAT = "yyyy-MM-dd-HH"
+DAY_FORMAT = "yyyy-MM-dd"
+
 
 class DepartureTable:
-    """Unique departures on shared storage, by service hour.
+    """Unique departures on shared storage, by service day and in order of time within a day's files.
+
+    A batch owns the partitions `(service_day, batch)` it writes, so a repeated batch replaces its own rows and nothing
+    else. What is stored is what tells repeats: a batch is compared with the days that its own rows are of, so no state
+    is kept, nothing is too late, and a restart forgets nothing. `compact` puts the batches of past days together,
+    `expire` removes days that no report needs any more.
 
-    A batch owns the partitions `(service_hour, batch)` it writes, so a repeated batch
-    replaces its own rows and nothing else. Reading lists the folders of the hours it needs. `compact` puts the
-    batches of past hours together, `expire` removes hours that no report needs any more.
+    keys: what makes two records repeats; all columns but `ingest_ts` if None. order_by: which of the repeats within
+    one batch is kept. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, columns: str):
+    def __init__(self, spark: SparkSession, path: str, columns: str, keys=None, order_by=("ingest_ts",)):
         self.spark, self.path = spark, path.rstrip("/")
         self.columns = columns
+        names = StructType.fromDDL(columns).names
+        self.keys = list(keys or [c for c in names if c != "ingest_ts"])
+        self.order_by = [c for c in order_by if c in names]
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
-        hour = F.date_format("timestamp", HOUR_FORMAT)
-        self._write(batch.withColumn("service_hour", hour).withColumn("batch", F.lit(batch_id)))
+        """Stores the rows of a batch that neither it nor an earlier one has already.
+
+        Rows of the batch's own number don't count as stored, so a batch that is run again, after a failure before its
+        end was noted, stores the same rows again.
+        """
+        rows = batch.select(*StructType.fromDDL(self.columns).names, F.date_format("timestamp", DAY_FORMAT).alias("service_day"))
+        unique = dedup_departures(rows, self.keys, complete_order(rows, self.order_by)).persist()
+        try:
+            days = [r[0] for r in unique.select("service_day").distinct().collect()]
+            stored = self.read(days).filter(F.col("batch") != batch_id) if days else None
+            new = unique if stored is None else unique.alias("b").join(
+                stored.select(*self.keys).alias("s"), _same("b", "s", self.keys), "left_anti"
+            )
+            self._write(new.withColumn("batch", F.lit(batch_id).cast("long")))
+        finally:
+            unique.unpersist()
 
     def _write(self, rows: DataFrame) -> None:
         (
-            rows.hint("rebalance", "service_hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("service_hour", "batch").parquet(self.path)
+            rows.hint("rebalance", "service_day").sortWithinPartitions("service_day", "batch", "timestamp")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("service_day", "batch").parquet(self.path)
         )
 
-    def read(self, hours: str = "*") -> DataFrame:
-        """Stored rows; `hours` is a path pattern for the service hours to list."""
-        schema = f"{self.columns}, service_hour string, batch bigint"
-        try:
-            reader = self.spark.read.schema(schema).option("basePath", self.path)
-            return reader.parquet(f"{self.path}/service_hour={hours}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+    def read(self, days: list[str | None] | None = None) -> DataFrame:
+        """Stored rows, of some service days (None: of rows without timestamp) or of all; only their folders are listed."""
+        schema = f"{self.columns}, service_day string, batch bigint"
+        names = "*" if days is None else "{" + ",".join(d or "__HIVE_DEFAULT_PARTITION__" for d in days) + "}"
+        places = _list(self.spark, f"{self.path}/service_day={names}")
+        if not places:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*places)
 
     def between(self, start, end) -> DataFrame:
-        """Rows with `timestamp` in `[start, end]`; only the folders of these hours are listed."""
+        """Rows with `timestamp` in `[start, end]`; within the files of these days, statistics skip other times."""
         lo, hi = instant(start), instant(end)
-        hours = F.sequence(F.date_trunc("hour", lo), F.date_trunc("hour", hi), F.expr("interval 1 hour"))
-        listed = self.spark.range(1).select(
-            F.array_join(F.transform(hours, lambda h: F.date_format(h, HOUR_FORMAT)), ",")
-        ).first()[0]
-        return self.read("{" + listed + "}").filter(F.col("timestamp").between(lo, hi))
+        days = F.sequence(F.to_date(lo), F.to_date(hi), F.expr("interval 1 day"))
+        listed = self.spark.range(1).select(F.transform(days, lambda d: F.date_format(d, DAY_FORMAT))).first()[0]
+        return self.read(listed).filter(F.col("timestamp").between(lo, hi))
 
     def _folders(self) -> dict[str, list[int]]:
-        """The batches of each stored hour."""
+        """The batches of each stored day."""
         found: dict[str, list[int]] = {}
-        for folder in _list(self.spark, f"{self.path}/service_hour=*/batch=*"):
-            hour, batch = folder.split("/")[-2:]
-            found.setdefault(hour.partition("=")[2], []).append(int(batch.partition("=")[2]))
+        for folder in _list(self.spark, f"{self.path}/service_day=*/batch=*"):
+            day, batch = folder.split("/")[-2:]
+            found.setdefault(day.partition("=")[2], []).append(int(batch.partition("=")[2]))
         return found
 
-    def compact(self, before, keys=REPEAT_KEYS, order_by=("ingest_ts", "batch")) -> None:
-        """Puts the batches of each hour before `before` into one folder, without repeats.
+    def compact(self, before, least_batches: int = 2) -> None:
+        """Puts the batches of all days before `before` that have some number of them into one folder a day, in one job.
 
-        The new folder is written before the old ones go, so a reader in between sees repeats, which reports
+        The new folders are written before the old ones go, so a reader in between sees repeats, which reports
         remove, but never too little. Run it from one place at a time.
         """
-        last = self._hour(before)
-        for hour, batches in self._folders().items():
-            if hour < last and len(batches) > 1:
-                unique = dedup_departures(self.read(hour), keys, complete_order(self.read(hour), order_by))
-                self._write(unique.withColumn("batch", F.lit(min(0, *batches) - 1)))
-                for batch in batches:
-                    _delete(self.spark, f"{self.path}/service_hour={hour}/batch={batch}")
+        last = self._day(before)
+        many = {day: own for day, own in self._folders().items() if day < last and len(own) >= least_batches}
+        if not many:
+            return
+        rows = self.read(list(many))
+        unique = dedup_departures(rows, self.keys, complete_order(rows, [*self.order_by, "batch"]))
+        self._write(unique.withColumn("batch", F.lit(min(0, *(b for own in many.values() for b in own)) - 1).cast("long")))
+        for day, own in many.items():
+            for batch in own:
+                _delete(self.spark, f"{self.path}/service_day={day}/batch={batch}")
 
     def expire(self, before) -> None:
-        """Removes the hours before `before`."""
-        last = self._hour(before)
-        for hour in self._folders():
-            if hour < last:
-                _delete(self.spark, f"{self.path}/service_hour={hour}")
+        """Removes the days before `before`."""
+        last = self._day(before)
+        for day in self._folders():
+            if day < last:
+                _delete(self.spark, f"{self.path}/service_day={day}")
 
-    def _hour(self, at) -> str:
-        return self.spark.range(1).select(F.date_format(instant(at), HOUR_FORMAT)).first()[0]
+    def _day(self, at) -> str:
+        return self.spark.range(1).select(F.date_format(instant(at), DAY_FORMAT)).first()[0]
 
 
-def _list(spark: SparkSession, pattern: str) -> list[str]:
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    """Equality of two aliased frames in all keys, NULLs being equal."""
+    equal = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+    return reduce(lambda a, b: a & b, equal)
+
+
+def _list(spark: SparkSession, pattern: str, by_age: bool = False) -> list[str]:
+    """Paths that match, by name or the oldest first."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return [status.getPath().toString() for status in found or []]
+    found = list(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or [])
+    if by_age:
+        found.sort(key=lambda status: status.getModificationTime())
+    return [status.getPath().toString() for status in found]
 
 
 def _delete(spark: SparkSession, place: str) -> None:
@@ -198,44 +231,73 @@ class ViewPublisher:
     """`foreachBatch` function that replaces named views with results of the batch.
 
     The batch is written to shared storage once, to a place of its own, and the views are the results over what is
-    read back, so they stay readable after the batch is gone. The last `keep` places stay: readers of former
-    results are not disturbed for so many batches. on_empty: `keep` leaves the old views in place
-    for an empty batch, `replace` publishes the empty result.
+    read back, so they stay readable after the batch is gone. The last `keep` places stay, those of a former run
+    among them: readers of former results are not disturbed for so many batches. on_empty: `keep` leaves the old views
+    in place for an empty batch, `replace` publishes the empty result.
     """
 
     def __init__(self, spark: SparkSession, folder: str, views: dict[str, Callable[[DataFrame], DataFrame]],
                  on_empty: str = "keep", keep: int = 30):
         self.spark, self.folder, self.views, self.on_empty, self.keep = spark, folder.rstrip("/"), views, on_empty, keep
-        self.places: list[str] = []
+        self.places = _list(spark, f"{self.folder}/*-*", by_age=True)
 
     def __call__(self, batch: DataFrame, batch_id: int = 0) -> bool:
         place = f"{self.folder}/{batch_id}-{uuid4().hex}"
         batch.write.parquet(place)
         self.places.append(place)
         table = self.spark.read.schema(batch.schema).parquet(place)
-        if self.on_empty == "keep" and table.isEmpty():
-            return False
-        for name, result in self.views.items():
-            result(table).createOrReplaceTempView(name)
+        published = self.on_empty != "keep" or not table.isEmpty()
+        if published:
+            self.publish(table, place)
         while len(self.places) > self.keep:
             _delete(self.spark, self.places.pop(0))
-        return True
+        return published
+
+    def publish(self, table: DataFrame, place: str) -> None:
+        for name, result in self.views.items():
+            result(table).createOrReplaceTempView(name)
+
+
+class CatalogPublisher(ViewPublisher):
+    """Publishes the results in a database of the catalog, for all sessions that share it.
+
+    Each result is written whole to a place of the batch; then the view of its name is replaced by one on that place.
+    Sessions look a view up whenever they read it, so they find the former result or the new one, never a part of one
+    and never a former one from their caches.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, views: dict[str, Callable[[DataFrame], DataFrame]],
+                 database: str, on_empty: str = "keep", keep: int = 30):
+        super().__init__(spark, folder, views, on_empty, keep)
+        self.database = database
+
+    def publish(self, table: DataFrame, place: str) -> None:
+        for name, result in self.views.items():
+            own = f"{place}/_results/{name}"
+            result(table).write.parquet(own)
+            self.spark.sql(f"CREATE OR REPLACE VIEW `{self.database}`.`{name}` AS SELECT * FROM parquet.`{own}`")
 
 
 class ReportPublisher:
-    """`foreachBatch` function of the default mode: store the batch, then publish both reports.
+    """`foreachBatch` function of the default mode: store what is new in the batch, then publish both reports.
 
-    `as_of` is called for each batch and gives its instant (now if None).
+    `as_of` is called for each batch and gives its instant (now if None). With `database` the results are in
+    that database of the catalog, for other sessions as well, else they are views of this session.
     """
 
     def __init__(self, spark: SparkSession, table: DepartureTable, folder: str, stations: DataFrame,
                  fitted: DataFrame | None = None, settings: Settings = Settings(), as_of: Callable | None = None,
-                 on_empty: str = "keep", keys=("station",), order_by=("ingest_ts", "batch")):
+                 on_empty: str = "keep", keys=("station",), order_by=("ingest_ts", "batch"), database: str | None = None):
         self.spark, self.table, self.stations, self.fitted, self.settings = spark, table, stations, fitted, settings
         self.as_of = as_of or (lambda: datetime.now(timezone.utc))
         self.keys, self.order_by = keys, list(order_by)
-        self.awt = ViewPublisher(spark, f"{folder}/awt", AWT_VIEWS, on_empty)
-        self.progress = ViewPublisher(spark, f"{folder}/progress", {"trains_progression": lambda df: df}, on_empty)
+        trains = {"trains_progression": lambda df: df}
+        if database:
+            self.awt = CatalogPublisher(spark, f"{folder}/awt", AWT_VIEWS, database, on_empty)
+            self.progress = CatalogPublisher(spark, f"{folder}/progress", trains, database, on_empty)
+        else:
+            self.awt = ViewPublisher(spark, f"{folder}/awt", AWT_VIEWS, on_empty)
+            self.progress = ViewPublisher(spark, f"{folder}/progress", trains, on_empty)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self.table.append(batch, batch_id)
@@ -333,16 +395,11 @@ def batch_sink(df: DataFrame, function: Callable[[DataFrame, int], object], chec
 
 
 def default_job(spark: SparkSession, departures: DataFrame, publisher: ReportPublisher, folder: str,
-                settings: Settings = Settings(), trigger_seconds: int | None = None,
-                salt_on: tuple[str, ...] = ("ingest_ts",), on_late: str = "fail") -> StreamJob:
-    """The default mode as one query: one source, one decoding, both reports.
-
-    Polls of one departure come at different ingest times, so these spread its repeats over tasks.
-    """
-    unique = unique_departures(departures, settings.repeat_horizon, salt_on=salt_on)
+                trigger_seconds: int | None = None) -> StreamJob:
+    """The default mode as one query: one source, one decoding, both reports; repeats are told by what is stored."""
     return StreamJob({
-        "reports": lambda: batch_sink(unique, publisher, f"{folder}/checkpoint", "append", trigger_seconds)
-    }, on_late)
+        "reports": lambda: batch_sink(departures, publisher, f"{folder}/checkpoint", "append", trigger_seconds)
+    })
 
 
 def late_metrics(query: StreamingQuery) -> int:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from headway.functions.clock import clock_text, local_text, message_text, message_timestamp
@@ -80,7 +81,7 @@ def test_boards(spark):
     two = "<passages>" + TRAIN.format("28/02/2019 23:59", "007") + TRAIN.format("01/03/2019 00:05", "8") + "</passages>"
     one = "<passages>" + TRAIN.format("28/02/2019 10:00", "9") + "</passages>"
     df = spark.createDataFrame([("1", two), ("2", one), ("3", "<passages><train>"), ("4", "no xml")], "station string, xml string")
-    rows = {(r.station, r.train): r for r in parse_boards(df).collect()}
+    rows = {(r.station, r.train): r for r in parse_boards(df, bad="drop").collect()}
     assert set(rows) == {(1, "007"), (1, "8"), (2, "9")}
     first = rows[1, "007"]
     assert (str(first.timestamp), first.mode, first.mission, first.terminus) == ("2019-02-28 23:59:00", "R", "POPI", 87384008)
@@ -89,6 +90,11 @@ def test_boards(spark):
     marked = parse_boards(df, bad="quarantine").collect()
     assert {r.station: r.bad_value for r in marked if r.bad_value} == {3: "<passages><train>", 4: "no xml"}
     assert len(marked) == 5 and parse_boards(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="unreadable board"):
+        parse_boards(df).collect()
+    for policy in ("fail", "drop", "keep", "quarantine"):
+        plan = parse_boards(df, bad=policy)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_xml") == 1
 
 
 def test_time_texts(spark):

@@ -87,12 +87,41 @@ def test_a_repeated_batch_replaces_itself(spark, make, tmp_path):
     table.append(one, 0)
     table.append(one.filter("station = 1"), 1)
     table.append(one, 0)
-    assert table.read().count() == 3
+    assert table.read().count() == 2 and table._folders() == {"2019-02-27": [0], "2019-02-28": [0]}
+    table.append(make([(3, "2019-02-28 09:00:00")], "station int, timestamp timestamp"), 2)
+    table.append(one, 0)
     assert table.between("2019-02-28 08:00:00", "2019-02-28 10:00:00").count() == 2
     assert table.between("2019-02-26 08:00:00", "2019-02-28 10:00:00").count() == 3
     assert table.between("2019-03-01 08:00:00", "2019-03-02 10:00:00").count() == 0
     read = table.between("2019-02-28 08:00:00", "2019-02-28 10:00:00").inputFiles()
-    assert read and all("service_hour=2019-02-28-09" in name for name in read)
+    assert read and all("service_day=2019-02-28" in name for name in read)
+
+
+def test_late_rows_are_stored_once_also_after_a_restart(spark, feed, tmp_path):
+    """C comes with an ingest time nine hours older than what was seen before it, and again after a restart."""
+    def run():
+        table = jobs.DepartureTable(spark, str(tmp_path / "table"), COLUMNS)
+        late = F.when(F.col("train") == "C", F.col("ingest_ts") - F.expr("interval 9 hours")).otherwise(F.col("ingest_ts"))
+        jobs.batch_sink(feed.stream().withColumn("ingest_ts", late), table.append, str(tmp_path / "c")).awaitTermination()
+        return sorted(r.train for r in table.read().collect())
+
+    feed.add(message(1, "A", "09:00:00"))
+    feed.add(message(1, "B", "09:05:00"), message(1, "B", "09:05:00"))
+    feed.add(message(1, "C", "09:10:00"), message(1, "A", "09:00:00"))
+    assert run() == ["A", "B", "C"]
+    feed.add(message(1, "C", "09:10:00"), message(1, "B", "09:05:00"), message(1, "D", "23:59:00"))
+    assert run() == ["A", "B", "C", "D"]
+
+
+def test_rows_without_a_time_and_rows_of_several_days(spark, make, tmp_path):
+    schema = "station int, train string, timestamp timestamp, ingest_ts timestamp"
+    table = jobs.DepartureTable(spark, str(tmp_path / "table"), schema)
+    rows = [(1, "a", None, None), (1, None, "2019-02-28 09:00:00", None), (1, "a", "2019-03-01 00:00:00", "2019-03-01 00:00:00")]
+    table.append(make(rows * 2, schema), 0)
+    table.append(make([*rows, (2, "a", None, None)], schema), 1)
+    assert table.read().count() == 4 and table.read([None]).count() == 2
+    table.append(make(rows, schema), 0)
+    assert table.read().count() == 4
 
 
 def test_compaction_and_expiry(spark, make, tmp_path):
@@ -100,25 +129,28 @@ def test_compaction_and_expiry(spark, make, tmp_path):
     table = jobs.DepartureTable(spark, str(tmp_path / "table"), schema)
     for batch in range(3):
         table.append(make([
-            (1, "a", "2019-02-28 09:00:00"), (2, f"b{batch}", "2019-02-28 09:30:00"), (3, "c", "2019-02-28 10:00:00"),
+            (1, f"a{batch}", "2019-02-27 09:00:00"), (2, f"b{batch}", "2019-02-28 09:30:00"), (3, f"c{batch}", "2019-03-01 10:00:00"),
         ], schema), batch)
     whole = {tuple(r) for r in table.read().select("station", "train", "timestamp").collect()}
-    table.compact("2019-02-28 10:30:00", order_by=["batch"])
-    assert table._folders() == {"2019-02-28-09": [-1], "2019-02-28-10": [0, 1, 2]}
+    table.compact("2019-03-01 10:30:00")
+    assert table._folders() == {"2019-02-27": [-1], "2019-02-28": [-1], "2019-03-01": [0, 1, 2]}
     assert {tuple(r) for r in table.read().select("station", "train", "timestamp").collect()} == whole
-    assert table.read("2019-02-28-09").count() == 4
-    table.append(make([(1, "a", "2019-02-28 09:00:00")], schema), 3)
-    table.compact("2019-02-28 10:30:00", order_by=["batch"])
-    assert table._folders()["2019-02-28-09"] == [-2] and table.read("2019-02-28-09").count() == 4
-    table.expire("2019-02-28 10:00:00")
-    assert list(table._folders()) == ["2019-02-28-10"]
+    assert table.read(["2019-02-28"]).count() == 3
+    table.append(make([(1, "a0", "2019-02-27 09:00:00"), (1, "a3", "2019-02-27 09:00:00")], schema), 3)
+    table.compact("2019-03-01 10:30:00")
+    assert table._folders()["2019-02-27"] == [-2] and table.read(["2019-02-27"]).count() == 4
+    assert table._folders()["2019-02-28"] == [-1]
+    table.append(make([(1, "a3", "2019-02-27 09:00:00")], schema), 3)
+    assert table.read(["2019-02-27"]).count() == 4
+    table.expire("2019-03-01 10:00:00")
+    assert list(table._folders()) == ["2019-03-01"]
 
 
 def test_reading_before_anything_is_stored(spark, make, tmp_path):
     table = jobs.DepartureTable(spark, str(tmp_path / "table"), "station int, timestamp timestamp")
     assert table.read().isEmpty()
     table.append(make([], "station int, timestamp timestamp"), 0)
-    assert table.read().columns == ["station", "timestamp", "service_hour", "batch"] and table.read().isEmpty()
+    assert table.read().columns == ["station", "timestamp", "service_day", "batch"] and table.read().isEmpty()
 
 
 def late_batches(feed):
@@ -209,6 +241,22 @@ def test_a_reader_holds_a_view_over_many_batches(spark, make, tmp_path):
     assert held.first().awt == 1.0 and spark.table(name).first().awt == 9.0
     publisher(make([(1, 5.0)], schema), 5)
     assert len([p for p in (tmp_path / "v").iterdir() if p.is_dir()]) == 5  # four of the first and one of the second
+    jobs.ViewPublisher(spark, str(tmp_path / "v"), {name: lambda b: b}, keep=2)(make([(1, 6.0)], schema), 6)
+    assert len([p for p in (tmp_path / "v").iterdir() if p.is_dir()]) == 2  # a new run finds the places of former ones
+
+
+def test_another_session_reads_what_is_published(spark, make, tmp_path):
+    database, schema = f"d{uuid4().hex}", "station int, awt double"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{tmp_path}/database'")
+    reader = spark.newSession()
+    views = {"all_awt": lambda b: b, "best": lambda b: b.orderBy("awt").limit(1)}
+    for batch in range(5):  # each as after a restart
+        publisher = jobs.CatalogPublisher(spark, str(tmp_path / "t"), views, database, keep=2)
+        assert publisher(make([(1, 1.0 + batch), (2, 5.0)], schema), batch)
+        assert reader.table(f"{database}.best").first().awt == min(1.0 + batch, 5.0)
+        assert reader.sql(f"select count(*) from {database}.all_awt").first()[0] == 2
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 2
+    assert not publisher(make([], schema), 5) and reader.table(f"{database}.all_awt").count() == 2
 
 
 def test_the_error_of_a_second_query_comes_at_once(spark, feed, tmp_path):
