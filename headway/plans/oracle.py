@@ -488,4 +488,7 @@ WHERE window_end <= (SELECT max(departure) - 60 FROM dep) GROUP BY window_end"""
     "stream_stops": "WITH " + DEP + f"""
 SELECT CAST(event_id AS VARCHAR) AS train, station, departure, mode, mission, terminus FROM dep
 WHERE mode = 'R' AND departure BETWEEN {AS_OF} - 86400 AND {AS_OF} + 86400""",
+    "stream_panes": "WITH " + DEP + "," + EVERY_WINDOW + """
+SELECT * FROM win WHERE window_end <= (SELECT max(departure) - 60 FROM dep)""",
 }
+ORACLE["stream_legs"] = ORACLE["next_stop_events"]

@@ -27,7 +27,7 @@ from headway.sources.tables import (
     read_keyed_json, read_keyed_paths, read_locale_csv, read_open_data, read_station_order, read_stations,
     read_track_points, write_reference,
 )
-from headway.streaming import jobs
+from headway.streaming import jobs, state
 
 AS_OF = "2024-01-15 12:00:00"
 AS_OF_COMPAT = "2024-01-15 12:01:30"
@@ -818,3 +818,32 @@ def stream_stops(spark, folder):
     jobs.batch_sink(stops, publisher, f"{run}/checkpoint", "complete").awaitTermination()
     publisher(spark.table("stops_around").limit(0), 1)
     return spark.table("stops_around")
+
+
+@query
+def stream_panes(spark, folder):
+    """Every window per station that the watermark has closed, from a stream of panes."""
+    state.with_rocksdb(spark)
+    run = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    unique = _own_trains(spark, folder).withWatermark("timestamp", "1 minutes").dropDuplicates(["train", "timestamp"])
+    windows = awt.with_awt(state.windows_by_panes(unique, watermark=None))
+    jobs.batch_sink(windows, lambda batch, n: batch.write.parquet(f"{run}/windows/{n}"), f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/windows/*")
+
+
+@query
+def stream_legs(spark, folder):
+    """Legs of all trains from stops that come in four batches in any order, each changing what it must."""
+    state.with_rocksdb(spark)
+    run = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    stops = filters.with_epoch(_unique(spark, folder)).select("train", "station", "departure", "event_id").persist()
+    for part in range(4):
+        of = F.pmod(F.xxhash64("event_id"), F.lit(4)) == part
+        stops.filter(of).drop("event_id").coalesce(1).write.mode("append").parquet(f"{run}/feed")
+    stops.unpersist()
+    come = spark.readStream.schema("train string, station int, departure bigint").option("maxFilesPerTrigger", 1).parquet(f"{run}/feed")
+    updates = state.leg_updates(come, EVENT_SPAN_S, keep_s=400 * 86400, watermark="400 days")
+    jobs.batch_sink(
+        updates, lambda batch, n: batch.write.parquet(f"{run}/legs/{n}"), f"{run}/checkpoint", "update"
+    ).awaitTermination()
+    return state.current_legs(spark.read.parquet(f"{run}/legs/*"))

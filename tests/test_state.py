@@ -1,0 +1,133 @@
+"""Stateful steps: windows from panes, and legs that follow late stops."""
+
+import json
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from headway.operators.awt import trains_per_window
+from headway.streaming import jobs, state
+
+BASE = 1551340800
+
+
+class Rows:
+    """A folder of row files that a stream reads one file per batch."""
+
+    def __init__(self, spark, folder, schema):
+        state.with_rocksdb(spark)
+        self.spark, self.folder, self.schema, self.n = spark, folder, schema, 0
+        folder.mkdir()
+
+    def add(self, rows):
+        part = self.folder / f"{self.n:04d}.json"
+        names = [c.split()[0] for c in self.schema.split(",")]
+        part.write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows) + "\n")
+        os.utime(part, (BASE + self.n, BASE + self.n))
+        self.n += 1
+
+    def stream(self):
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).json(str(self.folder))
+
+
+def run(df, folder, mode):
+    seen = []
+    query = jobs.batch_sink(df, lambda b, n: seen.extend((n, *r) for r in b.collect()), str(folder), mode)
+    query.awaitTermination()
+    return seen, query
+
+
+@pytest.fixture
+def departures(spark, tmp_path):
+    return Rows(spark, tmp_path / "feed", "station int, train string, at bigint")
+
+
+def closed_windows(spark, rows, window, slide, watermark_s=60):
+    df = spark.createDataFrame(rows, "station int, train string, at bigint").withColumn("timestamp", F.timestamp_seconds("at"))
+    whole = trains_per_window(df, window_minutes=window, slide_minutes=slide)
+    end = max(r[2] for r in rows) - watermark_s
+    return {(r.station, r.window.start.timestamp()): r.nt for r in whole.collect() if r.window.end.timestamp() <= end}
+
+
+@pytest.mark.parametrize(("window", "slide"), [(60, 2), (10, 4), (2, 2)])
+def test_windows_over_many_batches(spark, departures, tmp_path, window, slide):
+    """Gaps of hours, stations that come and go, and batches that close some windows each; every window comes once."""
+    rnd, rows = random.Random(window), []
+    at = BASE
+    for batch in range(6):
+        own = [(rnd.randint(1, 4), f"t{batch}-{i}", at + rnd.randint(0, 1500)) for i in range(25)]
+        own += [(5, f"u{batch}", at)] if batch % 3 == 0 else []
+        departures.add(own)
+        rows += own
+        at += rnd.choice([1600, 1600, 20_000])
+    stream = departures.stream().withColumn("timestamp", F.timestamp_seconds("at"))
+    windows = state.windows_by_panes(stream, window_minutes=window, slide_minutes=slide)
+    seen, query = run(windows, tmp_path / "c", "append")
+    got = {(s, a): n for _, s, a, _, n in seen}
+    assert len(got) == len(seen)
+    late = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    assert late == 0 and got == closed_windows(spark, rows, window, slide)
+
+
+def test_the_state_of_a_station_is_one_row(spark, departures, tmp_path):
+    for batch in range(4):
+        departures.add([(s, f"{batch}-{i}", BASE + 3600 * batch + 60 * i) for s in range(3) for i in range(60)])
+    stream = departures.stream().withColumn("timestamp", F.timestamp_seconds("at"))
+    _, query = run(state.windows_by_panes(stream), tmp_path / "c", "append")
+    rows = [
+        o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"] if "transformWithState" in o["operatorName"]
+    ]
+    assert rows and max(rows) <= 3 * 4  # per station its ring, and its timer in both orders
+
+
+@pytest.fixture
+def stops(spark, tmp_path):
+    return Rows(spark, tmp_path / "stops", "train string, station int, departure bigint")
+
+
+def legs_of(rows):
+    want = {}
+    for train in {r[0] for r in rows}:
+        own = sorted((d, s) for t, s, d in set(rows) if t == train)
+        for (d, s), after in zip(own, [*own[1:], (None, None)], strict=True):
+            want[train, s, d] = (after[0], after[1], after[0] and after[0] - d)
+    return want
+
+
+@pytest.mark.parametrize("span_s", [600, 7200, 10**7])
+def test_legs_after_any_order_of_arrival(spark, stops, tmp_path, span_s):
+    rnd = random.Random(span_s)
+    rows = [(f"t{rnd.randrange(5)}", rnd.randrange(50), BASE + 60 * rnd.randrange(2000)) for _ in range(200)]
+    rows = list(dict.fromkeys(rows))
+    for batch in range(5):
+        stops.add(rows[batch::5] + rows[batch : batch + 3])
+    updates = state.leg_updates(stops.stream(), span_s, keep_s=10**7, watermark="100 days")
+    jobs.batch_sink(updates, lambda b, n: b.write.parquet(f"{tmp_path}/legs/{n}"), str(tmp_path / "c"), "update").awaitTermination()
+    legs = state.current_legs(spark.read.parquet(f"{tmp_path}/legs/*")).collect()
+    assert {(r.train, r.station, r.departure): (r.next_departure, r.next_station, r.time_to_st) for r in legs} == legs_of(rows)
+
+
+def test_only_changed_legs_come_out(spark, stops, tmp_path):
+    stops.add([("a", s, BASE + 600 * s) for s in range(0, 20, 2)])
+    stops.add([("a", 7, BASE + 4200)])
+    stops.add([("a", 7, BASE + 4200), ("a", 8, BASE + 4800)])
+    updates = state.leg_updates(stops.stream(), 3600, keep_s=10**7, watermark="100 days")
+    seen, _ = run(updates, tmp_path / "c", "update")
+    by_batch = {}
+    for n, _, station, departure, following, *_ in seen:
+        by_batch.setdefault(n, set()).add((station, following and (following - BASE) // 600))
+    assert by_batch[1] == {(6, 7), (7, 8)} and 2 not in by_batch and len(by_batch[0]) == 10
+
+
+def test_old_spans_are_dropped_but_for_the_last(spark, stops, tmp_path):
+    stops.add([("a", s, BASE + 600 * s) for s in range(30)])
+    stops.add([("b", 1, BASE + 10**6)])
+    stops.add([("b", 2, BASE + 10**6 + 60)])
+    stops.add([("a", 99, BASE + 10**6 + 120)])
+    updates = state.leg_updates(stops.stream(), 3600, keep_s=3600, watermark="1 hours")
+    seen, query = run(updates, tmp_path / "c", "update")
+    assert (29, 99) in {(r[2], r[5]) for r in seen}  # the last stop of long ago gets its next one
+    rows = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert rows[-1] < rows[0]
