@@ -492,3 +492,31 @@ WHERE mode = 'R' AND departure BETWEEN {AS_OF} - 86400 AND {AS_OF} + 86400""",
 SELECT * FROM win WHERE window_end <= (SELECT max(departure) - 60 FROM dep)""",
 }
 ORACLE["stream_legs"] = ORACLE["next_stop_events"]
+ORACLE["accurate_position_sql"] = ORACLE["cubic_position"]
+ORACLE["next_stop_history"] = ORACLE["next_stop_lineitem"]
+ORACLE["decode_variant_fields"] = "WITH " + DEP + """
+SELECT event_id, CASE WHEN mission <> 'error' THEN station END AS station, train, departure, terminus,
+       CASE WHEN mission = 'error' THEN 'station' ELSE '' END AS drifted,
+       CASE mission WHEN 'view' THEN 'delay' WHEN 'purchase' THEN 'platform' ELSE '' END AS more_names,
+       CASE mission WHEN 'view' THEN '5' WHEN 'purchase' THEN '{"name":"A","zone":[1,2]}' ELSE '' END AS more_values
+FROM dep"""
+ORACLE["locale_csv_commas"] = "WITH " + STATIONS + """,
+texts AS (
+  SELECT *, CASE WHEN station % 3 = 1 THEN floor(latitude)::INT::VARCHAR ELSE printf('%.3f', latitude) END AS lat,
+         CASE WHEN station % 5 = 2 THEN floor(longitude)::INT::VARCHAR ELSE printf('%.3f', longitude) END AS lon
+  FROM stations
+),
+fields AS (SELECT *, string_split(replace(lat || ',' || lon, '.', ','), ',') AS f FROM texts),
+ways AS (
+  SELECT *, len(f) AS n, f[1]::DOUBLE AS lat1, (f[1] || '.' || f[2])::DOUBLE AS lat2,
+         CASE WHEN len(f) = 3 THEN (f[2] || '.' || f[3])::DOUBLE END AS lon2, f[len(f)]::DOUBLE AS lon1
+  FROM fields
+),
+judged AS (
+  SELECT *, n <> 3 OR (lat1 BETWEEN 48 AND 60 AND lon2 BETWEEN 2 AND 47)::INT + (lat2 BETWEEN 48 AND 60 AND lon1 BETWEEN 2 AND 47)::INT = 1 AS good
+  FROM ways
+)
+SELECT CASE WHEN good THEN station END AS station, CASE WHEN good THEN label END AS label,
+       CASE WHEN good THEN lat::DOUBLE END AS latitude, CASE WHEN good THEN lon::DOUBLE END AS longitude,
+       CASE WHEN NOT good THEN station || ',' || label || ',' || replace(lat || ',' || lon, '.', ',') END AS bad_value
+FROM judged"""

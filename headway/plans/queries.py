@@ -18,10 +18,12 @@ from headway.model import KEYED_STATION, STATION, TRACK_POINT, Settings, shared_
 from headway.operators import awt, dims, filters, lines, maps, positions, progress, topology
 from headway.operators.dedup import dedup_departures, distinct_stops
 from headway.plans import table_feed as feed
+from headway.plans.sql import register_functions
 from headway.plans.reports import awt_range, last_hour_awt, progress_range, train_progress, train_stops
 from headway.sources.boards import parse_boards
+from headway.sources.history import read_history, write_history
 from headway.sources.messages import (
-    decode_departures, departures_stream, encode_departures, with_volume_metric, write_departures,
+    decode_departures, decode_variant, departures_stream, encode_departures, with_volume_metric, write_departures,
 )
 from headway.sources.tables import (
     read_keyed_json, read_keyed_paths, read_locale_csv, read_open_data, read_station_order, read_stations,
@@ -91,6 +93,26 @@ def decode_quarantine(spark, folder):
     return got.select("event_id", F.when(F.col("bad_value").isNull(), F.col("train")).alias("train"), "bad_value")
 
 
+@query
+def decode_variant_fields(spark, folder):
+    """Messages as their senders change them: clicks quote the station, errors have a word in its place, views have a
+    new field, and purchases a nested one."""
+    sent = encode_departures(feed.event_departures(spark, folder), keep=("event_id", "mission"))
+    kind, text = F.col("mission"), F.col("value")
+    changed = (
+        F.when(kind == "click", F.regexp_replace(text, '"station":([0-9]+)', '"station":"$1"'))
+        .when(kind == "error", F.regexp_replace(text, '"station":[0-9]+', '"station":"abc"'))
+        .when(kind == "view", F.regexp_replace(text, "[}]$", ',"delay":5}'))
+        .when(kind == "purchase", F.regexp_replace(text, "[}]$", ',"platform":{"name":"A","zone":[1,2]}}'))
+        .otherwise(text)
+    )
+    got = filters.with_epoch(decode_variant(sent.withColumn("value", changed), keep=("event_id",)))
+    return got.select(
+        "event_id", "station", "train", "departure", "terminus", F.array_join("drifted", ",").alias("drifted"),
+        F.array_join(F.map_keys("more"), ",").alias("more_names"), F.array_join(F.map_values("more"), ",").alias("more_values"),
+    )
+
+
 @query
 def boards_quarantine(spark, folder):
     """Boards of error events are cut off in the middle."""
@@ -241,6 +263,18 @@ def around_now(spark, folder):
     return train_stops(_near(spark, folder), AS_OF, SETTINGS, order_by=["event_id"])
 
 
+@query
+def next_stop_history(spark, folder):
+    """Legs from a history kept by train: planned without an exchange."""
+    table = f"history_{uuid4().hex}"
+    stops = filters.with_epoch(feed.line_departures(spark, folder))
+    write_history(stops, table, 8, f"{shared_folder(spark)}/{table}")
+    unique = dedup_departures(
+        read_history(spark, table), ("train", "departure"), ["l_linenumber", "station", "mission", "terminus"]
+    )
+    return progress.next_stop(unique).drop("l_linenumber", "mode", "mission", "terminus")
+
+
 @query
 def legs_in_progress(spark, folder):
     stops = train_stops(_near(spark, folder), AS_OF, SETTINGS, order_by=["event_id"])
@@ -303,6 +337,18 @@ def cubic_position(spark, folder):
     )
 
 
+@query
+def accurate_position_sql(spark, folder):
+    """The same by a function of SQL over the fitted paths."""
+    register_functions(spark, _fitted_cubic(spark, folder))
+    _published(spark, folder).createOrReplaceTempView("published_trains")
+    return spark.sql("""
+        SELECT train, from_st, to_st, progress, floor(coalesce(at.lat, train_lt) * 1000000D + 0.5D) AS lat,
+               floor(coalesce(at.lon, train_lg) * 1000000D + 0.5D) AS lon
+        FROM (SELECT *, position_of(from_st, to_st, progress) AS at FROM published_trains)
+    """)
+
+
 @query
 def cubic_track(spark, folder):
     """The same every minute while the train is under way."""
@@ -618,6 +664,27 @@ def locale_csv(spark, folder):
     return read_locale_csv(spark, path, STATION, ";", ("latitude", "longitude"))
 
 
+@query
+def locale_csv_commas(spark, folder):
+    """Stations with unquoted decimal commas in a file separated by commas; some coordinates are whole numbers.
+
+    Rows that fit in two ways even so come out with their text.
+    """
+    path = f"{shared_folder(spark)}/commas-{uuid4().hex}"
+
+    def comma(col, whole):
+        text = F.replace(F.format_string("%.3f", col), F.lit("."), F.lit(","))
+        return F.when(whole, F.floor(col).cast("string")).otherwise(text)
+
+    key = F.col("station")
+    rows = feed.supplier_stations(spark, folder).select(F.concat_ws(
+        ",", key.cast("string"), F.col("label"), comma("latitude", key % 3 == 1), comma("longitude", key % 5 == 2)
+    ).alias("line"))
+    rows.write.option("header", True).option("sep", "\u0002").option("quote", "").csv(path)
+    ranges = {"latitude": (48.0, 60.0), "longitude": (2.0, 47.0)}
+    return read_locale_csv(spark, path, STATION, ",", ("latitude", "longitude"), ranges, bad="quarantine")
+
+
 @query
 def csv_stations(spark, folder):
     """Suppliers written as CSV with header and read back in order."""

@@ -54,8 +54,11 @@ def decode_departures(
     `bad_value` (NULL on good rows; empty for a message that is NULL), so that one pass can be split in two.
     """
     text = F.col(value).cast("string")
-    whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    parsed = F.from_json(text, whole, {"columnNameOfCorruptRecord": "_bad"})
+    if bad == "null":
+        parsed = F.from_json(text, schema)
+    else:
+        whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+        parsed = F.from_json(text, whole, {"columnNameOfCorruptRecord": "_bad"})
     flat = df.select(text.alias("_text"), parsed.alias("_d"), *keep)
     fields = [
         (message_timestamp(F.col("_d.timestamp"), formats) if f.name == "timestamp" else F.col(f"_d.{f.name}"))
@@ -75,6 +78,32 @@ def decode_departures(
     raise ValueError(f"unknown bad-record policy {bad!r}")
 
 
+def decode_variant(
+    df: DataFrame, schema: T.StructType = DEPARTURE_MESSAGE, formats=TIMESTAMP_FORMATS, value: str = "value",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """JSON messages whose fields change over time, to departures and what doesn't fit them.
+
+    Each field is read by itself, so a field of another type costs that field and not the record: it is NULL, and its
+    name is in the array `drifted`, unless its value can be cast, as a number in quotes can. `more` maps fields that
+    the schema doesn't have, nested ones among them, to their JSON. A message that isn't JSON, or no object, is NULL in
+    all columns.
+    """
+    text = F.col(value).cast("string")
+    parsed = df.select(
+        text.alias("_text"), F.try_parse_json(text).alias("_v"), F.from_json(text, "map<string,string>").alias("_all"), *keep
+    )
+    known = [f.name for f in schema]
+    fields, lost = [], []
+    for f in schema:
+        kept = F.try_variant_get("_v", f"$.{f.name}", f.dataType.simpleString())
+        kept = message_timestamp(kept, formats) if f.name == "timestamp" else kept
+        fields.append(kept.alias(f.name))
+        lost.append(F.when(F.get_json_object("_text", f"$.{f.name}").isNotNull() & kept.isNull(), F.lit(f.name)))
+    more = F.map_filter("_all", lambda name, _: ~name.isin(*known))
+    return parsed.select(*fields, F.array_compact(F.array(*lost)).alias("drifted"), more.alias("more"), *keep)
+
+
 def split_quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good departures, and the texts of the bad messages."""
     bad = F.col("bad_value").isNotNull()

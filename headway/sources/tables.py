@@ -92,30 +92,96 @@ def write_reference(df: DataFrame, path: str, fmt: str = "parquet", key: str | N
 
 
 def read_locale_csv(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = ";", decimal_comma: tuple[str, ...] = ()
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ";", decimal_comma: tuple[str, ...] = (),
+    ranges: dict[str, tuple[float, float]] | None = None, bad: str = "fail",
 ) -> DataFrame:
     """CSV with padded fields, byte-order marks, carriage returns and decimal commas.
 
-    The `decimal_comma` columns have a comma as decimal sign. If the field separator is a
-    comma too and values are not quoted, each of them takes two fields of the row.
+    The `decimal_comma` columns have a comma as decimal sign. If the field separator is a comma too and values are not
+    quoted, each of them takes one field of the row, if it is a whole number, or two. `aligned` finds which;
+    `ranges` are the values that a column can have. bad: a row whose fields don't fit the schema in just one way ends the
+    query with an error (`fail`), gives NULLs (`null`), or NULLs and its text as `bad_value`, NULL on good rows
+    (`quarantine`).
     """
-    split = sep == ","
-    raw_fields: list[str] = []
-    for f in schema:
-        halves = split and f.name in decimal_comma
-        raw_fields += [f"{f.name}__whole", f"{f.name}__part"] if halves else [f.name]
-    raw_schema = T.StructType([T.StructField(name, T.StringType()) for name in raw_fields])
+    if bad not in ("fail", "null", "quarantine"):
+        raise ValueError(f"unknown bad-record policy {bad!r}")
+    split = [f.name for f in schema if f.name in decimal_comma] if sep == "," else []
+    names = [f"_f{i}" for i in range(len(schema) + len(split) + bool(split))]  # one more, to see rows that are too long
+    raw_schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    options = {"nullValue": "\u0001", "emptyValue": ""} if split else {}  # so that only fields that aren't there are NULL
     raw = spark.read.schema(raw_schema).csv(
-        path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+        path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True, **options
     )
+    if split:
+        fields = F.filter(F.array(*[F.trim(name) for name in names]), lambda x: x.isNotNull())
+        return aligned(raw.select(fields.alias("fields")), schema, split, ranges or {}, bad)
 
-    def field(f: T.StructField):
-        if split and f.name in decimal_comma:
-            text = F.concat_ws(".", F.trim(f"{f.name}__whole"), F.trim(f"{f.name}__part"))
-        elif f.name in decimal_comma:
-            text = F.replace(F.trim(f.name), F.lit(","), F.lit("."))
-        else:
-            text = F.trim(f.name)
+    def field(f: T.StructField, name: str):
+        text = F.replace(F.trim(name), F.lit(","), F.lit(".")) if f.name in decimal_comma else F.trim(name)
         return text.try_cast(f.dataType).alias(f.name)
 
-    return raw.select(*[field(f) for f in schema])
+    return raw.select(*[field(f, name) for f, name in zip(schema, names, strict=True)])
+
+
+def aligned(rows: DataFrame, schema: T.StructType, decimals: list[str], ranges: dict[str, tuple[float, float]], bad: str) -> DataFrame:
+    """Rows of an array `fields` of texts as the columns of a schema, `decimals` of which take one field or two.
+
+    From the last column to the first, for each number of fields that the columns before may have taken besides
+    their own, the ways are counted in which the rest of the fields fits the rest of the columns. Just one way in
+    all gives the values; each column is a projection of its own, so the work is their number times the decimals'.
+    """
+    n, most = len(schema), len(decimals)
+
+    def at(i: int, more):
+        return F.get("fields", F.lit(i) + more)
+
+    def value(i: int, more, whole: bool):
+        """What a column is, if it starts `more` fields late; NULL if that is none of its type and range."""
+        f = schema[i]
+        if f.name not in decimals:
+            return at(i, more).try_cast(f.dataType)
+        number = F.regexp_extract(at(i, more), r"^[+-]?\d+$", 0)
+        text = number if whole else F.concat(number, F.lit("."), F.regexp_extract(at(i + 1, more), r"^\d+$", 0))
+        fits = number != "" if whole else (number != "") & F.rlike(at(i + 1, more), F.lit(r"^\d+$"))
+        found = F.when(fits, text.try_cast(f.dataType))
+        low, high = ranges.get(f.name, (None, None))
+        return found if low is None else F.when(found.between(low, high), found)
+
+    def fits(i: int, more, whole: bool = True):
+        f, there = schema[i], at(i, more).isNotNull()
+        if f.name in decimals:
+            return value(i, more, whole).isNotNull()
+        return there & ((at(i, more) == "") | value(i, more, whole).isNotNull())
+
+    ways = rows.withColumn(f"_w{n}", F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: (F.size("fields") == n + e).cast("int")))
+
+    def counted(i: int):
+        after = f"_w{i + 1}"
+
+        def count(e):
+            one = F.when(fits(i, e), F.get(after, e)).otherwise(0)
+            if schema[i].name not in decimals:
+                return one
+            return one + F.when((e < most) & fits(i, e, False), F.coalesce(F.get(after, e + 1), F.lit(0))).otherwise(0)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(most)), count)
+
+    for i in reversed(range(n)):
+        ways = ways.withColumn(f"_w{i}", counted(i))
+    placed = ways.withColumn("_e0", F.lit(0)).withColumn("_one", F.get("_w0", F.lit(0)) == 1)
+    for i in range(n):
+        more = F.col(f"_e{i}")
+        two = F.lit(False)
+        if schema[i].name in decimals:
+            two = fits(i, more, False) & (F.coalesce(F.get(f"_w{i + 1}", more + 1), F.lit(0)) > 0)
+            placed = placed.withColumn(f"_two{i}", two)
+            two = F.col(f"_two{i}")
+        found = F.when(two, value(i, more, False)).otherwise(value(i, more, True)) if schema[i].name in decimals else value(i, more, True)
+        placed = placed.withColumn(f"_v{i}", F.when(F.col("_one"), found)).withColumn(f"_e{i + 1}", more + two.cast("int"))
+    text = F.array_join("fields", ",")
+    values = [F.col(f"_v{i}").alias(f.name) for i, f in enumerate(schema)]
+    if bad == "fail":
+        told = F.raise_error(F.concat(F.lit("fields that don't fit in just one way: "), text))
+        values[0] = F.when(F.col("_one"), F.col("_v0")).otherwise(told.cast(schema[0].dataType)).alias(schema[0].name)
+    more = [F.when(~F.col("_one"), text).alias("bad_value")] if bad == "quarantine" else []
+    return placed.select(*values, *more)

@@ -9,7 +9,7 @@ from headway.functions.clock import clock_text, local_text, message_text, messag
 from headway.model import DEPARTURE
 from headway.sources.boards import parse_boards
 from headway.sources.messages import (
-    decode_departures, encode_departures, kafka_options, split_quarantine, with_volume_metric, write_departures,
+    decode_departures, decode_variant, encode_departures, kafka_options, split_quarantine, with_volume_metric, write_departures,
 )
 
 GOOD = {"station": 87384008, "train": "007", "timestamp": "2019-02-28T08:06:00.000Z", "mode": "R",
@@ -104,3 +104,18 @@ def test_time_texts(spark):
         F.unix_seconds(message_timestamp(message_text(F.timestamp_seconds(at)))) == at,
     ).first()
     assert tuple(row) == ("08:06:09", "2019-02-28 08:06:09", "2019-02-28T08:06:09.000Z", True)
+
+
+def test_fields_that_change(spark):
+    rows = [
+        '{"station":1,"train":"a","timestamp":"2019-02-28T09:00:00.000Z","mode":"R","mission":"M","terminus":5}',
+        '{"station":"2","train":7,"timestamp":"yesterday","mode":null,"terminus":{"a":1},"delay":[1,2],"x":{"y":"z"}}',
+        '[1,2]', 'no json', None,
+    ]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "n int, value string")
+    got = {r.n: r for r in decode_variant(df, keep=("n",)).collect()}
+    assert (got[0].station, str(got[0].timestamp), got[0].terminus, got[0].drifted, got[0].more) == (1, "2019-02-28 09:00:00", 5, [], {})
+    second = got[1]
+    assert (second.station, second.train, second.timestamp, second.mode, second.terminus) == (2, "7", None, None, None)
+    assert sorted(second.drifted) == ["terminus", "timestamp"] and second.more == {"delay": "[1,2]", "x": '{"y":"z"}'}
+    assert all(got[n].station is None and got[n].train is None and got[n].drifted == [] for n in (2, 3, 4))

@@ -44,6 +44,31 @@ def test_locale_csv(spark, tmp_path):
     assert (row.path, row.longitude, row.latitude) == ("00", 2.021280024, 49.05091897)
 
 
+def test_decimal_commas_of_whole_numbers(spark, tmp_path):
+    """Rows of thirteen, twelve and eleven fields; those that fit in two ways are told apart by ranges, or kept as text."""
+    head = f"{MARK}Depart,Arrivée,P,a,b,c,d,e,f,g,h\n"
+    begin = '1,2,"00",11,0,326000,"L, x",V1,308586'
+    path = tmp_path / "commas.csv"
+    rows = ["2,021280024,49,05091897", "2,49,05091897", "2,5,49", "2,49", "2,021,x", "2,1,49,5,6", "1,49,48", ",49"]
+    path.write_text(head + "".join(f"{begin},{row}\n" for row in rows))
+    ranges = {"longitude": (-5.0, 10.0), "latitude": (41.0, 52.0)}
+
+    def read(**options):
+        found = tables.read_locale_csv(spark, str(path), TRACK_POINT, ",", ("longitude", "latitude"), **options)
+        return [(r.path, r.libelle_ligne, r.longitude, r.latitude, r.bad_value and r.bad_value.split("308586,")[1]) for r in found.collect()]
+
+    good = [("00", "L, x", 2.021280024, 49.05091897, None), ("00", "L, x", 2.0, 49.05091897, None), ("00", "L, x", 2.5, 49.0, None),
+            ("00", "L, x", 2.0, 49.0, None)]
+    bad = [(None, None, None, None, text) for text in ("2,021,x", "2,1,49,5,6"[:10])]
+    got = read(ranges=ranges, bad="quarantine")
+    assert got[:4] == good and got[4] == bad[0] and got[5][:4] == (None,) * 4 and got[6] == ("00", "L, x", 1.49, 48.0, None)
+    assert got[7][4] == ",49"
+    without = read(bad="quarantine")
+    assert without[0] == good[0] and without[1] == (None, None, None, None, "2,49,05091897") and without[3] == good[3]
+    with pytest.raises(Exception, match="fit in just one way"):
+        tables.read_locale_csv(spark, str(path), TRACK_POINT, ",", ("longitude", "latitude")).collect()
+
+
 def test_keyed_json(spark, tmp_path):
     whole = tmp_path / "stations.json"
     whole.write_text(json.dumps({"1": {"label": "A", "latitude": 1.0, "longitude": 2.0}, "2": {"label": "B"}}, indent=1))
