@@ -106,21 +106,22 @@ def read_locale_csv(
     if bad not in ("fail", "null", "quarantine"):
         raise ValueError(f"unknown bad-record policy {bad!r}")
     split = [f.name for f in schema if f.name in decimal_comma] if sep == "," else []
-    names = [f"_f{i}" for i in range(len(schema) + len(split) + bool(split))]  # one more, to see rows that are too long
-    raw_schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    options = {"nullValue": "\u0001", "emptyValue": ""} if split else {}  # so that only fields that aren't there are NULL
+    if split:
+        # Whole lines, without the header; cut at commas that an even number of quotes follows.
+        lines = spark.read.schema("line string").csv(path, header=True, sep="\u0001", quote="", enforceSchema=True)
+        cut = F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+        fields = F.transform(cut, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$|\r', "")))
+        return aligned(lines.select(fields.alias("fields")), schema, split, ranges or {}, bad)
+    raw_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     raw = spark.read.schema(raw_schema).csv(
-        path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True, **options
+        path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True
     )
-    if split:
-        fields = F.filter(F.array(*[F.trim(name) for name in names]), lambda x: x.isNotNull())
-        return aligned(raw.select(fields.alias("fields")), schema, split, ranges or {}, bad)
 
-    def field(f: T.StructField, name: str):
-        text = F.replace(F.trim(name), F.lit(","), F.lit(".")) if f.name in decimal_comma else F.trim(name)
+    def field(f: T.StructField):
+        text = F.replace(F.trim(f.name), F.lit(","), F.lit(".")) if f.name in decimal_comma else F.trim(f.name)
         return text.try_cast(f.dataType).alias(f.name)
 
-    return raw.select(*[field(f, name) for f, name in zip(schema, names, strict=True)])
+    return raw.select(*[field(f) for f in schema])
 
 
 def aligned(rows: DataFrame, schema: T.StructType, decimals: list[str], ranges: dict[str, tuple[float, float]], bad: str) -> DataFrame:
