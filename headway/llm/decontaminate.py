@@ -26,6 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BYTE_RADIUS = 23, 2
 #: Items that one pass over the documents looks for; more items take more passes.
 ITEMS_PER_PASS = 20_000
+#: Pairs of a window and an item in memory at once.
+PAIRS = 1 << 21
 _FILTER_BITS = 20
 # Which byte values are close to which.
 _CLOSE = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= BYTE_RADIUS
@@ -78,15 +80,20 @@ class _Class:
         self.tables = [_CLOSE[:, values[:, byte]] for byte in range(8)]  # byte value -> items
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all pairs within the radius."""
-        values = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-        near = self.tables[0][values[:, 0]].copy()
-        for byte in range(1, 8):
-            near |= self.tables[byte][values[:, byte]]
-        window, item = np.nonzero(near)
-        distance = np.bitwise_count(prints[window] ^ self.prints[item])
-        within = distance <= RADIUS
-        return window[within], item[within], distance[within]
+        """(window, item, distance) of all pairs within the radius; PAIRS of them are looked at at once."""
+        found = []
+        step = max(1, PAIRS // len(self.prints))
+        for a in range(0, len(prints), step):
+            part = prints[a : a + step]
+            values = part.astype("<u8").view(np.uint8).reshape(-1, 8)
+            near = self.tables[0][values[:, 0]].copy()
+            for byte in range(1, 8):
+                near |= self.tables[byte][values[:, byte]]
+            window, item = np.nonzero(near)
+            distance = np.bitwise_count(part[window] ^ self.prints[item])
+            within = distance <= RADIUS
+            found.append((window[within] + a, item[within], distance[within]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Benchmark:

@@ -102,3 +102,21 @@ def test_items_without_an_id_and_with_a_repeated_one_are_items_each(spark, docum
         (1, 0, 24), (1, 0, 36), (1, 4, 0), (1, 4, 12), (2, 0, 0)
     ]
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark).collect()] == [3]
+
+
+def test_a_phrase_that_many_items_share_is_searched_in_parts(monkeypatch):
+    """Windows times items in memory are bounded, and the parts give what the whole gives."""
+    import tracemalloc
+
+    phrase = "the quick brown fox jumps"
+    items = [(i, f"{phrase} " + " ".join(f"w{i}x{k}" for k in range(15))) for i in range(400)]
+    text = " ".join([phrase] * 1500 + [items[7][1], *[phrase] * 500, items[3][1]])
+    whole = decontaminate.Benchmark(items).matches(text)
+    assert {m[0] for m in whole} == {3, 7}
+    monkeypatch.setattr(decontaminate, "PAIRS", 20_000)
+    index = decontaminate.Benchmark(items)
+    tracemalloc.start()
+    assert index.matches(text) == whole
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
