@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.llm.common import keep_rows, remainder
@@ -23,6 +23,8 @@ from headway.llm.common import keep_rows, remainder
 BUCKETS = 1 << 20
 #: Documents of each class that the model is fitted on at most (about), and of those, how many a term must be in.
 SAMPLE_PER_CLASS, LEAST_DOCUMENTS = 6_000, 4
+#: Different texts of one labelled id that are drawn at most.
+TEXTS_PER_ID = 4
 #: Standard errors by which a term's shares in the two classes differ at least if it is fitted before the others.
 LEAST_DIFFERENCE = 5.0
 #: Multiples of a slope's error by chance that weights and factors are shrunk by, and the first steps' damping.
@@ -177,7 +179,16 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         share = F.when(F.col("_label") == label, int(min(1, SAMPLE_PER_CLASS / n) * (1 << 30))).otherwise(share)
     # Bounded: the sample has about SAMPLE_PER_CLASS ids of each class, so the texts needn't be shuffled to find its own.
     ids = F.broadcast(known.where(drawn < share))
-    rows = documents.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"))
+    read_from = documents.select("doc_id", "text", F.xxhash64("text").alias("_print"))
+    # Of the different texts that an id may have, TEXTS_PER_ID are drawn; a text counts once.
+    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_print"))
+    prints = read_from.select("doc_id", "_print").join(ids, F.col("doc_id") == F.col("_id")).select("_id", "_print", "_label").distinct()
+    drawn_texts = F.broadcast(prints.withColumn("_nth", nth).where(F.col("_nth") <= TEXTS_PER_ID).select(
+        "_id", F.col("_print").alias("_drawn"), "_label"
+    ))
+    rows = read_from.join(
+        drawn_texts, (F.col("doc_id") == F.col("_id")) & (F.col("_print") == F.col("_drawn"))
+    ).dropDuplicates(["_id", "_print"])
     schema = pa.schema([("label", pa.int32()), ("terms", pa.list_(pa.int32()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,3 +116,15 @@ def test_held_out_accuracy(spark, documents):
     documents([])
     found = score(table, train(table, labels)).where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in found]) > 0.9
+
+
+def test_an_id_with_very_many_rows_gives_few_texts(spark, documents, monkeypatch):
+    """Two thousand rows of one labelled id, of different texts and of one, beside ids with a text each."""
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda lists, labels, weights: taken.append((len(lists), labels.tolist())))
+    rows = [(1, f"text number {i} of one id") for i in range(2000)] + [(1, "the same")] * 2000
+    rows += [(i, f"own text {i}") for i in range(2, 12)] + [(2, "own text 2")] * 50
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    toxicity.train(documents(rows), labels)
+    known = [i for i in range(1, 12) if zlib.crc32(str(i).encode()) % 5]
+    assert taken[0][0] == len(known) - 1 + toxicity.TEXTS_PER_ID * (1 in known) + (1 not in known)
