@@ -60,9 +60,22 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(0)).cast("int")
 
 
+#: Ids that are sent to all tasks at most: some 32 MB.
+SENT_IDS = 1 << 20
+
+
+def few_or_shuffled(ids: DataFrame) -> DataFrame:
+    """A table of ids, written, to join rows with: sent to all tasks up to SENT_IDS of them, else joined by a shuffle.
+
+    Rows with texts then move only if the ids are many.
+    """
+    kept = written(ids, "ids")
+    return F.broadcast(kept) if kept.count() <= SENT_IDS else kept
+
+
 def without(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of `df` whose doc_id isn't among the ids; rows with a null id stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    gone = few_or_shuffled(ids.select(F.col("doc_id").alias("_gone")).distinct())
     return df.join(gone, df["doc_id"] == gone["_gone"], "left_anti")
 
 

@@ -94,7 +94,7 @@ def _places(documents: list[np.ndarray], buckets: np.ndarray) -> list[np.ndarray
     for terms in documents:
         at = np.searchsorted(buckets, terms)
         at[at == len(buckets)] = 0
-        places.append(at[buckets[at] == terms] if len(buckets) else at[:0])
+        places.append((at[buckets[at] == terms] if len(buckets) else at[:0]).astype(np.int32))
     return places
 
 
@@ -199,7 +199,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     sample = rows.select("_label", "text").mapInArrow(read, "label int, terms array<int>").toArrow()
     found = np.array(sample.column("label").to_pylist(), dtype=np.int64)
-    lists = [np.array(t.values, dtype=np.int64) for t in sample.column("terms")]
+    lists = [np.array(t.values, dtype=np.int32) for t in sample.column("terms")]
+    del sample
     # The order of rows that Spark gives isn't fixed; the fit's order is.
     order = sorted(range(len(lists)), key=lambda i: (int(found[i]), lists[i].tobytes()))
     found, lists = found[order], [lists[i] for i in order]
