@@ -13,11 +13,13 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
@@ -168,7 +170,7 @@ class DepartureTable:
         """Rows with `timestamp` in `[start, end]`; within the files of these days, statistics skip other times."""
         lo, hi = instant(start), instant(end)
         days = F.sequence(F.to_date(lo), F.to_date(hi), F.expr("interval 1 day"))
-        listed = self.spark.range(1).select(F.transform(days, lambda d: F.date_format(d, DAY_FORMAT))).first()[0]
+        listed = self.spark.sql("SELECT 1").select(F.transform(days, lambda d: F.date_format(d, DAY_FORMAT))).first()[0]
         return self.read(listed).filter(F.col("timestamp").between(lo, hi))
 
     def _folders(self) -> dict[str, list[int]]:
@@ -204,7 +206,7 @@ class DepartureTable:
                 _delete(self.spark, f"{self.path}/service_day={day}")
 
     def _day(self, at) -> str:
-        return self.spark.range(1).select(F.date_format(instant(at), DAY_FORMAT)).first()[0]
+        return self.spark.sql("SELECT 1").select(F.date_format(instant(at), DAY_FORMAT)).first()[0]
 
 
 def _same(left: str, right: str, keys: list[str]) -> Column:
@@ -243,10 +245,11 @@ class ViewPublisher:
 
     def __call__(self, batch: DataFrame, batch_id: int = 0) -> bool:
         place = f"{self.folder}/{batch_id}-{uuid4().hex}"
-        batch.write.parquet(place)
+        seen = Observation()
+        batch.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(place)
         self.places.append(place)
         table = self.spark.read.schema(batch.schema).parquet(place)
-        published = self.on_empty != "keep" or not table.isEmpty()
+        published = self.on_empty != "keep" or seen.get["rows"] > 0
         if published:
             self.publish(table, place)
         while len(self.places) > self.keep:
@@ -302,13 +305,20 @@ class ReportPublisher:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self.table.append(batch, batch_id)
         now, s = self.as_of(), self.settings
-        hour = self.table.between(*awt_range(now, s))
-        self.awt(last_hour_awt(hour, now, s, self.keys, self.order_by), batch_id)
-        near = self.table.between(*progress_range(now, s))
-        trains = train_progress(
-            near, self.stations, self.fitted, now, s, self.order_by, accurate=self.fitted is not None
-        )
-        self.progress(trains, batch_id)
+
+        def waiting() -> None:
+            hour = self.table.between(*awt_range(now, s))
+            self.awt(last_hour_awt(hour, now, s, self.keys, self.order_by), batch_id)
+
+        def trains() -> None:
+            near = self.table.between(*progress_range(now, s))
+            accurate = self.fitted is not None
+            self.progress(train_progress(near, self.stations, self.fitted, now, s, self.order_by, accurate=accurate), batch_id)
+
+        # Side by side: each is small, and what they wait for is not the same.
+        with ThreadPoolExecutor(2) as pool:
+            for report in [pool.submit(inheritable_thread_target(f)) for f in (waiting, trains)]:
+                report.result()
 
 
 # --- running -------------------------------------------------------------------
