@@ -520,3 +520,8 @@ SELECT CASE WHEN good THEN station END AS station, CASE WHEN good THEN label END
        CASE WHEN good THEN lat::DOUBLE END AS latitude, CASE WHEN good THEN lon::DOUBLE END AS longitude,
        CASE WHEN NOT good THEN station || ',' || label || ',' || replace(lat || ',' || lon, '.', ',') END AS bad_value
 FROM judged"""
+ORACLE["boards_stream"] = "WITH " + DEP + """
+SELECT station, train, departure, 'R' AS mode, upper(mission) AS mission, terminus, NULL::VARCHAR AS bad_value FROM dep
+UNION ALL
+SELECT station, CAST(CAST(train AS BIGINT) + 1 AS VARCHAR), departure + 300, 'R', upper(mission), terminus, NULL
+FROM dep WHERE mission <> 'view'"""

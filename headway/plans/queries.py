@@ -20,7 +20,7 @@ from headway.operators.dedup import dedup_departures, distinct_stops
 from headway.plans import table_feed as feed
 from headway.plans.sql import register_functions
 from headway.plans.reports import awt_range, last_hour_awt, progress_range, train_progress, train_stops
-from headway.sources.boards import parse_boards
+from headway.sources.boards import parse_boards, read_boards
 from headway.sources.history import read_history, write_history
 from headway.sources.messages import (
     decode_departures, decode_variant, departures_stream, encode_departures, with_volume_metric, write_departures,
@@ -153,6 +153,17 @@ def parse_board_xml(spark, folder):
     return filters.with_epoch(parse_boards(feed.event_boards(spark, folder), keep=("event_id",)))
 
 
+@query
+def boards_stream(spark, folder):
+    """Boards kept in a folder per station, read as a stream in several batches and parsed."""
+    run = f"{shared_folder(spark)}/boards-{uuid4().hex}"
+    feed.event_boards(spark, folder).select("station", "xml").repartition(4, "station").write.partitionBy("station").text(f"{run}/feed")
+    boards = read_boards(spark, f"{run}/feed", streaming=True, maxFilesPerTrigger="40")
+    departures = filters.with_epoch(parse_boards(boards, bad="quarantine"))
+    jobs.batch_sink(departures, lambda batch, n: batch.write.parquet(f"{run}/stored/{n}"), f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/stored/*")
+
+
 @query
 def dedup_first(spark, folder):
     return filters.with_epoch(_unique(spark, folder))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,3 +46,14 @@ def parse_boards(df: DataFrame, xml_col: str = "xml", station_col: str = "statio
         F.col("_t.term").try_cast("int").alias("terminus"),
         *keep, *(["bad_value"] if more else []),
     )
+
+
+def read_boards(spark: SparkSession, path: str, streaming: bool = False, wholetext: bool = False, **options) -> DataFrame:
+    """Boards `(station, xml, ingest_ts)` kept below `path` in a folder `station=<code>` each, as they were polled.
+
+    A file holds a board per line or, with `wholetext`, one board. As a stream, files come once each, in the order of their
+    times, `maxFilesPerTrigger` of them in a batch; what has been read is kept with the query's checkpoint.
+    """
+    reader = (spark.readStream if streaming else spark.read).schema("value string, station int").options(**options)
+    raw = reader.text(path, wholetext=wholetext)
+    return raw.select("station", F.col("value").alias("xml"), F.col("_metadata.file_modification_time").alias("ingest_ts"))
