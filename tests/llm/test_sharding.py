@@ -1,7 +1,9 @@
+import math
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from headway.llm import sharding
@@ -59,3 +61,38 @@ def test_bad_trees_and_no_rows(documents):
     with pytest.raises(ValueError, match="shards"):
         shard_of(F.lit("x"), [])
     assert shard_documents(documents([])).count() == 0
+
+
+def plain_shard(key, tree):
+    """The tree walked from its root in plain Python: region, then rack, then shard."""
+    seed = 42 if key is None else xxhash.xxh64_intdigest(key.encode(), 42)
+
+    def draw(node, weight):
+        uniform = ((xxhash.xxh64_intdigest(node.encode(), seed) >> 11) + 0.5) * 2.0**-53
+        return -math.log(uniform) / weight
+
+    def weight(inside):
+        return sum(s.weight for s in tree if inside(s))
+
+    region = min(
+        dict.fromkeys(s.region for s in tree), key=lambda r: draw(r, weight(lambda s: s.region == r))
+    )
+    rack = min(
+        dict.fromkeys(s.rack for s in tree if s.region == region),
+        key=lambda k: draw(f"{region}/{k}", weight(lambda s: (s.region, s.rack) == (region, k))),
+    )
+    own = [s for s in tree if (s.region, s.rack) == (region, rack)]
+    return min(own, key=lambda s: draw(f"{region}/{rack}/{s.number}", s.weight)).number
+
+
+def test_shards_against_a_plain_walk(documents):
+    rows = shard_documents(documents([(i, f"text {i}") for i in range(-50, 400)] + [(None, "x")])).collect()
+    for r in rows:
+        key = None if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (plain_shard(key, even_tree(16)), plain_shard(key, even_tree(16, 1)))
+
+
+def test_uneven_trees_against_a_plain_walk(spark):
+    tree = [Shard(n, f"r{n % 3}", f"k{n % 5 % 2}", 0.5 + n) for n in range(11)]
+    found = spark.range(500).select(F.col("id"), shard_of(F.col("id").cast("string"), tree).alias("shard")).collect()
+    assert [r["shard"] for r in found] == [plain_shard(str(r["id"]), tree) for r in found]

@@ -59,6 +59,21 @@ def test_fingerprint_of_few_words():
     assert simhash.fingerprint("É b c") == xxhash.xxh64_intdigest("É b c".encode(), 42)  # only A-Z get lower case
 
 
+def test_fingerprint_against_a_plain_count_of_bits():
+    import random
+
+    import xxhash
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        words = [rnd.choice(["a", "É", "the", "Fox", "日本", "x" * 50, "b"]) for _ in range(rnd.randint(3, 60))]
+        text = "".join(w + rnd.choice([" ", "\n\t", "  "]) for w in words)
+        lower = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
+        hashes = [xxhash.xxh64_intdigest(" ".join(lower[i : i + 3]).encode(), 42) for i in range(len(words) - 2)]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i + 1, i) for i in range(40)]
     star = [(100, i) for i in range(101, 160)] + [(5000, 5000)]
