@@ -90,7 +90,7 @@ lines AS (
 rated AS (
   SELECT r, line, len(words) AS n,
     len(list_filter(words, lambda w: w IN ('|', '»', '›', '→', '/', '>'))) >= 2
-    OR regexp_matches(line, '(?i)\b(?:uses? cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|javascript is (?:disabled|required)|sign in|log in|subscribe to our|click here|licensed under|released under|lorem ipsum)\b')
+    OR len(regexp_extract_all(line, '(?i)\b(?:uses? cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|javascript is (?:disabled|required)|sign in|log in|subscribe to our|click here|licensed under|released under|lorem ipsum)\b')) * 25 >= greatest(len(words), 1)
     OR len(list_filter(words, lambda w: regexp_matches(w, '[#*$%&|<>]|!!'))) > 0.3 * len(words)
     OR place > 1 AND len(words) < 8 AND NOT regexp_matches(line, '[.!?…:;。！？]["''”’»)\]]*[ \t\v\f\r]*$') AS fails
   FROM lines

@@ -2,7 +2,8 @@
 
 A line without words is no line here. A line fails if it is
   navigation    at least two bars or arrows stand alone between its words, as in "Home | News | Login"
-  boilerplate   it names cookies, scripts, logins, rights or licences in a phrase of BOILERPLATE
+  boilerplate   it names cookies, scripts, logins, rights or licences in a phrase of BOILERPLATE, one in every PHRASE_WORDS
+                words or more: a long line that mentions one is prose
   symbols       over SYMBOLS of its words hold a character of `#*$%&|<>`, or end in "!!"
   unfinished    it ends without closing punctuation, has fewer than UNFINISHED_WORDS words and isn't the first
 The document's words in lines that stay are counted against all its words.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from headway.llm.common import keep_rows
 
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-SYMBOLS, UNFINISHED_WORDS = 0.3, 8
+SYMBOLS, UNFINISHED_WORDS, PHRASE_WORDS = 0.3, 8, 25
 #: Share of its words that a document must keep.
 LEAST_KEPT = 0.5
 _SYMBOL = "#*$%&|<>"
@@ -39,7 +40,9 @@ _CLOSED = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*[ \t\v\f\r]*\Z")
 def line_fails(line: str, first: bool) -> bool:
     """Whether a line with words breaks a rule."""
     words = line.encode().split()
-    if sum(w in _MARKS for w in words) >= 2 or _BOILERPLATE.search(line):
+    if sum(w in _MARKS for w in words) >= 2:
+        return True
+    if _BOILERPLATE.search(line) and len(words) <= PHRASE_WORDS * len(_BOILERPLATE.findall(line)):
         return True
     if any(c in line for c in _SYMBOL) or "!!" in line:
         if sum(1 for w in words if _SYMBOL_WORD.search(w)) > SYMBOLS * len(words):

@@ -33,6 +33,8 @@ def test_counts_against_brute_force():
     ("Home | News | Contact | Login", False, True), ("This site uses cookies to serve you better.", False, True),
     ("th*** is$$$ all### noise&&&", False, True), ("A plain sentence of some words.", False, False),
     ("Too short", False, True), ("A Title", True, False), ("He said: “No.”", False, False),
+    ("You accept the cookie policy and the privacy policy. " + "More about it in words. " * 8, False, True),
+    ("An article on one line, which mentions a privacy policy once. " + "It says a lot of other things. " * 90, False, False),
     ("A long line that is wrapped before its end and so has no stop", False, False), ("one x | y.", False, False),
 ])
 def test_line_rules(line, first, fails):
