@@ -42,7 +42,7 @@ def test_columns_and_documents(spark, name):
     found = registered()[name](spark, FOLDER)
     assert ", ".join(f"{c} {t}" for c, t in found.dtypes) == COLUMNS[name]
     if name in ("op11_prefix_trie", "op12_spelling_groups"):  # a row per node, per word
-        assert found.count() > 100
+        assert found.count() > 20
         return
     ids = {r[0] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
     got = [r[0] for r in found.select("doc_id").collect()]
