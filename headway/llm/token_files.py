@@ -37,10 +37,30 @@ SELECTORS = (
     (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 )
 _COUNTS = np.array([n for n, _ in SELECTORS], dtype=np.int64)
+#: Words that are passed at once in looking for where words begin, a power of two.
+STRIDE = 16
 # Bits of the ids of any usual vocabulary.
 _WIDTHS = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.uint8)
 
 
+def _chain(choice: np.ndarray) -> np.ndarray:
+    """Where words begin if the first begins at 0 and each after the ids of the one before."""
+    size = len(choice)
+    after = np.append(np.minimum(np.arange(size) + _COUNTS[choice], size), size).astype(np.int32)
+    far, stride = after, 1
+    while stride < STRIDE:
+        far, stride = far[far], stride * 2
+    leap, anchors, i = memoryview(far), [], 0
+    while i < size:
+        anchors.append(i)
+        i = leap[i]
+    columns = [np.array(anchors, dtype=np.int32)]
+    for _ in range(STRIDE - 1):
+        columns.append(after[columns[-1]])
+    first = np.stack(columns, axis=1).ravel()
+    return first[first < size]
+
+
 def encode_block(ids: np.ndarray) -> np.ndarray:
     """Words of one block of ids below 2^60. The last word may hold fewer ids than its selector says."""
     size = len(ids)
@@ -56,25 +76,23 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     most = {1: widths}
     while (n := max(most)) * 2 <= SELECTORS[0][0]:
         most[n * 2] = np.maximum(most[n][:-n], most[n][n:])
+    # Whatever suits a selector suits those after it, of fewer and wider ids: so the first that suits follows from their number.
     choice = np.full(size, len(SELECTORS) - 1, dtype=np.uint8)
-    for selector in range(len(SELECTORS) - 2, -1, -1):
-        n, bits = SELECTORS[selector]
+    for n, bits in SELECTORS[:-1]:
         half = 1 << (n.bit_length() - 1)
         widest = np.maximum(most[half][:size], most[half][n - half : n - half + size])
-        choice[widest <= bits] = selector
-    steps, starts, i = _COUNTS.astype(np.uint8)[choice].tobytes(), [], 0
-    while i < size:
-        starts.append(i)
-        i += steps[i]
-    first = np.array(starts, dtype=np.int64)
+        choice -= (widest <= bits).view(np.uint8)
+    first = _chain(choice)
     chosen = choice[first]
     padded = np.concatenate([ids, np.zeros(SELECTORS[0][0], dtype=np.uint64)])
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector, (n, bits) in enumerate(SELECTORS):
         own = np.flatnonzero(chosen == selector)
         if bits and len(own):
-            values = padded[first[own][:, None] + np.arange(n)]
-            words[own] |= np.bitwise_or.reduce(values << (np.arange(n, dtype=np.uint64) * np.uint64(bits)), axis=1)
+            at, packed = first[own], words[own]
+            for k in range(n):
+                packed |= padded[at + k] << np.uint64(k * bits)
+            words[own] = packed
     return words.astype("<u8")
 
 

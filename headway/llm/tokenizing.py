@@ -100,7 +100,7 @@ class TextEncoder:
         ) if by_word.any() else pa.array([], type=pa.list_(pa.string()))
         # Every text's first part is empty, as it begins with a space: it stands for the text's end.
         coded = pc.list_flatten(split).dictionary_encode()
-        known = [self.words[w] if w else b"" for w in coded.dictionary.to_pylist()]
+        known = [self.words[w] if w else b"" for w in coded.dictionary.to_numpy(zero_copy_only=False)]
         whole = [
             self.whole(t) if t else b"" for t in texts.filter(pa.array(~by_word)).to_pylist()
         ]
