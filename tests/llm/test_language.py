@@ -1,5 +1,8 @@
+import math
+import unicodedata
 import zlib
-from itertools import product
+from collections import Counter, defaultdict
+from itertools import groupby, product
 from pathlib import Path
 
 import numpy as np
@@ -72,6 +75,77 @@ def test_held_out_rows_and_other_columns_do_not_teach(documents):
     assert train(documents([(held, "abc", "xx")])).languages == []
 
 
+def plain_words(text):
+    """(word, lower case) runs of letters and marks."""
+    for inside, run in groupby(text or "", key=lambda c: unicodedata.category(c)[0] in "LM"):
+        if inside:
+            yield "".join(run).lower()
+
+
+def plain_trigrams(word):
+    bounded = f"\n{word}\n"
+    return [bounded[i : i + 3] for i in range(len(word))]
+
+
+def plain_script(letter):
+    return next((n for n, a, b in language.SCRIPTS if a <= ord(letter) <= b), "other")
+
+
+def plain_predict(taught, texts):
+    """(language, score) of each text by plain counts of trigrams and the Viterbi recursion word by word."""
+    counts, scripts = defaultdict(Counter), defaultdict(Counter)
+    for text, lang in taught:
+        for word in plain_words(text):
+            counts[lang].update(plain_trigrams(word))
+            scripts[lang][plain_script(word[0])] += len(word)
+    langs = sorted(counts)
+    uses = {x: {s for s, n in scripts[x].items() if n >= language.SCRIPT_SHARE * scripts[x].total()} for x in langs}
+
+    def score(word, lang):
+        whole = counts[lang].total() + language.SMOOTHING * language.BUCKETS
+        return sum(math.log((counts[lang][t] + language.SMOOTHING) / whole) for t in plain_trigrams(word))
+
+    found = []
+    for text in texts:
+        words = list(plain_words(text))
+        best = {x: (0.0, ()) for x in langs}
+        for word in words:
+            allowed = [x for x in langs if plain_script(word[0]) in uses[x]] or langs
+            before, best = best, {}
+            for x in allowed:
+                total, path = max((t - language.SWITCH * (bool(p) and p[-1] != x), p) for t, p in before.values())
+                best[x] = total + score(word, x), (*path, x)
+        letters = Counter()
+        for word, lang in zip(words, max(best.values())[1] if words else (), strict=True):
+            letters[lang] += len(word)
+        most = max(letters, key=lambda x: (letters[x], -langs.index(x)), default=language.UNKNOWN)
+        found.append((most, letters[most] / letters.total() if letters else 0.0))
+    return found
+
+
+def test_training_and_prediction_against_plain_python(documents):
+    """Languages and scores, with mixed texts, scripts that rule languages out, and words of no known script."""
+    samples = {
+        "en": ["the cat sat on the mat and looked at the moon", "there was a house near the old river", "We thank them"],
+        "fr": ["le chat dort sur la table et regarde la lune", "il y avait une maison près de la rivière", "Merci à tous"],
+        "el": ["αυτό είναι ένα κείμενο", "η γάτα κοιτάζει το φεγγάρι"],
+        "ru": ["кошка смотрит на луну", "это простой текст"],
+    }
+    rng = np.random.default_rng(8)
+    vocabulary = {x: " ".join(own).split() for x, own in samples.items()}
+    rows = []
+    for i in range(160):
+        langs = rng.choice(sorted(vocabulary), rng.integers(1, 4))
+        parts = [" ".join(rng.choice(vocabulary[x], rng.integers(1, 12))) for x in langs]
+        rows.append((i, "; ".join(parts), str(langs[0]) if len(langs) == 1 else None))
+    rows += [(200, "漢字 the cat", None), (201, "漢字", None), (202, "12 34", None), (203, None, None)]
+    table = documents(rows)
+    taught = [(t, x) for i, t, x in rows if t and x and zlib.crc32(str(i).encode()) % 4 != 2]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(table, train(table)).collect()}
+    for (i, _, _), (lang, score) in zip(rows, plain_predict(taught, [t for _, t, _ in rows]), strict=True):
+        assert got[i] == (lang, pytest.approx(score)), i
+
+
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="tables not there")
 def test_held_out_accuracy(spark, documents):
     table = spark.read.parquet(f"{FOLDER}/documents.parquet")
