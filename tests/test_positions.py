@@ -90,6 +90,18 @@ def test_segments_join_at_the_points(paths):
         assert math.isclose(r.x0, 100 * r.seg / 39)
 
 
+def test_segments_know_the_next_one(paths):
+    pieces = positions.fit_segments(positions.fit_paths(paths), ahead=True)
+    assert "Window" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.from_st, r.to_st, r.seg): r for r in pieces.collect()}
+    names = [f"{axis}{i}" for axis in "ab" for i in range(4)]
+    assert len(rows) > 40
+    for (a, b, seg), r in rows.items():
+        following = rows.get((a, b, seg + 1))
+        assert [r[f"next_{n}"] for n in names] == [following and following[n] for n in names]
+        assert r.last == max(x for c, d, x in rows if (c, d) == (a, b))
+
+
 def test_fit_of_batches_with_nulls_and_single_rows(spark):
     df = spark.createDataFrame([(None,), ([],), ([1.0],), ([0.0, 1.0, 4.0, 9.0, 16.0],), (None,)], "y array<double>")
     from headway.functions.spline import bends
