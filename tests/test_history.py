@@ -9,6 +9,8 @@ from headway.operators.dedup import dedup_departures
 from headway.operators.positions import accurate_position, fit_paths
 from headway.operators.progress import next_stop
 from headway.plans.sql import register_functions
+from headway.plans import queries
+from headway.sources import history
 from headway.sources.history import read_history, write_history
 
 
@@ -60,3 +62,16 @@ def test_tracks_in_sql(spark, fitted):
     track = [tuple(r) for r in spark.sql("SELECT * FROM x_track_of(3, 4, 50D) ORDER BY progress").collect()]
     assert track == [(0.0, 1.0, 1.0), (50.0, 1.5, 2.0), (100.0, 2.0, 3.0)]
     assert spark.sql("SELECT * FROM x_track_of(9, 9, 50D)").isEmpty()
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "BUCKET_ROWS", 20)
+    rows = spark.range(200).selectExpr(
+        "id % 50 as l_orderkey", "id % 7 as l_suppkey", "date_add(date'2024-01-01', cast(id as int)) as l_shipdate", "'O' as l_linestatus",
+        "id % 3 as l_partkey", "cast(id % 4 as int) as l_linenumber",
+    )
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = []
+    monkeypatch.setattr(queries, "write_history", lambda df, table, n, path: made.append(n) or write_history(df, table, n, path))
+    assert queries.registered()["next_stop_history"](spark, str(tmp_path)).count() == 200
+    assert made == [10] and history.buckets_for(rows.limit(5)) == 8
