@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import decontaminate, packing, repeats, similar, toxicity
+from headway.llm import decontaminate, packing, repeats, simhash, similar, toxicity
 from headway.llm.common import without, written
+from headway.llm.components import components
 from headway.llm.queries import TOKENIZER
 from headway.llm.queries import prepare as prepare_queries
 
@@ -25,13 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles that are 0.8 similar, the one with the smallest doc_id.
+    """Of documents linked by their SimHash fingerprints, or by five-word shingles that are 0.8 similar, the one with the
+    smallest doc_id that can be reached.
 
-    Rows that repeat a doc_id stay or go together.
+    Fingerprints at two differing bits miss near copies with a few changed words; the shingles find these exactly, and the
+    links of both make the groups. Rows that repeat a doc_id stay or go together.
     """
     prepare(spark)
-    groups = similar.near_copies(docs)
-    return without(docs, groups.where("component_id < doc_id").select("doc_id"))
+    prints = simhash.near_duplicates(docs.where("doc_id is not null"))
+    links = prints.select("doc_id", "component_id").union(similar.near_copies(docs).select("doc_id", "component_id"))
+    groups = components(links.toDF("a", "b"))
+    return without(docs, groups.where("component < node").select(F.col("node").alias("doc_id")))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from headway.llm import similar, toxicity
+from headway.llm import simhash, similar, toxicity
 from headway.llm.decontaminate import Benchmark
 from tests.llm.test_repeats import brute as repeats_brute
 
@@ -81,3 +81,17 @@ def test_stages_keep_the_columns_of_messy_rows(spark, folder, messy, documents):
             docs = stage(spark, docs, place)
             assert docs.columns == messy.columns and [f.dataType for f in docs.schema] == [f.dataType for f in messy.schema]
         assert docs.count() >= 0
+
+
+def test_near_duplicates_go_by_fingerprints_and_by_shingles(spark, documents, tmp_path):
+    """1 and 2 have one fingerprint but few shingles in common, 5 and 6 nearly all shingles; 4 is like none."""
+    many = "p q r " * 200
+    texts = {1: many + "a b c d e", 2: many + "f g h i j k l m n o", 4: "alone in the world"}
+    words = [f"w{i}" for i in range(60)]
+    texts |= {5: " ".join(words), 6: " ".join([*words[:58], "x", "y"])}
+    assert simhash.fingerprint(texts[1]) == simhash.fingerprint(texts[2])
+    assert not similar.similar(similar.shingle_set(texts[1]), similar.shingle_set(texts[2]))
+    assert (simhash.fingerprint(texts[5]) ^ simhash.fingerprint(texts[6])).bit_count() > 2
+    docs = documents([*texts.items(), (None, texts[1])])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in kept), key=str) == [1, 4, 5, None]
