@@ -112,18 +112,22 @@ class Legs(StatefulProcessor):
         self.spans = handle.getMapState("spans", "span bigint", "departures array<bigint>, stations array<int>")
         self.version = handle.getValueState("version", "version bigint")
 
-    def _stops(self, span: int) -> list[tuple[int, int]]:
-        found = self.spans.getValue((span,)) if self.spans.containsKey((span,)) else None
-        return list(zip(*found, strict=True)) if found else []
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         come: dict[int, set] = {}
         for r in rows:
-            come.setdefault(r["departure"] // self.span_s, set()).add((r["departure"], r["station"]))
+            departure = r["departure"]
+            come.setdefault(departure // self.span_s, set()).add((departure, r["station"]))
         known = {k[0] for k in self.spans.keys()}
-        fresh, held = set(), {}
+        fresh, held, read = set(), {}, {}
+
+        def stored(span: int) -> list[tuple[int, int]]:
+            """The span's stops before these rows; each call of the state is a message, so a span is asked for once."""
+            if span not in read:
+                read[span] = list(zip(*self.spans.getValue((span,)), strict=True)) if span in known else []
+            return read[span]
+
         for span, stops in come.items():
-            before = self._stops(span)
+            before = stored(span)
             stops -= set(before)
             if not stops:
                 continue
@@ -134,12 +138,14 @@ class Legs(StatefulProcessor):
                 self.handle.registerTimer(((span + 1) * self.span_s + self.keep_s) * 1000)
         if not fresh:
             return
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        version = (self.version.get()[0] if known else 0) + 1
         self.version.update((version,))
         order = sorted(known | set(held))
-        near = {x for span in held for x in order[max(0, order.index(span) - 1) : order.index(span) + 2]}
-        stops = [s for span in sorted(near) for s in (held.get(span) or self._stops(span))]
-        bounds = {held.get(span, self._stops(span))[-1]: i for i, span in enumerate(order) if span in near}
+        place = {span: i for i, span in enumerate(order)}
+        near = {x for span in held for x in order[max(0, place[span] - 1) : place[span] + 2]}
+        at_hand = {span: held.get(span) or stored(span) for span in sorted(near)}
+        stops = [s for own in at_hand.values() for s in own]
+        bounds = {own[-1]: place[span] for span, own in at_hand.items()}
         for i, stop in enumerate(stops):
             following = stops[i + 1] if i + 1 < len(stops) else None
             if stop in bounds:  # the next span may not be at hand: then nothing changes at this end

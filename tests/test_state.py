@@ -131,3 +131,54 @@ def test_old_spans_are_dropped_but_for_the_last(spark, stops, tmp_path):
     assert (29, 99) in {(r[2], r[5]) for r in seen}  # the last stop of long ago gets its next one
     rows = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
     assert rows[-1] < rows[0]
+
+
+class _CountingMap(dict):
+    """A map state that counts its messages."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked = 0
+
+    def keys(self):
+        self.asked += 1
+        return list(super().keys())
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in super().keys()
+
+    def getValue(self, key):
+        self.asked += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_a_span_is_asked_for_once():
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def registerTimer(self, at):
+            pass
+
+    legs = state.Legs(100, 1000)
+    legs.handle, legs.spans, legs.version = Handle(), _CountingMap(), Value()
+    first = [{"departure": 100 * span + 10, "station": span} for span in range(6)]
+    assert len(list(legs.handleInputRows(("007",), iter(first), None))) == 6
+    assert legs.spans.asked == 1  # new spans are not asked for
+    legs.spans.asked = 0
+    got = list(legs.handleInputRows(("007",), iter([{"departure": 250, "station": 9}]), None))
+    assert [(r.station, r.next_station, r.version) for r in got] == [(2, 9, 2), (9, 3, 2)]
+    assert legs.spans.asked == 4  # the spans' numbers, and the span with the one before and after it
