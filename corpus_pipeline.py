@@ -13,10 +13,11 @@ from headway.llm.queries import prepare as prepare_queries
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings of the operators, with smaller batches: all stages share the executors' Python workers, which keep memory."""
+    """Settings of the operators, with smaller batches: all stages share the executors' Python workers and buffers, which
+    keep the memory that the largest batch took."""
     prepare_queries(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(12 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,9 +146,11 @@ def place(pieces: DataFrame, limit: int) -> DataFrame:
             used[length] += times
             offset += length
         sequence += times
-    places = spark.createDataFrame(
-        intervals, "p_length long, p_from long, p_to long, p_sequence long, p_offset long"
-    )
+    # As an Arrow table: rows would start Python workers of their own on the executors, beside those of the operators.
+    names = ("p_length", "p_from", "p_to", "p_sequence", "p_offset")
+    places = spark.createDataFrame(pa.Table.from_arrays(
+        [pa.array([row[i] for row in intervals], type=pa.int64()) for i in range(len(names))], names=names
+    ))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select(
         F.col("length").alias("s_length"), F.col("part").alias("s_part"),

@@ -11,10 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Words kept per worker and the longest of them: at most about 150 MB. Others are encoded each time.
-MEMO_WORDS, MEMO_CHARS = 700_000, 40
-#: Bytes of text that are encoded at once; a longer text is alone.
-AT_ONCE = 16 << 20
+#: Words kept per worker and the longest of them: about 60 MB, with no larger table than they need. Others are encoded
+#: each time.
+MEMO_WORDS, MEMO_CHARS = 340_000, 40
+#: Bytes of text that are encoded at once, which takes some ten times as much memory; a longer text is alone.
+AT_ONCE = 2 << 20
 
 # White space other than single spaces and line feeds between words; pieces may reach over it.
 _IRREGULAR = (

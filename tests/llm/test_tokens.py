@@ -2,6 +2,7 @@
 
 import bisect
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -45,6 +46,30 @@ def test_encoder_of_another_kind_of_file():
     assert bounds.tolist() == [0, len(ids) - 1, len(ids)]
 
 
+def test_encoder_keeps_and_takes_little_memory():
+    """Many distinct words, and one large batch of texts: both ran an executor out of memory that other stages had filled."""
+    encode = tokenizing.TextEncoder(BYTE_BPE)
+    texts = pa.array(["some plain words and then a few more of them " * 100] * 2500)
+    tracemalloc.start()
+    try:
+        ids, _ = encode(texts, 0)
+        assert tracemalloc.get_traced_memory()[1] < 2 * ids.nbytes + (15 << 20)
+        del ids
+        before, words = tracemalloc.get_traced_memory()[0], tokenizing._Words(lambda w: bytes(8))
+        for i in range(800_000):
+            words[f"word{i}"]
+        assert tracemalloc.get_traced_memory()[0] - before < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_places_start_no_python_workers_of_rows(documents, monkeypatch):
+    docs = documents([(i, "a few words " * i) for i in range(40)])
+    monkeypatch.setattr(type(docs.sparkSession.sparkContext), "parallelize", lambda *_, **__: pytest.fail("rows for Python workers"))
+    rows = packing.pack_documents(docs, BYTE_BPE, 16).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) > 40
+
+
 def best_fit_decreasing(counts, limit):
     gaps, opened = [], 0
     for length in sorted(counts, reverse=True):
