@@ -30,6 +30,8 @@ MAGIC = b"HWTOK001"
 BLOCK = 1 << 16
 #: Ids after which a task begins another file; a file is read as one row.
 FILE_IDS = 1 << 23
+#: The encoder's words kept per worker, some 120 MB, and bytes of text at once: a worker has little else to hold.
+MEMO_WORDS, AT_ONCE = 690_000, 6 << 20
 
 # Fixed values of the format: how many ids a word holds and in how many bits each, by selector.
 SELECTORS = (
@@ -199,7 +201,8 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, attempt, files = encoder(tokenizer), TaskContext.get().partitionId(), uuid4().hex[:12], []
+        encode = encoder(tokenizer, MEMO_WORDS, AT_ONCE)
+        part, attempt, files = TaskContext.get().partitionId(), uuid4().hex[:12], []
         system, path = pafs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
 

@@ -1,6 +1,7 @@
 """Encoder, packing, token files, token counts."""
 
 import bisect
+import json
 import random
 import tracemalloc
 import zlib
@@ -46,6 +47,52 @@ def test_encoder_of_another_kind_of_file():
     assert bounds.tolist() == [0, len(ids) - 1, len(ids)]
 
 
+def test_new_words_take_no_call_of_the_library_each(monkeypatch):
+    """op5 took 411 CPU seconds a GB, most of them in one call for each word that wasn't kept."""
+    monkeypatch.setattr(tokenizing, "MEMO_WORDS", 100)
+    encode, calls = tokenizing.TextEncoder(BYTE_BPE), []
+    library = encode.tokenizer
+
+    class Counting:
+        def encode(self, text, **options):
+            calls.append(text)
+            return library.encode(text, **options)
+
+    encode.tokenizer = Counting()
+    words = [f"{a}{b}{c}" for a in ("se", "Ör", "n1", "x-") for b in ("ta", "ne", "ß") for c in scraps(300, 3) if c.isalnum()]
+    words = list(dict.fromkeys([*words, *(w + "." for w in words), *(f"w{i}" for i in range(2000))]))
+    texts = [" ".join(words[a : a + 40]) for a in range(0, len(words), 40)]
+    for _ in range(2):
+        calls.clear()
+        ids, bounds = encode(pa.array(texts), 0)
+        assert len(calls) < len(words) / 20
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == ids_of(text).tolist()
+
+
+def test_encoder_of_all_characters_beside_others():
+    points = [c for c in [*range(1, 0x3100), *range(0xA640, 0xABFF, 3), *range(0x10000, 0x1F000, 41)]]
+    texts = [
+        " ".join(f"a{chr(c)} {chr(c)}. {chr(c)}b?! b{chr(c)},\nc{chr(c)}:" for c in points[a : a + 8])
+        for a in range(0, len(points), 8)
+    ]
+    ids, bounds = tokenizing.encoder(BYTE_BPE)(pa.array(texts), 0)
+    library = Tokenizer.from_file(BYTE_BPE)
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
+
+
+def test_encoder_of_a_file_with_a_special_token_over_two_words(tmp_path):
+    with open(BYTE_BPE, encoding="utf-8") as file:
+        kind = json.load(file)
+    kind["added_tokens"].append({**kind["added_tokens"][0], "id": 50_257, "content": "é1 ü1"})
+    (tmp_path / "t.json").write_text(json.dumps(kind), encoding="utf-8")
+    library, texts = Tokenizer.from_file(str(tmp_path / "t.json")), ["q é1", "q ü1", "q é1 ü1"]
+    ids, bounds = tokenizing.TextEncoder(str(tmp_path / "t.json"))(pa.array(texts), 0)
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_encoder_keeps_and_takes_little_memory():
     """Many distinct words, and one large batch of texts: both ran an executor out of memory that other stages had filled."""
     encode = tokenizing.TextEncoder(BYTE_BPE)
