@@ -28,6 +28,15 @@ def test_spans_give_the_same_legs(make, span):
     assert as_set(next_stop(df)) == as_set(next_stop(df, span_s=span))
 
 
+def test_what_nobody_asks_for_is_left_out_of_the_shuffles(make):
+    """Links across spans carry the next station only, where only stations are asked for; no structs travel."""
+    stops = make([("7", 1, 10), ("7", 2, 200), ("7", 3, 210), ("8", 4, 5)], "train string, station int, departure long")
+    legs = next_stop(stops, span_s=100).select("station", "next_station")
+    plan = legs._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct" not in plan and "next_departure" not in plan
+    assert sorted((r[0], r[1] or 0) for r in legs.collect()) == [(1, 2), (2, 3), (3, 0), (4, 0)]
+
+
 def test_next_stop_values(make):
     df = make([("a", 30, 3), ("a", 10, 1), ("a", 20, 2)], STOPS)
     got = {(r.station, r.next_station, r.next_departure, r.time_to_st) for r in next_stop(df).collect()}
