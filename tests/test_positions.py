@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from headway.functions import spline
 from headway.functions.spline import solve_bends
 from headway.model import PATH
 from headway.operators import positions
@@ -35,6 +36,19 @@ def test_short_paths_are_linear(n):
     assert not solve_bends(np.arange(2 * n, dtype=float).reshape(2, n) ** 2).any()
 
 
+def test_rows_of_many_lengths_are_solved_together(monkeypatch):
+    """As many steps as the longest row has, whatever the other lengths."""
+    rng = np.random.default_rng(3)
+    lengths = rng.permutation(np.concatenate([np.arange(60), np.arange(60)]))
+    rows = [rng.normal(size=n) for n in lengths]
+    steps = []
+    monkeypatch.setattr(spline, "range", lambda *of: steps.append(len(range(*of))) or range(*of), raising=False)
+    got = np.split(spline.solve_ragged(np.concatenate(rows), lengths), np.cumsum(lengths)[:-1])
+    assert steps == [54, 55]
+    for y, bent in zip(rows, got):
+        assert np.allclose(bent, dense_bends(y) if len(y) > 4 else np.zeros(len(y)), atol=1e-9)
+
+
 def curve(i, n):
     t = i / max(n - 1, 1)
     return 48.8 + 0.1 * t + 0.02 * t ** 3, 2.2 + 0.05 * t - 0.03 * t ** 2
